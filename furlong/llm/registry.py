@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import langid, toxicity
+from furlong.llm import langid, media, packing, tokenfile, toxicity
+from furlong.llm.tokens import TokenizerSpec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,13 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def tokenizer(name: str) -> TokenizerSpec:
+    import public_tokenizers
+
+    kinds = {"byte_bpe_50k.json": (True, "\n"), "word_bpe_49k.json": (False, "\x00")}
+    return TokenizerSpec(public_tokenizers.path(name), *kinds[name])
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
@@ -40,8 +48,27 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.digest(media.media_table(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_langid": op4_langid}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op4_langid": op4_langid,
+        "op6_token_ids": op6_token_ids,
+        "op9_media": op9_media,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
