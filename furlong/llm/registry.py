@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import langid, media, packing, tokenfile, toxicity
+from furlong.llm import decontaminate, langid, licences, media, packing, tokenfile, toxicity
 from furlong.llm.tokens import TokenizerSpec
 
 
@@ -52,6 +52,19 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    families = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["family"])))
+    best = F.array_max(F.transform("hits", lambda x: x["probability"]))
+    return licences.scan(docs, licences.train()).select(
+        "doc_id", F.size("hits").cast("long").alias("n_paragraphs"), F.array_join(families, ",").alias("licences"), F.round(F.coalesce(best, F.lit(0.0)), 6).alias("probability")
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.digest(media.media_table(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -66,10 +79,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op4_langid": op4_langid,
         "op6_token_ids": op6_token_ids,
+        "op7_licences": op7_licences,
+        "op8_decontaminate": op8_decontaminate,
         "op9_media": op9_media,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE}
