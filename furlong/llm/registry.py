@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, langid, licences, media, packing, tokenfile, toxicity
+from furlong.llm import decontaminate, langid, licences, media, packing, suffixdedup, tokenfile, toxicity
 from furlong.llm.tokens import TokenizerSpec
 
 
@@ -48,6 +48,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_langid": op4_langid,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_token_ids": op6_token_ids,
         "op7_licences": op7_licences,
         "op8_decontaminate": op8_decontaminate,
