@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, langid, licences, media, packing, suffixdedup, tokenfile, toxicity
+from furlong.llm import decontaminate, jaccardjoin, langid, licences, media, packing, suffixdedup, tokenfile, toxicity
 from furlong.llm.tokens import TokenizerSpec
 
 
@@ -41,6 +41,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, remainder(5) != 0)
@@ -82,6 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_langid": op4_langid,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_token_ids": op6_token_ids,
