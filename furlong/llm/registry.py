@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, jaccardjoin, langid, licences, media, packing, suffixdedup, tokenfile, toxicity
+from furlong.llm import decontaminate, jaccardjoin, langid, licences, media, packing, suffixdedup, suffixtree, tokenfile, toxicity
 from furlong.llm.tokens import TokenizerSpec
 
 
@@ -41,6 +41,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixtree.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    held = F.coalesce(remainder(7) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.join(table(spark, sf_dir, "documents"))
 
@@ -86,6 +92,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_suffix_tree": op2_suffix_tree,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_langid": op4_langid,
         "op5_suffix_dedup": op5_suffix_dedup,
