@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,15 +199,19 @@ def zones(buf: np.ndarray, offsets: np.ndarray, length: int) -> Zones | None:
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(x) for x in arrays], "<u4").tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
+    """The arrays' bytes, all first bytes, then all second ones: the shuffle's compression works on such planes."""
+    planes = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return b"".join([np.array([len(x) for x in arrays], "<u4").tobytes(), *planes])
 
 
 def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
     counts = np.frombuffer(blob, "<u4", len(kinds))
     at, out = 4 * len(kinds), []
     for n, kind in zip(counts.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * width
     return out
 
 
@@ -362,7 +367,10 @@ def repeats(docs: DataFrame, digest: bool = False, config: Config = Config()) ->
         q = [x[np.argsort(q[0], kind="stable")] for x in q]
         table = table.combine_chunks()
         key, order = table["__sd_key"].to_numpy(), table["__sd_order"].to_numpy()
-        texts = table["text"].chunk(0) if table.num_rows else pa.array([], pa.string())
+        if last:
+            texts = pa.array([zstandard.decompress(x) for x in table["__sd_text"].to_pylist()], pa.binary()).cast(pa.string())
+            table = table.set_column(table.column_names.index("text"), "text", texts)
+        texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
         buf, offsets = tb.text_bytes(texts)
         before = table["__sd_spans"].to_pylist() if last else [None] * table.num_rows
         lo, hi = np.searchsorted(s[0], key), np.searchsorted(s[0], key, side="right")
@@ -398,31 +406,32 @@ def repeats(docs: DataFrame, digest: bool = False, config: Config = Config()) ->
         done = [i for i, x in enumerate(outcome) if x is not None]
         parts = []
         blank = dict.fromkeys(results)
-        names = [*columns, *results, "__sd_spans", "__sd_to", "__sd_kind", "__sd_blob"]
-        base = table.select(columns)
-        if digest:
-            base = base.set_column(base.column_names.index("text"), schema.field("text"), pa.chunked_array([pa.nulls(table.num_rows, pa.string())]))
+        names = [*columns, *results, "__sd_text", "__sd_spans", "__sd_to", "__sd_kind", "__sd_blob"]
+        blank_text = table.select(columns).set_column(columns.index("text"), schema.field("text"), pa.chunked_array([pa.nulls(table.num_rows, pa.string())]))
+        base = blank_text if digest else table.select(columns)
 
-        def rows_of(source: pa.Table, index: list, values: dict, spans_: list | None, kind: int) -> pa.Table:
+        def rows_of(source: pa.Table, index: list, values: dict, texts_: list | None, spans_: list | None, kind: int) -> pa.Table:
             taken = source.take(pa.array(index, pa.int64()))
             cols = [taken[c] for c in columns]
             cols += [pa.array(values[c] if values[c] is not None else [None] * len(index), schema.field(c).type) for c in results]
-            cols += [pa.array(spans_ or [None] * len(index), pa.binary()), pa.nulls(len(index), pa.int64()), pa.array([kind] * len(index), pa.int32()), pa.nulls(len(index), pa.binary())]
+            cols += [pa.array(texts_ or [None] * len(index), pa.binary()), pa.array(spans_ or [None] * len(index), pa.binary()), pa.nulls(len(index), pa.int64()), pa.array([kind] * len(index), pa.int32()), pa.nulls(len(index), pa.binary())]
             return pa.table(cols, names=names).cast(schema)
 
-        parts.append(rows_of(base, done, {c: [outcome[i][k] for i in done] for k, c in enumerate(results)}, None, 0))
+        parts.append(rows_of(base, done, {c: [outcome[i][k] for i in done] for k, c in enumerate(results)}, None, None, 0))
         if pending:
-            parts.append(rows_of(table.select(columns), pending, blank, held, 1))
+            squeeze = zstandard.ZstdCompressor(level=1)
+            packed_texts = [squeeze.compress(buf[offsets[i] : offsets[i + 1]].tobytes()) for i in pending]
+            parts.append(rows_of(blank_text, pending, blank, packed_texts, held, 1))
         if sent:
             t = _table(sent)
-            parts.append(pa.table([*(pa.nulls(len(sent), schema.field(c).type) for c in [*columns, *results, "__sd_spans"]), *t.columns], names=names).cast(schema))
+            parts.append(pa.table([*(pa.nulls(len(sent), schema.field(c).type) for c in [*columns, *results, "__sd_text", "__sd_spans"]), *t.columns], names=names).cast(schema))
         return pa.concat_tables(parts)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
     kinds = [LongType(), LongType(), LongType(), StringType() if digest else BinaryType()]
-    out = StructType([*(StructField(c, keyed.schema[c].dataType) for c in columns), *(StructField(c, t) for c, t in zip(results, kinds, strict=True)), StructField("__sd_spans", BinaryType()), StructField("__sd_to", LongType()), StructField("__sd_kind", IntegerType()), StructField("__sd_blob", BinaryType())])
+    out = StructType([*(StructField(c, keyed.schema[c].dataType) for c in columns), *(StructField(c, t) for c, t in zip(results, kinds, strict=True)), StructField("__sd_text", BinaryType()), StructField("__sd_spans", BinaryType()), StructField("__sd_to", LongType()), StructField("__sd_kind", IntegerType()), StructField("__sd_blob", BinaryType())])
     schema = to_arrow_schema(out)
 
     packed = keyed.select("__sd_key", "__sd_order", "text").mapInArrow(anchors, _ROWS_SQL)
@@ -432,7 +441,7 @@ def repeats(docs: DataFrame, digest: bool = False, config: Config = Config()) ->
     first = texts.groupBy("__sd_to").cogroup(marks.groupBy("__sd_to")).applyInArrow(lambda a, b: settle(a, b, False), out)
     first = materialize(spark, first, "suffix")
     more = first.where("__sd_kind = 2").select("__sd_to", "__sd_kind", "__sd_blob").groupBy("__sd_to").applyInArrow(string_bucket, _ROWS_SQL)
-    pending = first.where("__sd_kind = 1").select(*columns, "__sd_spans").withColumn("__sd_to", bucket)
+    pending = first.where("__sd_kind = 1").select(*columns, "__sd_text", "__sd_spans").withColumn("__sd_to", bucket)
     second = pending.groupBy("__sd_to").cogroup(more.groupBy("__sd_to")).applyInArrow(lambda a, b: settle(a, b, True), out)
     given = [c for c in columns if not c.startswith("__sd_") and not (digest and c == "text")]
     return first.where("__sd_kind = 0").unionByName(second).select(*given, *results)
