@@ -4,12 +4,399 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from furlong.operators import asof, bets, features, market, past, records
+from furlong.sources.views import CARDS, RUNS, VERSIONS, cards, runs, table, versions
+from furlong.streaming.cards import daily_windows
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+KEY = ["race_id", "post_no"]
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def out(df: DataFrame, *cols: str, keys: list[str] = KEY, digits: int = 6) -> DataFrame:
+    """Keys and columns, doubles rounded, whole numbers as long."""
+    kinds = dict(df.dtypes)
+    made = [F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in cols]
+    return df.select(*keys, *made)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def _past(name: str, f: Callable[[DataFrame], DataFrame], expr: str) -> None:
+    query(name, f"WITH {RUNS} SELECT race_id, post_no, {expr} AS x FROM runs")(lambda s, d: out(f(runs(s, d)), "x"))
+
+
+# SQL windows over earlier rows, races and days
+ROW = "ORDER BY day, race_id, post_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+DAY = "ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+H, T, J = "PARTITION BY horse_id", "PARTITION BY trainer_id", "PARTITION BY jockey_id"
+WIN_SQL = "CASE WHEN finish_rank = 1 THEN 1 ELSE 0 END"
+
+_past("past_count_row", lambda r: past.past_count(r, ["horse_id"], "x"), f"count(*) OVER ({H} {ROW})")
+_past("past_count_day", lambda r: past.past_count(r, ["trainer_id"], "x", "day"), f"count(*) OVER ({T} {DAY})")
+_past("past_sum_row", lambda r: past.past_sum(r, ["horse_id"], "price", "x"), f"round(coalesce(sum(price) OVER ({H} {ROW}), 0), 6)")
+_past("past_sum_day", lambda r: past.past_sum(r, ["jockey_id"], "price", "x", "day"), f"round(coalesce(sum(price) OVER ({J} {DAY}), 0), 6)")
+_past("past_rate_row", lambda r: past.past_rate(r, ["horse_id"], features.won(), "x", 3), f"CASE WHEN count(*) OVER ({H} {ROW}) >= 3 THEN round(sum({WIN_SQL}) OVER ({H} {ROW}) / count(*) OVER ({H} {ROW}), 6) END")
+_past("past_rate_day", lambda r: past.past_rate(r, ["trainer_id"], features.won(), "x", 10, "day"), f"CASE WHEN count(*) OVER ({T} {DAY}) >= 10 THEN round(sum({WIN_SQL}) OVER ({T} {DAY}) / count(*) OVER ({T} {DAY}), 6) END")
+_past("past_mean_day", lambda r: past.past_mean(r, ["horse_id"], F.col("finish_rank"), "x"), f"round(avg(finish_rank) OVER ({H} {DAY}), 6)")
+_past("past_std_day", lambda r: past.past_std(r, ["horse_id"], F.col("finish_rank"), "x"), f"CASE WHEN count(*) OVER ({H} {DAY}) >= 2 THEN round(stddev_pop(finish_rank) OVER ({H} {DAY}), 6) END")
+_past("past_conditional_mean", lambda r: past.past_conditional_mean(r, ["horse_id"], F.col("finish_rank"), F.col("distance") >= 2500, "x"), f"round(avg(finish_rank) FILTER (distance >= 2500) OVER ({H} {DAY}), 6)")
+_past("past_conditional_mean_surface", lambda r: past.past_conditional_mean(r, ["jockey_id"], F.col("finish_rank"), F.col("surface") == "R", "x", 5), f"CASE WHEN count(*) FILTER (surface = 'R') OVER ({J} {DAY}) >= 5 THEN round(avg(finish_rank) FILTER (surface = 'R') OVER ({J} {DAY}), 6) END")
+_past("past_window_mean", lambda r: past.past_window_mean(r, ["horse_id"], F.col("finish_rank"), "x", 5), f"round(avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6)")
+_past("past_previous", lambda r: past.previous(r, ["horse_id"], F.when(F.col("finish_rank") <= 2, F.col("price")), "x"), f"round(last_value(CASE WHEN finish_rank <= 2 THEN price END IGNORE NULLS) OVER ({H} {ROW}), 6)")
+_past("past_standardized", lambda r: past.standardized(r, ["surface", "going"], F.col("price"), "x"),
+      f"CASE WHEN count(*) OVER (PARTITION BY surface, going {DAY}) >= 30 THEN round((price - avg(price) OVER (PARTITION BY surface, going {DAY})) / nullif(stddev_pop(price) OVER (PARTITION BY surface, going {DAY}), 0), 6) END")
+_past("running_maximum", lambda r: r.withColumn("x", F.max("price").over(Window.partitionBy("horse_id").orderBy("day", *KEY).rowsBetween(Window.unboundedPreceding, -1))), f"round(max(price) OVER ({H} {ROW}), 6)")
+
+
+@query("past_rate_excluding_race", f"""WITH {RUNS}, r AS (SELECT trainer_id, day, race_id, count(*) AS n, sum({WIN_SQL}) AS s FROM runs GROUP BY ALL),
+ p AS (SELECT trainer_id, race_id, sum(n) OVER w AS n, sum(s) OVER w AS s FROM r WINDOW w AS ({T} ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT race_id, post_no, CASE WHEN n >= 5 THEN round(s / n, 6) END AS x FROM runs JOIN p USING (trainer_id, race_id)""")
+def _excluding(s: SparkSession, d: str) -> DataFrame:
+    return out(past.past_rate(runs(s, d), ["trainer_id"], features.won(), "x", 5, "race"), "x")
+
+
+@query("weekend_block", f"WITH {RUNS}, d AS (SELECT DISTINCT day FROM runs), i AS (SELECT day, day - row_number() OVER (ORDER BY day) AS g FROM d) SELECT day, min(day) OVER (PARTITION BY g) AS block_start FROM i")
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return past.block_start(runs(s, d)).select("day", "block_start")
+
+
+@query("horse_features", f"""WITH {RUNS} SELECT race_id, post_no, count(*) OVER d AS starts, round(sum({WIN_SQL}) OVER d / nullif(count(*) OVER d, 0), 6) AS win_rate,
+ round(sum(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER d / nullif(count(*) OVER d, 0), 6) AS show_rate, round(avg(finish_rank) OVER d, 6) AS mean_rank,
+ lag(finish_rank) OVER w AS previous_rank, day - lag(day) OVER w AS days_since, distance - lag(distance) OVER w AS distance_change,
+ round(avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_rank
+ FROM runs WINDOW d AS ({H} {DAY}), w AS ({H} ORDER BY day, race_id, post_no)""")
+def _horse(s: SparkSession, d: str) -> DataFrame:
+    return out(features.horse_features(runs(s, d)), "starts", "win_rate", "show_rate", "mean_rank", "previous_rank", "days_since", "distance_change", "last3_rank")
+
+
+@query("jockey_features", f"""WITH {RUNS} SELECT race_id, post_no, CASE WHEN count(*) OVER a >= 10 THEN round(avg({WIN_SQL}) OVER a, 6) END AS rate, CASE WHEN count(*) OVER b >= 10 THEN round(avg({WIN_SQL}) OVER b, 6) END AS rate_here
+ FROM runs WINDOW a AS ({J} {DAY}), b AS (PARTITION BY jockey_id, surface {DAY})""")
+def _jockey(s: SparkSession, d: str) -> DataFrame:
+    return out(features.person_features(runs(s, d), "jockey_id", "surface"), "rate", "rate_here")
+
+
+@query("trainer_features", f"""WITH {RUNS} SELECT race_id, post_no, CASE WHEN count(*) OVER a >= 10 THEN round(avg({WIN_SQL}) OVER a, 6) END AS rate, CASE WHEN count(*) OVER b >= 10 THEN round(avg({WIN_SQL}) OVER b, 6) END AS rate_here
+ FROM runs WINDOW a AS ({T} {DAY}), b AS (PARTITION BY trainer_id, venue {DAY})""")
+def _trainer(s: SparkSession, d: str) -> DataFrame:
+    return out(features.person_features(runs(s, d), "trainer_id", "venue"), "rate", "rate_here")
+
+
+@query("pair_features", f"""WITH {RUNS} SELECT race_id, post_no, count(*) OVER p AS pair_starts, round(avg({WIN_SQL}) OVER p, 6) AS pair_rate,
+ CAST(jockey_id <> lag(jockey_id) OVER ({H} ORDER BY day, race_id, post_no) AS BIGINT) AS changed FROM runs WINDOW p AS (PARTITION BY horse_id, jockey_id {DAY})""")
+def _pair(s: SparkSession, d: str) -> DataFrame:
+    return out(features.pair_features(runs(s, d)), "pair_starts", "pair_rate", "changed")
+
+
+@query("race_features", f"""WITH {RUNS}, f AS (SELECT *, avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER ({H} {DAY}) AS r FROM runs)
+ SELECT race_id, post_no, round(r, 6) AS show_rate, count(*) OVER (PARTITION BY race_id) AS field, CASE WHEN r IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY r DESC NULLS LAST) END AS rate_rank,
+ round(win_odds - avg(win_odds) OVER (PARTITION BY race_id), 6) + 0 AS odds_gap FROM f""")
+def _race(s: SparkSession, d: str) -> DataFrame:
+    return out(features.race_features(runs(s, d)), "show_rate", "field", "rate_rank", "odds_gap")
+
+
+@query("class_features", f"""WITH {RUNS}, l AS (SELECT *, 6 - CAST(substr(grade, 1, 1) AS BIGINT) AS level FROM runs),
+ p AS (SELECT horse_id, day, level, count(*) AS n, sum(finish_rank) AS s FROM l GROUP BY ALL)
+ SELECT l.race_id, l.post_no, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS class_starts, round(sum(p.s) / sum(p.n), 6) AS class_rank
+ FROM l LEFT JOIN p ON p.horse_id = l.horse_id AND p.day < l.day AND p.level >= l.level GROUP BY 1, 2""")
+def _class(s: SparkSession, d: str) -> DataFrame:
+    return out(features.class_features(runs(s, d).withColumn("level", 6 - F.substring("grade", 1, 1).cast("long"))), "class_starts", "class_rank")
+
+
+@query("form_table", f"""WITH {RUNS}, f AS (SELECT *, count(*) OVER d AS starts, avg({WIN_SQL}) OVER d AS wr, avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER d AS sr,
+ CASE WHEN count(*) OVER j >= 5 THEN avg({WIN_SQL}) OVER j END AS jr, lag(finish_rank) OVER w AS previous_rank, day - lag(day) OVER w AS days_since,
+ avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS l3, sum(1 / win_odds) OVER (PARTITION BY race_id) AS book
+ FROM runs WINDOW d AS ({H} {DAY}), j AS ({J} {DAY}), w AS ({H} ORDER BY day, race_id, post_no))
+ SELECT race_id, post_no, starts, round(wr, 6) AS win_rate, round(sr, 6) AS show_rate, round(l3, 6) AS last3_rank, previous_rank, days_since, round(jr, 6) AS jockey_rate,
+ CASE WHEN wr IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY wr DESC NULLS LAST) END AS form_rank, round(1 / win_odds / book, 6) AS market, count(*) OVER (PARTITION BY race_id) AS field FROM f""")
+def _form(s: SparkSession, d: str) -> DataFrame:
+    return out(features.form_table(runs(s, d)), "starts", "win_rate", "show_rate", "last3_rank", "previous_rank", "days_since", "jockey_rate", "form_rank", "market", "field")
+
+
+# ---- records
+
+PRIORITY = {"1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "7": 3}
+PRIORITY_SQL = "CASE state WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 WHEN '4' THEN 4 WHEN '5' THEN 5 WHEN '7' THEN 3 END"
+
+
+@query("versions_fold", f"""WITH {VERSIONS}, k AS (SELECT *, max(CASE WHEN state = '0' THEN 1 ELSE 0 END) OVER (PARTITION BY race_id, line ORDER BY made, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS gone,
+ {PRIORITY_SQL} AS p FROM versions WHERE state IN ('0', '1', '2', '3', '4', '5', '7'))
+ SELECT race_id, line, state, seq, round(value, 6) AS value FROM k WHERE gone = 0 QUALIFY row_number() OVER (PARTITION BY race_id, line ORDER BY p DESC, made DESC, seq DESC) = 1""")
+def _fold(s: SparkSession, d: str) -> DataFrame:
+    return out(records.fold_versions(versions(s, d), ["race_id", "line"], PRIORITY), "state", "seq", "value", keys=["race_id", "line"])
+
+
+@query("dedupe_records", f"WITH {VERSIONS} SELECT race_id, line, state, seq, round(value, 6) AS value, count(*) OVER (PARTITION BY race_id, line) AS n_versions FROM versions QUALIFY row_number() OVER (PARTITION BY race_id, line ORDER BY made DESC, seq DESC) = 1")
+def _latest(s: SparkSession, d: str) -> DataFrame:
+    return out(records.latest(versions(s, d), ["race_id", "line"], [F.col("made"), F.col("seq")]), "state", "seq", "value", "n_versions", keys=["race_id", "line"])
+
+
+@query("duplicated_keys", f"WITH {VERSIONS} SELECT race_id, line, count(*) AS n FROM versions GROUP BY 1, 2 HAVING count(*) > 1")
+def _duplicates(s: SparkSession, d: str) -> DataFrame:
+    return versions(s, d).groupBy("race_id", "line").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("upsert", f"""WITH {VERSIONS}, o AS (SELECT race_id, line, value, state FROM versions WHERE seq = 1 AND race_id % 3 <> 0), n AS (SELECT race_id, line, value, state FROM versions WHERE seq = 2 OR (seq = 1 AND race_id % 3 = 0))
+ SELECT coalesce(o.race_id, n.race_id) AS race_id, coalesce(o.line, n.line) AS line, round(CASE WHEN n.race_id IS NULL THEN o.value ELSE n.value END, 6) AS value,
+ CASE WHEN n.race_id IS NULL THEN o.state ELSE n.state END AS state,
+ CASE WHEN o.race_id IS NULL THEN 'new' WHEN n.race_id IS NULL THEN 'missing' WHEN o.value = n.value AND o.state = n.state THEN 'same' ELSE 'updated' END AS change
+ FROM o FULL JOIN n ON o.race_id = n.race_id AND o.line = n.line""")
+def _upsert(s: SparkSession, d: str) -> DataFrame:
+    v = versions(s, d).select("race_id", "line", "value", "state", "seq")
+    old = v.where("seq = 1 and race_id % 3 <> 0").drop("seq")
+    new = v.where("seq = 2 or (seq = 1 and race_id % 3 = 0)").drop("seq")
+    return out(records.upsert(old, new, ["race_id", "line"], ["value", "state"]), "value", "state", "change", keys=["race_id", "line"])
+
+
+# ---- market and ordered finishes, on cards
+
+P_SQL = f"{CARDS}, m AS (SELECT *, 1 / win_odds / sum(1 / win_odds) OVER (PARTITION BY race_id) AS p FROM cards)"
+TENSOR_SQL = P_SQL + """, s AS (SELECT race_id, post_no AS i, p AS a, pow(p, {g}) AS g, pow(p, {d}) AS d FROM m), f AS (SELECT race_id, sum(g) AS sg, sum(d) AS sd FROM s GROUP BY 1),
+ tensor AS (SELECT race_id, x.i AS i, y.i AS j, z.i AS k, x.a * y.g / (sg - x.g) * z.d / (sd - x.d - y.d) AS prob FROM s x JOIN s y USING (race_id) JOIN s z USING (race_id) JOIN f USING (race_id) WHERE x.i <> y.i AND x.i <> z.i AND y.i <> z.i)"""
+GAMMA, DELTA = 0.81, 0.65
+HARVILLE, DISCOUNTED = TENSOR_SQL.format(g=1.0, d=1.0), TENSOR_SQL.format(g=GAMMA, d=DELTA)
+
+
+def priced(s: SparkSession, d: str) -> DataFrame:
+    return market.market_probability(cards(s, d))
+
+
+@query("market_probability", f"WITH {P_SQL} SELECT race_id, post_no, round(p, 6) AS p FROM m")
+def _market(s: SparkSession, d: str) -> DataFrame:
+    return out(priced(s, d), "p")
+
+
+@query("market_mixture", f"""WITH {P_SQL}, u AS (SELECT *, exp(0.3 * ln(1 / count(*) OVER (PARTITION BY race_id)) + 0.7 * ln(p)) AS raw FROM m)
+ SELECT race_id, post_no, round(raw / sum(raw) OVER (PARTITION BY race_id), 6) AS mixed FROM u""")
+def _mixture(s: SparkSession, d: str) -> DataFrame:
+    m = priced(s, d).withColumn("flat", 1 / F.count("*").over(Window.partitionBy("race_id")))
+    return out(market.mixture(m, "flat", "p", 0.3), "mixed")
+
+
+def _combination(name: str, kind: str, cols: str, sql: str, keys: list[str]) -> None:
+    query(name, f"WITH {HARVILLE} SELECT race_id, {cols}, round(sum(prob), 8) AS prob FROM tensor GROUP BY {sql}")(lambda s, d: out(market.combinations(market.finish_tensor(priced(s, d)), kind), "prob", keys=keys, digits=8))
+
+
+_combination("tensor_exacta", "exacta", "i AS a, j AS b", "race_id, i, j", ["race_id", "a", "b"])
+_combination("tensor_quinella", "quinella", "least(i, j) AS a, greatest(i, j) AS b", "ALL", ["race_id", "a", "b"])
+_combination("tensor_trio", "trio", "least(i, j, k) AS a, i + j + k - least(i, j, k) - greatest(i, j, k) AS b, greatest(i, j, k) AS c", "ALL", ["race_id", "a", "b", "c"])
+
+
+@query("tensor_discounted", f"WITH {DISCOUNTED} SELECT race_id, i, j, k, round(prob, 8) AS prob FROM tensor QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY round(prob, 8) DESC, i, j, k) <= 10")
+def _discounted(s: SparkSession, d: str) -> DataFrame:
+    t = market.finish_tensor(priced(s, d), "p", GAMMA, DELTA).withColumn("prob", F.round("prob", 8))
+    w = Window.partitionBy("race_id").orderBy(F.desc("prob"), "i", "j", "k")
+    return t.withColumn("_k", F.row_number().over(w)).where("_k <= 10").select("race_id", "i", "j", "k", "prob")
+
+
+@query("tensor_marginals", f"""WITH {DISCOUNTED}, e AS (SELECT race_id, i AS post_no, prob AS a, 0 AS b, 0 AS c FROM tensor UNION ALL SELECT race_id, j, 0, prob, 0 FROM tensor UNION ALL SELECT race_id, k, 0, 0, prob FROM tensor)
+ SELECT race_id, post_no, round(sum(a), 6) AS p1, round(sum(b), 6) AS p2, round(sum(c), 6) AS p3 FROM e GROUP BY 1, 2""")
+def _marginals(s: SparkSession, d: str) -> DataFrame:
+    return out(market.marginals(market.finish_tensor(priced(s, d), "p", GAMMA, DELTA)), "p1", "p2", "p3")
+
+
+@query("trifecta_calibration", f"""WITH {HARVILLE}, w AS (SELECT race_id, max(CASE WHEN finish_rank = 1 THEN post_no END) AS a, max(CASE WHEN finish_rank = 2 THEN post_no END) AS b, max(CASE WHEN finish_rank = 3 THEN post_no END) AS c FROM cards GROUP BY 1)
+ SELECT CAST(floor(log10(prob)) AS BIGINT) AS bin, count(*) AS n, round(sum(prob), 4) AS expected, CAST(sum(CASE WHEN i = a AND j = b AND k = c THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM tensor JOIN w USING (race_id) GROUP BY 1""")
+def _trifecta_calibration(s: SparkSession, d: str) -> DataFrame:
+    m = priced(s, d)
+    at = lambda k: F.max(F.when(F.col("finish_rank") == k, F.col("post_no")))
+    won = m.groupBy("race_id").agg(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
+    t = market.finish_tensor(m).join(won, "race_id")
+    hit = F.coalesce(((F.col("i") == F.col("a")) & (F.col("j") == F.col("b")) & (F.col("k") == F.col("c"))).cast("int"), F.lit(0))
+    return t.groupBy(F.floor(F.log10("prob")).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.sum("prob"), 4).alias("expected"), F.sum(hit).alias("hits"))
+
+
+@query("estimated_payout", f"WITH {HARVILLE} SELECT race_id, least(i, j) AS a, greatest(i, j) AS b, round(77.5 / sum(prob), 4) AS payout FROM tensor GROUP BY ALL")
+def _estimated(s: SparkSession, d: str) -> DataFrame:
+    c = market.combinations(market.finish_tensor(priced(s, d)), "quinella")
+    return c.select("race_id", "a", "b", F.round(77.5 / F.col("prob"), 4).alias("payout"))
+
+
+@query("race_log_loss", f"WITH {P_SQL} SELECT surface, count(DISTINCT race_id) AS races, round(avg(CASE WHEN finish_rank = 1 THEN -ln(greatest(p, 1e-6)) END), 6) AS loss FROM m GROUP BY 1")
+def _loss(s: SparkSession, d: str) -> DataFrame:
+    m = priced(s, d)
+    return m.groupBy("surface").agg(F.count_distinct("race_id").alias("races"), F.round(market.log_loss(m, "p"), 6).alias("loss"))
+
+
+@query("calibration_table", f"WITH {P_SQL} SELECT CAST(floor(p / 0.02) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(CASE WHEN finish_rank = 1 THEN 1 ELSE 0 END), 6) AS observed FROM m GROUP BY 1")
+def _calibration(s: SparkSession, d: str) -> DataFrame:
+    return out(market.calibration(priced(s, d), F.col("p"), F.col("finish_rank") == 1, 0.02), "n", "predicted", "observed", keys=["bin"])
+
+
+@query("auc", f"""WITH {P_SQL}, c AS (SELECT p, sum({WIN_SQL}) AS w, count(*) AS n FROM m GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS k FROM c)
+ SELECT CAST(sum(w) AS BIGINT) AS positives, CAST(sum(n) - sum(w) AS BIGINT) AS negatives, round((sum(k * w) - sum(w) * (sum(w) + 1) / 2) / (sum(w) * (sum(n) - sum(w))), 6) AS auc FROM r""")
+def _auc(s: SparkSession, d: str) -> DataFrame:
+    m = priced(s, d).withColumn("won", features.won())
+    return market.auc(m, "p", "won").select("positives", "negatives", F.round("auc", 6).alias("auc"))
+
+
+# ---- bets, on runs with the market's order
+
+MODEL_SQL = f"{RUNS}, m AS (SELECT *, 1 / win_odds / sum(1 / win_odds) OVER (PARTITION BY race_id) AS p FROM runs), k AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY p DESC, post_no) AS model_rank FROM m)"
+RACE_SQL = MODEL_SQL + """, t AS (SELECT race_id, count(*) AS field, min(grade) AS grade, min(payout) AS payout, min(CASE WHEN finish_rank = 1 THEN model_rank END) AS r1, min(CASE WHEN finish_rank = 2 THEN model_rank END) AS r2,
+ min(CASE WHEN finish_rank = 3 THEN model_rank END) AS r3 FROM k GROUP BY 1 HAVING count(*) >= 3)"""
+
+
+def ranked(s: SparkSession, d: str) -> DataFrame:
+    return bets.model_rank(market.market_probability(runs(s, d)), "p")
+
+
+@query("race_table", f"WITH {RACE_SQL} SELECT race_id, field, grade, round(payout, 6) AS payout, r1, r2, r3 FROM t")
+def _race_table(s: SparkSession, d: str) -> DataFrame:
+    return out(bets.race_table(ranked(s, d)), "field", "grade", "payout", "r1", "r2", "r3", keys=["race_id"])
+
+
+def _simulation(by: str, source: str, n: tuple[int, int, int]) -> str:
+    z = "1.96"
+    return f"""WITH {source}, h AS (SELECT *, CASE WHEN r1 <= {n[0]} AND r2 <= {n[1]} AND r3 <= {n[2]} THEN 1 ELSE 0 END AS hit, least({n[0]}, field) * (least({n[1]}, field) - 1) * (least({n[2]}, field) - 2) AS points FROM t),
+ g AS (SELECT {by}, count(*) AS races, sum(hit) AS hits, sum(CASE WHEN hit = 1 AND payout >= 150000 THEN 1 ELSE 0 END) AS hot, sum(points) * 100 AS stake, sum(CASE WHEN hit = 1 THEN payout ELSE 0 END) AS paid FROM h GROUP BY ALL),
+ w AS (SELECT *, hits / races AS p, (hits / races + {z} * {z} / (2 * races)) / (1 + {z} * {z} / races) AS c, {z} / (1 + {z} * {z} / races) * sqrt(hits / races * (1 - hits / races) / races + {z} * {z} / (4 * races * races)) AS e FROM g)
+ SELECT {by.split(' AS ')[-1]}, races, CAST(hits AS BIGINT) AS hits, CAST(hot AS BIGINT) AS hot, CAST(stake AS BIGINT) AS stake, round(paid, 2) AS paid, round(p, 6) AS hit_rate, round(greatest(c - e, 0), 6) AS low, round(least(c + e, 1), 6) AS high, round(paid / stake, 6) AS roi FROM w"""
+
+
+SIM = ["races", "hits", "hot", "stake", "paid", "hit_rate", "low", "high", "roi"]
+
+
+def _simulated(df: DataFrame, by: str) -> DataFrame:
+    return out(df.withColumn("paid", F.round("paid", 2)).withColumn("roi", F.col("paid") / F.col("stake")), *SIM, keys=[by])
+
+
+@query("strategy_by_grade", _simulation("grade", RACE_SQL, (2, 3, 4)).replace("paid / stake", "round(paid, 2) / stake"))
+def _strategy(s: SparkSession, d: str) -> DataFrame:
+    return _simulated(bets.simulate(bets.race_table(ranked(s, d)), 2, 3, 4, ["grade"], 150_000), "grade")
+
+
+@query("graded_vs_flat", _simulation("CASE WHEN grade IN ('1-URGENT', '2-HIGH') THEN 'graded' ELSE 'flat' END AS segment", RACE_SQL, (1, 3, 5)).replace("paid / stake", "round(paid, 2) / stake"))
+def _graded(s: SparkSession, d: str) -> DataFrame:
+    t = bets.race_table(ranked(s, d)).withColumn("segment", F.when(F.col("grade").isin("1-URGENT", "2-HIGH"), "graded").otherwise("flat"))
+    return _simulated(bets.simulate(t, 1, 3, 5, ["segment"], 150_000), "segment")
+
+
+DIFFICULTY_SQL = MODEL_SQL + """, d AS (SELECT race_id, count(*) AS field, -sum(p * ln(p)) AS entropy, CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) END AS evenness, stddev_samp(p) AS spread, max(p) AS top,
+ sum(CASE WHEN model_rank = 1 THEN p ELSE 0 END) - sum(CASE WHEN model_rank = 2 THEN p ELSE 0 END) AS lead, sum(CASE WHEN model_rank <= 3 THEN p ELSE 0 END) AS top3,
+ 2 * ((count(*) + 1) * sum(p) - sum(model_rank * p)) / count(*) - (count(*) + 1) / count(*) AS gini FROM k GROUP BY 1)"""
+
+
+@query("race_difficulty", f"WITH {DIFFICULTY_SQL} SELECT race_id, field, round(entropy, 6) AS entropy, round(evenness, 6) AS evenness, round(spread, 6) AS spread, round(top, 6) AS top, round(lead, 6) AS lead, round(top3, 6) AS top3, round(gini, 6) AS gini FROM d")
+def _difficulty(s: SparkSession, d: str) -> DataFrame:
+    return out(bets.difficulty(ranked(s, d), "p"), "field", "entropy", "evenness", "spread", "top", "lead", "top3", "gini", keys=["race_id"])
+
+
+STRATA_SQL = RACE_SQL.replace(", t AS", DIFFICULTY_SQL.removeprefix(MODEL_SQL) + ", t0 AS") + """, e AS (SELECT list_distinct(quantile_cont(top, [0.25, 0.5, 0.75])) AS e FROM d JOIN t0 USING (race_id)),
+ t AS (SELECT t0.*, len([x for x in e.e if d.top > x]) AS stratum FROM t0 JOIN d USING (race_id), e)"""
+
+
+@query("strata_simulation", _simulation("stratum", STRATA_SQL, (2, 3, 4)).replace("paid / stake", "round(paid, 2) / stake"))
+def _strata(s: SparkSession, d: str) -> DataFrame:
+    k = ranked(s, d)
+    t = bets.race_table(k).join(bets.difficulty(k, "p").select("race_id", "top"), "race_id")
+    return _simulated(bets.simulate(bets.strata(t, "top", 4), 2, 3, 4, ["stratum"], 150_000), "stratum")
+
+
+@query("expected_value_bets", f"WITH {MODEL_SQL}, e AS (SELECT *, p * win_odds AS ev FROM m WHERE p * win_odds >= 0.9) SELECT race_id, post_no, round(ev, 6) AS ev, row_number() OVER (PARTITION BY race_id ORDER BY ev DESC, post_no) AS pick FROM e QUALIFY pick <= 2")
+def _ev(s: SparkSession, d: str) -> DataFrame:
+    return out(bets.expected_value(market.market_probability(runs(s, d)), "p", 0.9, 2), "ev", "pick")
+
+
+@query("backtest_top_n", f"WITH {MODEL_SQL} SELECT race_date, count(*) AS bets, CAST(sum({WIN_SQL}) AS BIGINT) AS wins, round(sum(CASE WHEN finish_rank = 1 THEN win_odds * 100 ELSE 0 END) - count(*) * 100, 4) AS profit FROM k WHERE model_rank <= 2 AND win_odds BETWEEN 2 AND 5 GROUP BY 1")
+def _backtest(s: SparkSession, d: str) -> DataFrame:
+    b = ranked(s, d).where("model_rank <= 2 and win_odds between 2 and 5")
+    return b.groupBy("race_date").agg(F.count("*").alias("bets"), F.sum(features.won()).alias("wins"), F.round(F.sum(F.when(F.col("finish_rank") == 1, F.col("win_odds") * 100).otherwise(0.0)) - F.count("*") * 100, 4).alias("profit"))
+
+
+@query("profit_curve", f"WITH {MODEL_SQL}, b AS (SELECT race_date, sum(CASE WHEN finish_rank = 1 THEN win_odds * 100 ELSE 0 END) - count(*) * 100 AS profit FROM k WHERE model_rank = 1 GROUP BY 1) SELECT race_date, round(sum(profit) OVER (ORDER BY race_date), 4) AS total FROM b")
+def _curve(s: SparkSession, d: str) -> DataFrame:
+    b = ranked(s, d).where("model_rank = 1").groupBy("race_date").agg((F.sum(F.when(F.col("finish_rank") == 1, F.col("win_odds") * 100).otherwise(0.0)) - F.count("*") * 100).alias("profit"))
+    # one row per date of the calendar
+    return b.select("race_date", F.round(F.sum("profit").over(Window.orderBy("race_date")), 4).alias("total"))
+
+
+@query("odds_band_report", f"WITH {RUNS} SELECT CASE WHEN win_odds >= 5 THEN 3 WHEN win_odds >= 3 THEN 2 WHEN win_odds >= 2 THEN 1 ELSE 0 END AS band, count(*) AS bets, CAST(sum({WIN_SQL}) AS BIGINT) AS hits, round(sum(CASE WHEN finish_rank = 1 THEN win_odds ELSE 0 END) / count(*), 6) AS roi FROM runs GROUP BY 1")
+def _bands(s: SparkSession, d: str) -> DataFrame:
+    r = runs(s, d).withColumn("band", bets.band(F.col("win_odds"), [2, 3, 5]))
+    return r.groupBy("band").agg(F.count("*").alias("bets"), F.sum(features.won()).alias("hits"), F.round(F.sum(F.when(F.col("finish_rank") == 1, F.col("win_odds")).otherwise(0.0)) / F.count("*"), 6).alias("roi"))
+
+
+@query("stakes", f"WITH {MODEL_SQL} SELECT race_id, post_no, round(least(greatest((p * (win_odds - 1) - (1 - p)) / (win_odds - 1), 0), 0.2), 6) AS kelly, CAST(ceil(round(50000 / win_odds / 100, 6)) * 100 AS BIGINT) AS stake FROM m")
+def _stakes(s: SparkSession, d: str) -> DataFrame:
+    m = market.market_probability(runs(s, d))
+    return m.select(*KEY, F.round(bets.kelly(F.col("p"), F.col("win_odds"), 0.2), 6).alias("kelly"), bets.stake_to_reach(F.col("win_odds"), 50_000).alias("stake"))
+
+
+# ---- as of, reports and sets
+
+BIAS_SQL = f"{CARDS}, b AS (SELECT race_id, min(start_ts) AS start_ts, CAST(min(start_ts) AS DATE) AS date, min(surface) AS surface, avg(post_no) - avg(CASE WHEN finish_rank <= 3 THEN post_no END) AS bias FROM cards GROUP BY 1)"
+
+
+@query("day_bias", f"""WITH {BIAS_SQL}, s AS (SELECT *, CAST(floor(epoch(start_ts)) AS BIGINT) AS start_s FROM b)
+ SELECT race_id, count(bias) OVER w AS n_before, round(coalesce(sum(bias) OVER w, 0) / (count(bias) OVER w + 1), 6) AS bias_before FROM s WINDOW w AS (PARTITION BY date, surface ORDER BY start_s RANGE BETWEEN UNBOUNDED PRECEDING AND 2400 PRECEDING)""")
+def _bias(s: SparkSession, d: str) -> DataFrame:
+    c = cards(s, d)
+    b = c.groupBy("race_id").agg(F.min("start_ts").alias("start_ts"), F.min("surface").alias("surface"), (F.avg("post_no") - F.avg(F.when(F.col("finish_rank") <= 3, F.col("post_no")))).alias("bias"))
+    b = b.withColumn("date", F.col("start_ts").cast("date")).withColumn("start_s", F.unix_timestamp(F.col("start_ts").cast("timestamp")))
+    return out(asof.day_bias(b, 25, 15), "n_before", "bias_before", keys=["race_id"])
+
+
+@query("asof_latest", """SELECT o.o_orderkey AS race_id, round(max_by(e.value, e.event_id) FILTER (e.event_id IS NOT NULL), 6) AS last_value FROM (SELECT o_orderkey, o_orderkey % 500 AS k, o_orderkey % 10000 AS at FROM orders) o
+ LEFT JOIN events e ON e.user_id = o.k AND e.event_id <= o.at AND e.value IS NOT NULL GROUP BY 1""")
+def _asof(s: SparkSession, d: str) -> DataFrame:
+    facts = table(s, d, "orders").select(F.col("o_orderkey").alias("race_id"), (F.col("o_orderkey") % 500).alias("user_id"), (F.col("o_orderkey") % 10000).alias("at"))
+    found = asof.latest_before(facts, "user_id", "at", table(s, d, "events").select("user_id", "event_id", "value"), "event_id", "value")
+    return out(found, "last_value", keys=["race_id"])
+
+
+@query("coverage_by_year", f"WITH {RUNS} SELECT CAST(year(race_date) AS BIGINT) AS year, count(*) AS n, round(avg(CASE WHEN payout >= 100000 THEN 1 ELSE 0 END), 6) AS share, count(DISTINCT race_id) AS races FROM runs GROUP BY 1")
+def _coverage(s: SparkSession, d: str) -> DataFrame:
+    return runs(s, d).groupBy(F.year("race_date").cast("long").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("payout") >= 100_000).cast("int")), 6).alias("share"), F.count_distinct("race_id").alias("races"))
+
+
+@query("grade_count_by_year", f"WITH {RUNS}, r AS (SELECT DISTINCT race_id, year(race_date) AS y, grade FROM runs) SELECT CAST(y AS BIGINT) AS year, count(*) FILTER (grade = '1-URGENT') AS urgent, count(*) FILTER (grade = '2-HIGH') AS high, count(*) FILTER (grade NOT IN ('1-URGENT', '2-HIGH')) AS other FROM r GROUP BY 1")
+def _grades(s: SparkSession, d: str) -> DataFrame:
+    r = runs(s, d).select("race_id", F.year("race_date").cast("long").alias("year"), F.when(F.col("grade") == "1-URGENT", "urgent").when(F.col("grade") == "2-HIGH", "high").otherwise("other").alias("g")).distinct()
+    p = r.groupBy("year").pivot("g", ["urgent", "high", "other"]).agg(F.count(F.lit(1)))
+    return p.select("year", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("urgent", "high", "other")))
+
+
+@query("payout_summary", f"WITH {RUNS}, r AS (SELECT DISTINCT race_id, grade, payout FROM runs) SELECT grade, count(*) AS n, round(min(payout), 4) AS low, round(quantile_cont(payout, 0.25), 4) AS q1, round(quantile_cont(payout, 0.5), 4) AS median, round(quantile_cont(payout, 0.75), 4) AS q3, round(max(payout), 4) AS high FROM r GROUP BY 1")
+def _five(s: SparkSession, d: str) -> DataFrame:
+    r = runs(s, d).select("race_id", "grade", "payout").distinct()
+    q = F.percentile("payout", [0.25, 0.5, 0.75])
+    return r.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.min("payout"), 4).alias("low"), *(F.round(q[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), F.round(F.max("payout"), 4).alias("high"))
+
+
+@query("semi_anti_keys", "SELECT 'semi' AS kind, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'anti', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def _semi(s: SparkSession, d: str) -> DataFrame:
+    o, k = table(s, d, "orders"), table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return o.join(k, "o_orderkey", "left_semi").agg(F.lit("semi").alias("kind"), F.count("*").alias("n")).unionByName(o.join(k, "o_orderkey", "left_anti").agg(F.lit("anti").alias("kind"), F.count("*").alias("n")))
+
+
+@query("key_intersection", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount = 0.0")
+def _sets(s: SparkSession, d: str) -> DataFrame:
+    k = table(s, d, "lineitem")
+    part = lambda c: k.where(c).select(F.col("l_partkey").alias("k"))
+    return part("l_quantity > 40").intersect(part("l_returnflag = 'R'")).subtract(part("l_discount = 0.0D"))
+
+
+@query("stream_daily_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    return daily_windows(s, d)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
