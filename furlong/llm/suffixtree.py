@@ -295,7 +295,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
                 logs = np.bincount(owner[common], own_logs, minlength=b - a)
                 value = np.bincount(owner[common], mixed(tree_logs[common], own_logs - scale), minlength=b - a)
                 m = b - a
-                yield pa.RecordBatch.from_arrays([doc.slice(a, m), learnt.slice(a, m), row.slice(a, m), pa.array(np.diff(before) + 1), pa.array(known.astype(np.int64)), pa.array(logs.astype(float)), pa.array(value), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([doc.slice(a, m), learnt.slice(a, m), row.slice(a, m), pa.array(np.diff(before) + 1), pa.array(known.astype(np.int64)), pa.array(logs.astype(float)), pa.array(value.astype(float)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
                 rest, of, trees = hashed[~common], owner[~common], tree_logs[~common].astype(np.float32)
                 sent = []
                 for g, part in _by((rest % _U(buckets)).astype(np.int64)):
