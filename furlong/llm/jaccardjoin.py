@@ -313,7 +313,8 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
     dealt = lists.select("set_id", "sig", "leaves", F.explode("leaves").alias("bucket")).withColumn("bunch", F.pmod(F.xxhash64("bucket"), F.lit(bunches)))
     proposed = materialize(spark, dealt.groupBy("bunch").applyInArrow(lambda t: propose(t, config), _PROPOSED_SQL), "proposed")
     need = proposed.where("set_id is not null").select("bunch", "set_id")
-    wanted = payload.select("set_id", "shingles").join(need.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    # what is needed has no fixed bound, so it is not broadcast, whatever its size
+    wanted = payload.select("set_id", "shingles").join(need.select("set_id").distinct().hint("merge"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     have = need.join(wanted, "set_id").groupBy("bunch")
     pairs = proposed.where("pairs is not null").select(F.col("bunch").alias("of"), "pairs").groupBy("of")
     links = materialize(spark, have.cogroup(pairs).applyInArrow(lambda a, b: verify(a, b, config), _LINKS_SQL), "links")
