@@ -189,7 +189,7 @@ def leaves(spark, signed: DataFrame, config: Config) -> DataFrame:
     return found
 
 
-def _pairs(size: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(size: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j of places within consecutive groups of the given sizes, in parts."""
     end = np.repeat(np.cumsum(size), size)
     count = end - np.arange(len(end)) - 1
@@ -213,13 +213,15 @@ def propose(table: pa.Table, config: Config) -> pa.Table:
     s, t = config.threshold[0] / config.threshold[1], config.signature
     least = max(1, math.floor(t * s - 4.5 * math.sqrt(t * s * (1 - s))))
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    # pairs whose lists are compared at a time: about two million entries
+    step = max(1, (1 << 20) // max(1, int(np.diff(at).max(initial=1))))
     found = []
     for x, y in _pairs(np.diff(cuts)):
         near = (sig[x] == sig[y]).sum(axis=1, dtype=np.int16) >= least
         near &= ids[x] != ids[y]
         x, y = x[near], y[near]
-        for a in range(0, len(x), 1 << 17):
-            p, q = x[a : a + (1 << 17)], y[a : a + (1 << 17)]
+        for a in range(0, len(x), step):
+            p, q = x[a : a + step], y[a : a + step]
             # a pair belongs to the least bucket that both are in
             size_p, size_q = at[p + 1] - at[p], at[q + 1] - at[q]
             owner = np.concatenate([np.repeat(np.arange(len(p)), size_p), np.repeat(np.arange(len(p)), size_q)])

@@ -28,7 +28,7 @@ class TokenizerSpec:
     path: str
     keeps_space: bool
     mark: str
-    known: int = 3_000_000
+    known: int = 1_500_000
 
 
 class PieceEncoder:
@@ -137,7 +137,7 @@ def encoder(spec: TokenizerSpec) -> PieceEncoder:
     return _encoders[spec]
 
 
-def encode_column(spec: TokenizerSpec, arr: pa.Array, end_id: int, slice_bytes: int = 1 << 22):
+def encode_column(spec: TokenizerSpec, arr: pa.Array, end_id: int, slice_bytes: int = 1 << 20):
     """Yields (first row, last row, ids, offsets) for slices of a string column; each text has end_id appended."""
     buf, offsets = tb.text_bytes(arr)
     one = encoder(spec)
