@@ -233,16 +233,48 @@ def propose(table: pa.Table, config: Config) -> pa.Table:
             twice = owner[1:][(owner[1:] == owner[:-1]) & (value[1:] == value[:-1])]
             mine = np.ones(len(p), bool)
             mine[twice] = False
-            found.append((bucket[p[mine]], ids[p[mine]], ids[q[mine]]))
-    b, x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-    if not len(b):
+            found.append((p[mine].astype(np.uint32), q[mine].astype(np.uint32)))
+    x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint32) for i in range(2))
+    if not len(x):
         return pa.table([[], [], []], schema=_PROPOSED)
     bunch = table["bunch"][0].as_py()
-    blob = np.stack([b, x, y]).tobytes()
-    need = np.unique(np.concatenate([x, y]))
+    blob = _packed(bucket, ids, x, y)
+    used = np.zeros(len(ids), bool)
+    used[x] = used[y] = True
+    need = np.unique(ids[used])
     return pa.table([pa.array([bunch] * (len(need) + 1), pa.int64()), pa.array([None, *need.tolist()], pa.int64()), pa.array([blob] + [None] * len(need), pa.binary())], schema=_PROPOSED)
 
 
+def _packed(bucket: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> bytes:
+    """Pairs of rows: the buckets and sets of the rows that occur, then two small row numbers a pair, in order."""
+    used = np.zeros(len(ids), bool)
+    used[x] = used[y] = True
+    place = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+    kind = "<u2" if used.sum() <= 1 << 16 else "<u4"
+    return b"".join([np.array([used.sum(), len(x)], "<i8").tobytes(), bucket[used].tobytes(), ids[used].tobytes(), place[x].astype(kind).tobytes(), place[y].astype(kind).tobytes()])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and sets of the rows, and the two row numbers of each pair, as given to ``_packed``."""
+    n, m = np.frombuffer(blob, "<i8", 2).tolist()
+    kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+    rows, at = np.frombuffer(blob, "<i8", 2 * n, 16), 16 + 16 * n
+    return rows[:n], rows[n:], np.frombuffer(blob, kind, m, at), np.frombuffer(blob, kind, m, at + m * kind.itemsize)
+
+
+def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least node of each node's connected part, by the links x, y."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 _PROPOSED = pa.schema([("bunch", pa.int64()), ("set_id", pa.int64()), ("pairs", pa.binary())])
 _PROPOSED_SQL = "bunch long, set_id long, pairs binary"
 _LINKS = pa.schema([("set_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -271,33 +303,33 @@ def _common(parts: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray
 
 def verify(have: pa.Table, proposed: pa.Table, config: Config) -> pa.Table:
     """Count the links of each set among the proposed pairs, and name the least set of its connected part."""
-    blobs = [np.frombuffer(b, np.int64).reshape(3, -1) for b in proposed["pairs"].to_pylist()]
+    blobs = proposed["pairs"].to_pylist()
     if not blobs:
         return pa.table([[], [], []], schema=_LINKS)
-    bucket, x, y = np.concatenate(blobs, axis=1)
     ids, shingles = have["set_id"].to_numpy(), have["shingles"].to_pylist()
     order = np.argsort(ids, kind="stable")
     keys = ids[order]
     values = [np.frombuffer(shingles[i], np.uint32) for i in order.tolist()]
     size = np.array([len(v) for v in values], np.int64)
-    x, y = np.searchsorted(keys, x), np.searchsorted(keys, y)
-    linked = np.zeros(len(x), bool)
-    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(bucket)) + 1):
-        own, where = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
-        both = _common([values[i] for i in own.tolist()], where[: len(part)], where[len(part) :])
-        top, bottom = config.threshold
-        linked[part] = (top + bottom) * both >= top * (size[x[part]] + size[y[part]])
-    x, y = x[linked], y[linked]
-    links = np.bincount(x, minlength=len(keys)) + np.bincount(y, minlength=len(keys))
-    label = np.arange(len(keys))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
+    links, stars = np.zeros(len(keys), np.int64), []
+    top, bottom = config.threshold
+    for blob in blobs:
+        bucket, sets_, left, right = _unpacked(blob)
+        node = np.searchsorted(keys, sets_)
+        # rows are in order of their buckets, and pairs in that of their rows; one bucket is handled at a time
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+        cuts = np.searchsorted(left, ends.astype(left.dtype) if ends[-1] <= np.iinfo(left.dtype).max else ends)
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            own, where = np.unique(np.concatenate([left[a:b], right[a:b]]), return_inverse=True)
+            if not len(own):
+                continue
+            own, x, y = node[own], where[: b - a], where[b - a :]
+            both = _common([values[i] for i in own.tolist()], x, y)
+            linked = (top + bottom) * both >= top * (size[own[x]] + size[own[y]])
+            x, y = x[linked], y[linked]
+            links[own] += np.bincount(x, minlength=len(own)) + np.bincount(y, minlength=len(own))
+            stars.append((own, own[_least(len(own), x, y)]))
+    label = _least(len(keys), *(np.concatenate([s[i] for s in stars]) for i in range(2)))
     some = np.flatnonzero(links)
     return pa.table([keys[some], keys[label[some]], links[some]], schema=_LINKS)
 
