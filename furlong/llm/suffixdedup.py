@@ -367,9 +367,8 @@ def repeats(docs: DataFrame, digest: bool = False, config: Config = Config()) ->
         q = [x[np.argsort(q[0], kind="stable")] for x in q]
         table = table.combine_chunks()
         key, order = table["__sd_key"].to_numpy(), table["__sd_order"].to_numpy()
-        if last:
-            texts = pa.array([zstandard.decompress(x) for x in table["__sd_text"].to_pylist()], pa.binary()).cast(pa.string())
-            table = table.set_column(table.column_names.index("text"), "text", texts)
+        texts = pa.array([None if x is None else zstandard.decompress(x) for x in table["__sd_text"].to_pylist()], pa.binary()).cast(pa.string())
+        table = table.set_column(table.column_names.index("text"), "text", texts)
         texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
         buf, offsets = tb.text_bytes(texts)
         before = table["__sd_spans"].to_pylist() if last else [None] * table.num_rows
@@ -437,7 +436,17 @@ def repeats(docs: DataFrame, digest: bool = False, config: Config = Config()) ->
     packed = keyed.select("__sd_key", "__sd_order", "text").mapInArrow(anchors, _ROWS_SQL)
     marks = packed.groupBy("__sd_to").applyInArrow(zone_bucket, _ROWS_SQL)
     bucket = F.pmod(F.col("__sd_key"), F.lit(n))
-    texts = keyed.select(*columns).withColumn("__sd_to", bucket)
+    # texts travel compressed
+    slim = keyed.select(*columns).withColumn("__sd_text", F.lit(None).cast("binary"))
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts_ = pa.array([None if x is None else squeeze.compress(x) for x in tb.column(batch, "text").cast(pa.binary()).to_pylist()], pa.binary())
+            arrays = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.nulls(len(batch), pa.string()), "__sd_text": texts_}
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+
+    texts = slim.mapInArrow(squeezed, slim.schema).withColumn("__sd_to", bucket)
     first = texts.groupBy("__sd_to").cogroup(marks.groupBy("__sd_to")).applyInArrow(lambda a, b: settle(a, b, False), out)
     first = materialize(spark, first, "suffix")
     more = first.where("__sd_kind = 2").select("__sd_to", "__sd_kind", "__sd_blob").groupBy("__sd_to").applyInArrow(string_bucket, _ROWS_SQL)
