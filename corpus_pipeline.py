@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.llm import decontaminate, jaccardjoin, packing, registry, suffixdedup, toxicity
+from furlong.llm.rowkey import row_key
 from furlong.session import materialize
 
 
@@ -19,12 +20,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents that with the least doc_id stays. Of rows with the same doc_id and text one stays;
-    one without a doc_id stays only if no document of its class has one."""
-    classes = jaccardjoin.join(docs).select("doc_id", "class_id")
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("of")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """Of near-duplicate rows that with the least doc_id stays, of those with the same doc_id, or none, the one with the
+    least key. Of rows with the same doc_id and text one stays. Other rows stay, with or without a doc_id."""
+    keyed = docs.withColumn("_key", row_key())
+    classes = jaccardjoin.join(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "class_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key")
+    stays = classes.join(ids, "_key").groupBy("class_id").agg(first.alias("_key")).select("_key")
+    kept = keyed.join(stays, "_key", "left_semi").select(*docs.columns)
+    repeated = keyed.groupBy("_key").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
@@ -39,7 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Rows that contain a benchmark item go."""
     return decontaminate.clean(docs, registry.table(spark, sf_dir, "benchmark"))
 
 

@@ -11,7 +11,8 @@ Candidates are then verified by counting the item's distinct shingles in the doc
 Only DataFrame functions are used. Words are maximal runs of letters and digits, in lower case.
 
 Defined results: null or empty texts, and those of fewer words than a shingle, contain nothing and are found nowhere.
-Rows with the same doc_id count as one document, rows whose doc_id is null likewise. Items with the same
+For ``search``, rows with the same doc_id count as one document, rows whose doc_id is null likewise; ``clean`` decides
+on each row by itself. Items with the same
 item_id count as one item. Empty tables give an empty result. Further columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm.rowkey import row_key
 from furlong.session import materialize
 
 
@@ -86,9 +88,10 @@ def search(docs: DataFrame, benchmark: DataFrame, config: Config = Config()) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, config: Config = Config()) -> DataFrame:
-    """The documents that contain no item."""
-    hit = search(docs, benchmark, config).select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
+    """The rows that contain no item, each looked at by itself, whatever its doc_id."""
+    keyed = docs.withColumn("_key", row_key())
+    hit = search(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, config).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
