@@ -6,6 +6,10 @@ with words left out, against mixtures of their words and plain sentences. Its te
 variants, and a family whose calibrated probability is below ``least`` counts as unknown. A family holds if the
 paragraph also has ``overlap`` of the word 3-grams of one of the family's templates.
 
+Notices run over several lines, so blocks between blank lines (or lines of comment marks alone) are compared too, with
+the templates and the licences' own notices, by overlap. Of templates that are much alike (GPL 2 and 3) those found
+best hold. A family that a line of the block already has is not counted again. The probability of such a hit is its overlap.
+
 Scoring uses column functions alone, without a shuffle: a paragraph is scored if it has one of the templates' telling
 words, as no other paragraph can be confirmed; the weights are a constant of the plan, whose size is that of the templates.
 
@@ -49,6 +53,21 @@ PLAIN = (
     "All copyright questions go to the author.", "The license of the restaurant was not renewed.", "A copy of the file was released to any person.",
     "The terms of the contract are subject to law.", "We thank the Apache people for the documentation.", "The software may not be used by the public.",
 )
+# The notices that the licences give to be put into files, and their first sentences.
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version."
+NOTICES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (_GNU.format(what="program", name="Affero General Public License", n=3),),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "BSD-3-Clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+    "GPL-2.0": (_GNU.format(what="program", name="General Public License", n=2),),
+    "GPL-3.0": (_GNU.format(what="program", name="General Public License", n=3),),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-3.0": (_GNU.format(what="library", name="Lesser General Public License", n=3), _GNU.format(what="program", name="Lesser General Public License", n=3)),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+}
 UNKNOWN = "unknown"
 
 
@@ -146,8 +165,67 @@ def _literal(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def notices() -> list[tuple[str, int, set[str]]]:
+    """Family, group of templates much alike, and 3-grams of every template and notice of three 3-grams and more."""
+    found = []
+    for family in sorted(TEMPLATES):
+        for t in (*TEMPLATES[family], *NOTICES.get(family, ())):
+            w = tokens(t)
+            if len(w) >= 5 and "spdx" not in w:
+                found.append((family, {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}))
+    group = list(range(len(found)))
+    for i, (_, a) in enumerate(found):
+        for j, (_, b) in enumerate(found[:i]):
+            if 2 * len(a & b) >= min(len(a), len(b)):
+                group = [group[j] if g == group[i] else g for g in group]
+    return [(family, g, s) for (family, s), g in zip(found, group, strict=True)]
+
+
+def _block_hits(config: Config) -> Column:
+    """Hits of the blocks of ``text``, each with the last line of its block."""
+    telling = r"\b(" + "|".join((*TELLING, "redistribution", "contributors")) + r")\b"
+    # a block starts with the blank lines before it
+    blocks = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"(?<=\n)(?=[^\p{L}\p{N}\n]*\n)")
+    at = F.filter(F.transform(blocks, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].rlike(telling))
+    own = notices()
+    # one pass over a block's 3-grams; all comparisons are with the few that any template has
+    every = _literal(sorted(set().union(*(s for _, _, s in own))))
+    words = F.transform(at, lambda x: F.struct(x["i"].alias("i"), _words(x["t"]).alias("w")))
+    three = F.transform(words, lambda x: F.struct(x["i"].alias("i"), F.array_intersect(_runs(x["w"], 3), every).alias("three")))
+    three = F.filter(three, lambda x: F.size(x["three"]) >= 3)
+
+    def shares(x: Column) -> Column:
+        return F.array(*(F.size(F.array_intersect(x["three"], _literal(sorted(s)))) / F.lit(float(len(s))) for _, _, s in own))
+
+    scored = F.transform(three, lambda x: F.struct(x["i"].alias("i"), shares(x).alias("o")))
+    scored = F.filter(scored, lambda x: F.array_max(x["o"]) >= config.overlap)
+
+    def held(x: Column) -> Column:
+        out = []
+        for family in sorted(TEMPLATES):
+            best = F.lit(0.0)
+            for k, (f, g, _) in enumerate(own):
+                if f == family:
+                    alike = [x["o"][j] for j, (_, h, _) in enumerate(own) if h == g]
+                    top = F.greatest(*alike) if len(alike) > 1 else alike[0]
+                    best = F.greatest(best, F.when(x["o"][k] >= top, x["o"][k]).otherwise(0.0))
+            out.append(F.struct(F.lit(family).alias("family"), best.alias("overlap")))
+        return F.filter(F.array(*out), lambda h: h["overlap"] >= config.overlap)
+
+    def lines(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda n, t: n + F.size(F.split(t, "\n")) - 1)
+
+    return F.flatten(F.transform(scored, lambda x: F.transform(held(x), lambda h: F.struct(
+        lines(F.slice(blocks, 1, x["i"])).alias("line"),
+        lines(F.slice(blocks, 1, x["i"] + 1)).alias("last"),
+        h["family"].alias("family"),
+        h["overlap"].alias("overlap"),
+    ))))
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with ``hits``: an array of (line, family, probability, overlap), one for each confirmed paragraph."""
+    """The documents with ``hits``: an array of (line, family, probability, overlap), one for each confirmed paragraph.
+    ``line`` of a block is its first."""
     c = model.config
     telling = r"\b(" + "|".join(TELLING) + r")\b"
     lines = F.transform(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("t")))
@@ -190,5 +268,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     ))
     kept = F.filter(F.col("found"), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= c.least) & (x["overlap"] >= c.overlap))
     stages = docs.withColumn("known", known).withColumn("weights", F.when(F.size("known") > 0, table))
-    stages = stages.withColumn("summed", summed).withColumn("scored", scored).withColumn("found", found).withColumn("hits", kept)
-    return stages.drop("known", "weights", "summed", "scored", "found")
+    stages = stages.withColumn("summed", summed).withColumn("scored", scored).withColumn("found", found).withColumn("hits", kept).withColumn("blocks", _block_hits(c))
+    more = F.filter("blocks", lambda b: ~F.exists("hits", lambda h: (h["family"] == b["family"]) & (h["line"] >= b["line"]) & (h["line"] <= b["last"])))
+    # the BSD texts share their opening; the third clause tells them apart
+    three = F.exists("blocks", lambda b: b["family"] == "BSD-3-Clause")
+    more = F.filter(more, lambda b: ~((b["family"] == "BSD-2-Clause") & three))
+    more = F.transform(more, lambda b: F.struct(b["line"].alias("line"), b["family"].alias("family"), b["overlap"].alias("probability"), b["overlap"].alias("overlap")))
+    stages = stages.withColumn("hits", F.when(F.size("blocks") > 0, F.concat("hits", more)).otherwise(F.col("hits")))
+    return stages.drop("known", "weights", "summed", "scored", "found", "blocks")
