@@ -1,7 +1,7 @@
 """The stages of the pipeline, each against its operator's brute force on its own input."""
 
 import corpus_pipeline as pipeline
-from test_operators import shingle_set
+from test_corpus_operators import shingle_set
 
 from furlong.llm import decontaminate, registry
 from furlong.session import materialize
