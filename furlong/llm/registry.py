@@ -59,7 +59,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixdedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    found = suffixdedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "kept_sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -5,17 +5,21 @@ strings cover in the input go, and what is left is concatenated.
 
 Suffixes are dealt to tasks by their anchors: the least hash among the 16-byte strings of a window of ``length``
 bytes. Equal windows have equal anchors at the same place, so all suffixes that can share ``length`` bytes meet.
-Consecutive windows with one anchor form a zone. Equal zones are copies, told by their hashes and doc_ids
-alone. Zones with a common anchor that differ share windows only if they also agree on 17 bytes before or after
-the anchor; the suffixes of those are sorted by the deep-shallow method: multikey quicksort over eight-byte symbols
-to a shallow depth, then a blind trie for each group that has a longer common prefix.
+Consecutive windows with one anchor form a zone, and the windows of equal zones are equal one by one.
 
-Rows travel as packed arrays: one row for each block of text and bucket of anchors. Texts are shuffled once, and
-those with differing zones once more. Nothing is collected; groups are buckets of hashes with a bounded share.
+The texts are first written as blocks of whole documents. A block sends its zones' hashes, equal zones once; zones
+whose anchor and the bytes on one side of it occur under two doc_ids are asked for, and only their texts travel.
+Hashes choose what is compared and decide nothing: a bucket of anchors sorts the strings of its zones by the
+deep-shallow method (multikey quicksort over eight-byte symbols to a shallow depth, then a blind trie for each group
+that still has a common prefix), so that equal zones stand together, and then the windows of those zones of an anchor
+that differ. Each block is told the least doc_id that has each of its windows, and cuts its documents.
+
+A passage costs its bucket one row for each block that has it, however often a block has it. Nothing is collected.
 
 Defined results: a null text is empty. A null doc_id counts as larger than any other. Rows with equal doc_id do not
 repeat each other; fully equal rows get equal results. Texts shorter than ``length`` are kept. An empty table gives
-an empty result. All further columns are passed through; names that begin with ``__sd_`` are reserved.
+an empty result. All further columns are passed through; one that has the name of a result is replaced by it, for
+which ``prefix`` gives the results other names.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from furlong.llm import textbytes as tb
 from furlong.session import materialize, prepare
@@ -40,105 +47,139 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Config:
-    """length: bytes of a repeated string. shallow: depth of the multikey quicksort. block_bytes: text of one packed
-    block. bucket_bytes: expected text whose anchors, or which itself, makes up one bucket."""
+    """length: bytes of a repeated string. shallow: depth of the multikey quicksort. block_bytes: text of a block.
+    bucket_bytes: expected text whose anchors make up one bucket. part: places, or windows, that are worked on at a
+    time; it bounds the working arrays and changes no result."""
 
     length: int = 50
-    shallow: int = 40
-    block_bytes: int = 1 << 22
+    shallow: int = 32
+    block_bytes: int = 1 << 23
     bucket_bytes: int = 1 << 24
+    part: int = 1 << 18
 
 
-# ---- sorting suffixes
-
-
-def _symbols(buf: np.ndarray, pad: int) -> np.ndarray:
-    """The eight bytes from each place, as one big-endian number."""
-    padded = np.concatenate([buf, np.zeros(pad + 8, np.uint8)])
-    return np.ndarray((len(buf) + pad,), ">u8", buffer=padded, strides=(1,))
+# ---- sorting
 
 
 class BlindTrie:
-    """Orders byte strings; inner nodes hold only the depth at which their children differ."""
+    """Orders byte strings of one length; inner nodes hold only the depth at which their children differ. A leaf holds
+    all equal strings."""
 
-    def __init__(self, text: bytes, depth: int):
-        self.text, self.depth, self.root = text, depth, None
+    def __init__(self) -> None:
+        self.root: list | None = None
 
-    def add(self, at: int) -> None:
-        text, depth = self.text, self.depth
+    def add(self, text: bytes, number: int) -> None:
         if self.root is None:
-            self.root = at
+            self.root = [None, text, [number]]
             return
+        # down without comparing, to some leaf that shares all that the inner nodes leave open
         node = self.root
-        while isinstance(node, list):
-            node = node[1].get(text[at + node[0]]) or next(iter(node[1].values()))
-            node = node[0]
-        lcp = next((i for i in range(depth) if text[at + i] != text[node + i]), depth)
-        if lcp == depth:
-            return
-        old = node
-        above, node = None, self.root
-        while isinstance(node, list) and node[0] < lcp:
-            above, node = (node, text[at + node[0]]), node[1][text[at + node[0]]][0]
-        if isinstance(node, list) and node[0] == lcp:
-            node[1][text[at + lcp]] = (at,)
+        while node[0] is not None:
+            node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
+        other = node[1]
+        if other == text:
+            node[2].append(number)
             return
-        made = [lcp, {text[old + lcp]: (node,), text[at + lcp]: (at,)}]
-        if above is None:
-            self.root = made
+        depth = next(i for i, (a, b) in enumerate(zip(text, other, strict=True)) if a != b)
+        leaf, node = [None, text, [number]], self.root
+        while node[0] is not None and node[0] < depth:
+            node = node[1][text[node[0]]]
+        if node[0] == depth:
+            node[1][text[depth]] = leaf
         else:
-            above[0][1][above[1]] = (made,)
+            below = node.copy()
+            node[:] = [depth, {other[depth]: below, text[depth]: leaf}]
 
-    def ordered(self) -> list[int]:
-        out, stack = [], [self.root]
+    def ordered(self) -> Iterator[list[int]]:
+        """The numbers of equal strings, in the order of the strings."""
+        stack = [self.root] if self.root else []
         while stack:
             node = stack.pop()
-            if isinstance(node, list):
-                stack += [node[1][c][0] for c in sorted(node[1], reverse=True)]
+            if node[0] is None:
+                yield node[2]
             else:
-                out.append(node)
-        return out
+                stack += [node[1][c] for c in sorted(node[1], reverse=True)]
 
 
-def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first ``depth`` bytes, and for each place whether it equals the one before."""
-    n = len(starts)
-    order, first = np.arange(n), np.zeros(n, bool)
+def multikey_quicksort(symbols: np.ndarray, order: np.ndarray, first: np.ndarray, depth: int) -> None:
+    """Sort the rows of ``symbols`` named by ``order`` within their groups, by the first ``depth`` symbols, in place.
+
+    first: marks where groups begin; afterwards, where rows begin that differ in these symbols. All groups take
+    a step at a time: each is split in three by its middle row's symbol, the equal part goes on to the next symbol.
+    """
+    n = len(order)
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], n)
+    level = np.zeros(len(begin), np.int64)
+    while True:
+        open_ = (end - begin > 1) & (level < depth)
+        begin, end, level = begin[open_], end[open_], level[open_]
+        if not len(begin):
+            return
+        size = end - begin
+        start = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(begin)), size)
+        place = np.arange(len(group)) + (begin - start)[group]
+        own = order[place]
+        key = symbols[own, level[group]]
+        pivot = key[start + size // 2][group]
+        less, more = key < pivot, key > pivot
+        rank = []
+        counts = []
+        for side in (less, ~(less | more), more):
+            seen = np.cumsum(side)
+            before = seen[start] - side[start]
+            rank.append(seen - 1 - before[group])
+            counts.append(seen[end - begin + start - 1] - before)
+        a, b = counts[0], counts[0] + counts[1]
+        to = np.where(less, rank[0], np.where(more, rank[2] + b[group], rank[1] + a[group])) + begin[group]
+        order[to] = own
+        first[begin[a > 0] + a[a > 0]] = True
+        last = counts[2] > 0
+        first[begin[last] + b[last]] = True
+        begin, end, level = np.concatenate([begin, begin + a, begin + b]), np.concatenate([begin + a, begin + b, end]), np.concatenate([level, level + 1, level])
+
+
+def deep_shallow(symbols: np.ndarray, first: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``symbols`` (big-endian eight-byte numbers) within their groups, and where rows begin
+    that differ from the one before. ``shallow``: symbols that the multikey quicksort goes down to."""
+    n, width = symbols.shape
+    order, first = np.arange(n), first.copy()
     if not n:
         return order, first
-    first[0] = True
-    symbols = _symbols(buf, depth)
-    for level in range(shallow // 8):
-        group = np.cumsum(first)
-        tied = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(tied):
-            break
-        own = order[tied]
-        key = symbols[starts[own] + 8 * level].astype(_U)
-        by = np.lexsort((key, group[tied]))
-        order[tied], key = own[by], key[by]
-        first[tied[1:]] |= key[1:] != key[:-1]
-    group = np.cumsum(first)
-    tied = np.flatnonzero(np.bincount(group)[group] > 1)
-    if len(tied):
-        at = starts[order[tied]]
-        whole = tb.span_hashes(tb.prefix_sums(buf), at, at + depth)
-        g = group[tied]
-        mixed = np.zeros(int(group[-1]) + 1, bool)
-        mixed[g[1:][(g[1:] == g[:-1]) & (whole[1:] != whole[:-1])]] = True
-        text = buf.tobytes()
-        deep = np.flatnonzero(mixed[g])
-        for part in np.split(deep, np.flatnonzero(np.diff(g[deep])) + 1) if len(deep) else []:
-            distinct, one, which = np.unique(whole[part], return_index=True, return_inverse=True)
-            trie = BlindTrie(text, depth)
-            for x in at[part][one].tolist():
-                trie.add(x)
-            rank = {x: i for i, x in enumerate(trie.ordered())}
-            ranks = np.array([rank[x] for x in at[part][one].tolist()])[which]
-            by = np.argsort(ranks, kind="stable")
-            order[tied[part]] = order[tied[part]][by]
-            first[tied[part[1:]]] |= np.diff(ranks[by]) > 0
-    return order, ~first
+    shallow = min(shallow, width)
+    multikey_quicksort(symbols, order, first, shallow)
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, n))
+    # a group whose rows are all like its first one is in order
+    head = np.repeat(order[begin], size)
+    unlike = np.zeros(n, bool)
+    for k in range(shallow, width):
+        unlike |= symbols[order, k] != symbols[head, k]
+    for g in np.flatnonzero(np.logical_or.reduceat(unlike, begin)).tolist():
+        a, b = int(begin[g]), int(begin[g] + size[g])
+        rows = order[a:b]
+        tails = symbols[rows, shallow:].astype(">u8").tobytes()
+        step = 8 * (width - shallow)
+        trie = BlindTrie()
+        for i in range(b - a):
+            trie.add(tails[i * step : (i + 1) * step], i)
+        at, sorted_ = a, []
+        for same in trie.ordered():
+            first[at] = True
+            at += len(same)
+            sorted_ += same
+        order[a:b] = rows[sorted_]
+    return order, first
+
+
+def strings(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """buf[start : start + size] as rows of big-endian symbols, filled up with zeros to ``width`` bytes."""
+    out = np.zeros((len(start), width), np.uint8)
+    row = np.repeat(np.arange(len(start)), size)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out[row, within] = buf[start[row] + within]
+    return out.view(">u8").astype(_U)
 
 
 # ---- zones
@@ -146,37 +187,43 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int, shallow: int)
 
 @dataclass
 class Zones:
-    h1: np.ndarray
-    h2: np.ndarray
+    """start: of the first window, in the block. anchor: its distance from there. key: hash of all bytes. left, right:
+    hashes of the bytes beside the anchor, 0 where the zone has no window with them. rep: the block's first zone
+    with the same bytes."""
+
+    start: np.ndarray
+    size: np.ndarray  # windows
+    anchor: np.ndarray
+    h: np.ndarray
     left: np.ndarray
     right: np.ndarray
     doc: np.ndarray
-    pos: np.ndarray
-    size: np.ndarray  # windows
-
-
-def zones(buf: np.ndarray, offsets: np.ndarray, length: int) -> Zones | None:
-    """The zones of all texts."""
-    n = len(buf)
-    valid = np.ones(n + 1, np.int8)
-    lengths = np.diff(offsets)
-    mark = np.zeros(n + 2, np.int32)
-    tail = np.minimum(lengths, length - 1)
-    np.add.at(mark, offsets[1:] - tail, 1)
-    np.add.at(mark, offsets[1:], -1)
-    valid = np.cumsum(mark[:n]) == 0
-    at = np.flatnonzero(valid)
+    rep: np.ndarray
+
+
+def _part(buf: np.ndarray, offsets: np.ndarray, w0: int, w1: int, length: int) -> list[np.ndarray] | None:
+    """Zones of the windows that start at w0..w1-1."""
+    lo, hi = np.searchsorted(offsets, w0, side="right") - 1, np.searchsorted(offsets, w1)
+    ends = offsets[lo + 1 : hi + 1]
+    a = np.clip(np.maximum(ends - (length - 1), offsets[lo:hi]), w0, w1) - w0
+    b = np.clip(ends, w0, w1) - w0
+    mark = np.zeros(w1 - w0 + 1, np.int32)
+    np.add.at(mark, a, 1)
+    np.add.at(mark, b, -1)
+    at = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int32) == 0)
     if not len(at):
         return None
-    padded = np.concatenate([buf, np.zeros(2 * length + GRAM, np.uint8)])
-    word = np.ndarray((len(padded) - 8,), "<u8", buffer=padded, strides=(1,)).astype(_U)
-    h = word[: n + length] * _U(0x9E3779B97F4A7C15)
+    piece = np.concatenate([buf[w0 : w1 + length], np.zeros(2 * length + GRAM, np.uint8)])
+    n = w1 - w0 + length - GRAM
+    word = np.ndarray((n + 8,), "<u8", buffer=piece, strides=(1,)).astype(_U)
+    h = word[:n] * _U(0x9E3779B97F4A7C15)
     h ^= h >> _U(31)
-    h += word[8 : n + length + 8] * _U(0xC2B2AE3D27D4EB4F)
+    h += word[8:] * _U(0xC2B2AE3D27D4EB4F)
     h ^= h >> _U(29)
     h *= _U(0xBF58476D1CE4E5B9)
     h ^= h >> _U(32)
-    least = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
+    del word
+    least = (h & _U(0xFFFFFFFF00000000)) | np.arange(n, dtype=_U)
     width, span = length - GRAM + 1, 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -184,50 +231,94 @@ def zones(buf: np.ndarray, offsets: np.ndarray, length: int) -> Zones | None:
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     anchor = (least[at] & _U(0xFFFFFFFF)).astype(np.int64)
-    first = np.ones(len(at), bool)
-    first[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(first)
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(at)))
     start, anchor = at[begin], anchor[begin]
-    doc = np.searchsorted(offsets, start, side="right") - 1
     half = (length - GRAM + 1) // 2
-    sums = tb.prefix_sums(buf)
-    left = tb.span_hashes(sums, np.maximum(anchor - half, offsets[doc]), anchor)
-    right = tb.span_hashes(sums, anchor + GRAM, np.minimum(anchor + GRAM + half, offsets[doc + 1]))
+    sums = tb.prefix_sums(piece)
+    sides = []
+    for has, x in ((start <= anchor - half, anchor - half), (start + size - 1 + length >= anchor + GRAM + half, anchor + GRAM)):
+        x = np.where(has, x, 0)
+        sides.append(np.where(has, tb.span_hashes(sums, x, x + half) % _U(65535) + _U(1), _U(0)).astype(np.uint16))
     whole = tb.span_hashes(sums, start, start + size + length - 1)
-    return Zones(tb.mix(h[anchor]), whole, left.astype(np.uint16), right.astype(np.uint16), doc, start - offsets[doc], size)
-
-
-def _blob(*arrays: np.ndarray) -> bytes:
-    """The arrays' bytes, all first bytes, then all second ones: the shuffle's compression works on such planes."""
+    return [start + w0, size, anchor - start, tb.mix(h[anchor]), *sides, whole]
+
+
+def zones(buf: np.ndarray, offsets: np.ndarray, config: Config) -> Zones:
+    """The zones of all texts of a block."""
+    parts = [p for w in range(0, len(buf), config.part) if (p := _part(buf, offsets, w, min(len(buf), w + config.part), config.length))]
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Zones(none, none, none, none.view(_U), none.astype(np.uint16), none.astype(np.uint16), none, none)
+    start, size, anchor, h, left, right, whole = (np.concatenate([p[i] for p in parts]) for i in range(7))
+    _, head, which = np.unique(whole, return_index=True, return_inverse=True)
+    rep = head[which]
+    # a hash names a candidate, the bytes decide
+    copies = np.flatnonzero(rep != np.arange(len(rep)))
+    for a in range(0, len(copies), 1 << 15):
+        own = copies[a : a + (1 << 15)]
+        of = rep[own]
+        same = size[own] == size[of]
+        span = np.where(same, size[own] + config.length - 1, 0)
+        row = np.repeat(np.arange(len(own)), span)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(span) - span, span)
+        same[row[buf[start[own][row] + within] != buf[start[of][row] + within]]] = False
+        rep[own[~same]] = own[~same]
+    return Zones(start, size, anchor, h, left, right, np.searchsorted(offsets, start, side="right") - 1, rep)
+
+
+def first_and_last(z: Zones, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The zones that stand for themselves, and the least and largest doc_id of those like each."""
+    by = np.argsort(z.rep, kind="stable")
+    rep = z.rep[by]
+    head = np.flatnonzero(np.append(True, rep[1:] != rep[:-1])) if len(rep) else np.zeros(0, np.int64)
+    own = order[z.doc[by]]
+    return rep[head], np.minimum.reduceat(own, head) if len(head) else own, np.maximum.reduceat(own, head) if len(head) else own
+
+
+# ---- packed rows
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes, all first bytes, then all second ones, compressed."""
     planes = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
-    return b"".join([np.array([len(x) for x in arrays], "<u4").tobytes(), *planes])
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(x) for x in arrays], "<u4").tobytes(), *planes]))
 
 
-def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    counts = np.frombuffer(blob, "<u4", len(kinds))
+def _unpack(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    counts = np.frombuffer(raw, "<u4", len(kinds))
     at, out = 4 * len(kinds), []
     for n, kind in zip(counts.tolist(), kinds, strict=True):
         width = np.dtype(kind).itemsize
-        planes = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += n * width
     return out
 
 
-def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """40 bits as 32 and 8."""
-    return x.astype(np.uint32), (x >> _U(32)).astype(np.uint8)
+def _ids(*orders: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct doc_ids and each array as places among them."""
+    known, where = np.unique(np.concatenate(orders), return_inverse=True)
+    kind = "<u2" if len(known) <= 1 << 16 else "<u4"
+    return known, np.split(where.astype(kind).astype("<u4"), np.cumsum([len(o) for o in orders])[:-1])
 
 
-def _join(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.int64) | high.astype(np.int64) << 32
+#: distinct doc_ids, and for each zone: number, anchor hash in two parts, sides, places of its least and largest doc_id
+ZONE_KINDS = ("<i8", "<u4", "<u4", "u1", "<u2", "<u2", "<u4", "<u4")
+#: as above, with the anchor's place, the number of windows and all bytes in place of the sides
+TEXT_KINDS = ("<i8", "<u4", "<u4", "u1", "u1", "u1", "<u4", "<u4", "u1")
+#: distinct doc_ids, and for each run of windows: zone, first window, windows, place of the doc_id
+SPAN_KINDS = ("<i8", "<u4", "u1", "u1", "<u4")
 
+_ROWS = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+_ROWS_SQL = "to long, block long, data binary"
 
-ZONE_KINDS = ("<i8", "<i8", "<u4", "u1", "<u4", "u1", "<u2", "<u2", "<u4", "<u4", "u1")
-SPAN_KINDS = ("<i8", "<u4", "<u4")
-ASK_KINDS = ("<i8", "<u4", "<u2", "<i8")
-TEXT_KINDS = ("<i8", "<i8", "<u4", "<i8", "<u2", "u1")  # key, order, pos, h1, bytes of each string, all bytes
+
+def _table(rows: list) -> pa.Table:
+    return pa.table([list(c) for c in zip(*rows, strict=True)] or [[], [], []], schema=_ROWS)
 
 
 def _by(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -237,220 +328,253 @@ def _by(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(groups[part[0]]), part
 
 
-def _send(rows: list, kind: int, to: np.ndarray, *arrays: np.ndarray) -> None:
-    for g, part in _by(to):
-        rows.append((g, kind, _blob(*(x[part] for x in arrays))))
+def pack_batch(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-_ROWS = pa.schema([("__sd_to", pa.int64()), ("__sd_kind", pa.int32()), ("__sd_blob", pa.binary())])
-_ROWS_SQL = "__sd_to long, __sd_kind int, __sd_blob binary"
+def unpack_batch(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
-def _table(rows: list) -> pa.Table:
-    return pa.table([list(c) for c in zip(*rows, strict=True)] or [[], [], []], schema=_ROWS)
+def _block(data: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    batch = unpack_batch(data)
+    buf, offsets = tb.text_bytes(tb.column(batch, "text"))
+    return batch, buf, offsets, tb.column(batch, "__sd_order").to_numpy()
 
 
-def _runs(pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted windows as key, first place and number of consecutive ones."""
-    order = np.lexsort((pos, key))
-    pos, key = pos[order], key[order]
-    new = np.ones(len(pos), bool)
-    new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1] + 1)
-    begin = np.flatnonzero(new)
-    return key[begin], pos[begin], np.diff(np.append(begin, len(pos)))
-
-
-def match_zones(blobs: list[bytes], n_text: int) -> list:
-    """Within a bucket of anchors: spans that repeat for sure, and zones whose text is asked for."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-    for blob in blobs:
-        keys, orders, a, b, c, d, left, right, doc, pos, size = _arrays(blob, *ZONE_KINDS)
-        for col, x in zip(cols, (_join(a, b), _join(c, d), left, right, keys[doc], orders[doc], pos, size), strict=True):
-            col.append(x)
-    h1, h2, left, right, key, doc, pos, size = (np.concatenate(c) for c in cols)
-    order = np.lexsort((doc, h2, h1))
-    h1, h2, left, right, key, doc, pos, size = (x[order] for x in (h1, h2, left, right, key, doc, pos, size))
-    n = len(h1)
-    new1 = np.ones(n, bool)
-    new1[1:] = h1[1:] != h1[:-1]
-    new2 = new1.copy()
-    new2[1:] |= h2[1:] != h2[:-1]
-    first = np.flatnonzero(new2)[np.cumsum(new2) - 1]
-    copied = doc > doc[first]
-    rows: list = []
-    _send(rows, 0, np.mod(key[copied], n_text), key[copied], pos[copied], size[copied].astype(np.uint32))
-    # zones that differ but share an anchor and the bytes on one side of it
-    asked = np.zeros(n, bool)
-    open_ = np.flatnonzero(~copied)
-    group = np.cumsum(new1)
-    for side in (left, right):
-        by = open_[np.lexsort((doc[open_], side[open_], group[open_]))]
-        new = np.ones(len(by), bool)
-        new[1:] = (group[by[1:]] != group[by[:-1]]) | (side[by[1:]] != side[by[:-1]])
-        head = by[np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else by
-        later = doc[by] > doc[head]
-        some = np.zeros(len(by) + 1, bool)
-        some[np.unique(np.cumsum(new)[later])] = True
-        asked[by[some[np.cumsum(new)]]] = True
-    _send(rows, 1, np.mod(key[asked], n_text), key[asked], pos[asked], size[asked].astype(np.uint16), h1[asked])
+# ---- tasks
+
+
+def send_zones(data: bytes, block: int, n: int, config: Config) -> list:
+    """A row for each bucket: the hashes of the block's zones."""
+    _, buf, offsets, order = _block(data)
+    z = zones(buf, offsets, config)
+    rep, low, high = first_and_last(z, order)
+    rows = []
+    for g, p in _by(((z.h[rep] >> _U(40)) % _U(n)).astype(np.int64)):
+        known, (a, b) = _ids(low[p], high[p])
+        h = z.h[rep[p]]
+        rows.append((g, block, _pack(known, rep[p].astype(np.uint32), h.astype(np.uint32), (h >> _U(32)).astype(np.uint8), z.left[rep[p]], z.right[rep[p]], a, b)))
     return rows
 
 
-def match_strings(blobs: list[bytes], n_text: int, config: Config) -> list:
-    """Within a bucket of anchors: sort the suffixes of the zones' texts, find the windows that repeat."""
-    got = [_arrays(b, *TEXT_KINDS) for b in blobs]
-    key, doc, pos, h1, size, buf = (np.concatenate([g[i] for g in got]) for i in range(6))
-    at = np.cumsum(size.astype(np.int64)) - size
-    count = size.astype(np.int64) - config.length + 1
-    zone = np.repeat(np.arange(len(key)), count)
-    step = np.arange(len(zone)) - np.repeat(np.cumsum(count) - count, count)
-    order, same = deep_shallow(buf, at[zone] + step, config.length, config.shallow)
-    if not len(order):
-        return []
-    head = np.flatnonzero(~same)
-    least = np.minimum.reduceat(doc[zone[order]], head)[np.cumsum(~same) - 1]
-    hit = order[doc[zone[order]] > least]
-    k, p, n = _runs(pos[zone[hit]].astype(np.int64) + step[hit], key[zone[hit]])
-    rows: list = []
-    _send(rows, 0, np.mod(k, n_text), k, p.astype(np.uint32), n.astype(np.uint32))
+def match_zones(blocks: list[int], blobs: list[bytes]) -> list:
+    """In a bucket of anchors: the zones of each block that can share a window with another doc_id."""
+    got = [_unpack(b, ZONE_KINDS) for b in blobs]
+    size = [len(g[1]) for g in got]
+    h = np.concatenate([g[2].astype(_U) | g[3].astype(_U) << _U(32) for g in got])
+    low, high = (np.concatenate([g[0][g[k]] for g in got]) for k in (6, 7))
+    asked = np.zeros(len(h), bool)
+    for k in (4, 5):
+        side = np.concatenate([g[k] for g in got])
+        some = np.flatnonzero(side)
+        key = h[some] << _U(16) | side[some].astype(_U)
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        if len(key):
+            new = np.append(True, key[1:] != key[:-1])
+            head = np.flatnonzero(new)
+            two = np.minimum.reduceat(low[some], head) < np.maximum.reduceat(high[some], head)
+            asked[some[two[np.cumsum(new) - 1]]] = True
+    rows = []
+    for g, block, mine in zip(got, blocks, np.split(asked, np.cumsum(size)[:-1]), strict=True):
+        if mine.any():
+            rows.append((0, block, _pack(g[1][mine])))
     return rows
 
 
-def _covered(size: int, pos: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    mark = np.zeros(size + 1, np.int32)
-    np.add.at(mark, pos, 1)
-    np.add.at(mark, np.minimum(pos + count + length - 1, size), -1)
-    return np.cumsum(mark[:size]) > 0
+def send_texts(data: bytes, block: int, asks: list[bytes], n: int, config: Config) -> list:
+    """A row for each bucket: the strings of the zones that are asked for."""
+    _, buf, offsets, order = _block(data)
+    z = zones(buf, offsets, config)
+    rep, low, high = first_and_last(z, order)
+    p = np.searchsorted(rep, np.sort(np.concatenate([_unpack(a, ("<u4",))[0] for a in asks])))
+    rows = []
+    for g, part in _by(((z.h[rep[p]] >> _U(40)) % _U(n)).astype(np.int64)):
+        q = p[part]
+        r = rep[q]
+        known, (a, b) = _ids(low[q], high[q])
+        span = z.size[r] + config.length - 1
+        index = np.repeat(z.start[r] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        h = z.h[r]
+        rows.append((g, block, _pack(known, r.astype(np.uint32), h.astype(np.uint32), (h >> _U(32)).astype(np.uint8), z.anchor[r].astype(np.uint8), z.size[r].astype(np.uint8), a, b, buf[index])))
+    return rows
 
 
-def repeats(docs: DataFrame, digest: bool = False, config: Config = Config()) -> DataFrame:
-    """The rows of docs with n_bytes, n_removed, n_spans and what is left: ``kept`` (binary), or with ``digest`` just
-    ``kept_sha256``."""
+def match_strings(blocks: list[int], blobs: list[bytes], config: Config) -> list:
+    """In a bucket of anchors: sort the zones' strings, then the windows of those that differ; tell each block the least
+    doc_id of its windows."""
+    got = [_unpack(b, TEXT_KINDS) for b in blobs]
+    number = np.concatenate([g[1] for g in got])
+    of = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
+    h = np.concatenate([g[2].astype(_U) | g[3].astype(_U) << _U(32) for g in got])
+    anchor, size = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (4, 5))
+    low, high = (np.concatenate([g[0][g[k]] for g in got]) for k in (6, 7))
+    text = np.concatenate([g[8] for g in got])
+    del got
+    span = size + config.length - 1
+    start = np.cumsum(span) - span
+    n, widest = len(h), 8 * -(-(2 * config.length - GRAM) // 8)
+    # equal zones: the same anchor at the same place, as many windows, and equal strings
+    by = np.lexsort((size, anchor, h))
+    first = np.append(True, (h[by][1:] != h[by][:-1]) | (anchor[by][1:] != anchor[by][:-1]) | (size[by][1:] != size[by][:-1]))
+    order, new = np.empty(n, np.int64), np.empty(n, bool)
+    for a, b in _cuts(first, config.part >> 3):
+        o, f = deep_shallow(strings(text, start[by[a:b]], span[by[a:b]], widest), first[a:b], config.shallow // 8)
+        order[a:b], new[a:b] = by[a:b][o], f
+    head = np.flatnonzero(new)
+    kind = np.cumsum(new) - 1
+    least = np.minimum.reduceat(low[order], head)
+    hit = high[order] > least[kind]
+    found = [(order[hit], np.zeros(hit.sum(), np.int64), size[order[hit]], least[kind[hit]])]
+    # zones that differ: one of each kind, of the anchors that have two
+    one = order[head]
+    same = np.append(False, h[one][1:] == h[one][:-1])
+    some = np.flatnonzero(same | np.append(same[1:], False))
+    if len(some):
+        one, ahead = one[some], least[some]
+        zone = np.repeat(np.arange(len(some)), size[one])
+        window = np.arange(len(zone)) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
+        group = np.cumsum(np.append(True, h[one][1:] != h[one][:-1]))
+        key = group[zone] << 8 | (anchor[one][zone] - window + 128)
+        by = np.argsort(key, kind="stable")
+        zone, window, key = zone[by], window[by], key[by]
+        least_of = np.empty(len(zone), np.int64)
+        width = 8 * -(-config.length // 8)
+        for a, b in _cuts(np.append(True, key[1:] != key[:-1]), config.part >> 2):
+            z, w = zone[a:b], window[a:b]
+            first = np.append(True, key[a + 1 : b] != key[a : b - 1])
+            o, f = deep_shallow(strings(text, start[one[z]] + w, np.full(b - a, config.length), width), first, config.shallow // 8)
+            least_of[a + o] = np.minimum.reduceat(ahead[z[o]], np.flatnonzero(f))[np.cumsum(f) - 1]
+        earlier = least_of < ahead[zone]
+        zone, window, least_of = zone[earlier], window[earlier], least_of[earlier]
+        by = np.lexsort((window, zone))
+        zone, window, least_of = zone[by], window[by], least_of[by]
+        run = np.flatnonzero(np.append(True, (zone[1:] != zone[:-1]) | (window[1:] != window[:-1] + 1) | (least_of[1:] != least_of[:-1]))) if len(zone) else np.zeros(0, np.int64)
+        count = np.diff(np.append(run, len(zone)))
+        zone, window, least_of = zone[run], window[run], least_of[run]
+        # all zones of the kind are told
+        rows = np.diff(np.append(head, n))[some[zone]]
+        member = order[np.repeat(head[some[zone]] - (np.cumsum(rows) - rows), rows) + np.arange(rows.sum())]
+        found.append((member, np.repeat(window, rows), np.repeat(count, rows), np.repeat(least_of, rows)))
+    member, window, count, least_of = (np.concatenate([f[i] for f in found]) for i in range(4))
+    rows_ = []
+    for g, p in _by(of[member]):
+        known, (ids,) = _ids(least_of[p])
+        rows_.append((0, blocks[g], _pack(known, number[member[p]], window[p].astype(np.uint8), count[p].astype(np.uint8), ids)))
+    return rows_
+
+
+def _cuts(first: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` rows that end with a group."""
+    head = np.append(np.flatnonzero(first), len(first))
+    at = 0
+    while at < len(head) - 1:
+        stop = max(at + 1, int(np.searchsorted(head, head[at] + size, side="right")) - 1)
+        yield int(head[at]), int(head[stop])
+        at = stop
+
+
+def covered(buf: np.ndarray, offsets: np.ndarray, order: np.ndarray, told: list[bytes], config: Config) -> np.ndarray:
+    """Which bytes of a block go."""
+    if not told:
+        return np.zeros(len(buf), bool)
+    z = zones(buf, offsets, config)
+    by = np.argsort(z.rep, kind="stable")
+    rep = z.rep[by]
+    mark = np.zeros(len(buf) + 1, np.int32)
+    for blob in told:
+        known, number, window, count, place = _unpack(blob, SPAN_KINDS)
+        lo, hi = np.searchsorted(rep, number), np.searchsorted(rep, number, side="right")
+        rows = hi - lo
+        zone = by[np.repeat(lo - (np.cumsum(rows) - rows), rows) + np.arange(rows.sum())]
+        own = np.repeat(np.arange(len(number)), rows)
+        goes = known[place][own] < order[z.doc[zone]]
+        zone, own = zone[goes], own[goes]
+        begin = z.start[zone] + window[own]
+        np.add.at(mark, begin, 1)
+        np.add.at(mark, begin + count[own] + config.length - 1, -1)
+    return np.cumsum(mark[:-1], dtype=np.int32) > 0
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags stand before each place."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:], dtype=np.int32)
+    return out
+
+
+def cut(batch: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, gone: np.ndarray, result: str) -> list[pa.Array]:
+    """n_bytes, n_removed, n_spans and the result of each document."""
+    removed = _before(gone)[offsets]
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    begin = offsets[:-1][np.diff(offsets) > 0]
+    edge[begin] = gone[begin]
+    spans = _before(edge)[offsets]
+    left = buf[~gone].tobytes()
+    del edge
+    at = (offsets - removed).tolist()
+    if result == "kept_sha256":
+        last = pa.array([hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+    elif result == "kept":
+        last = pa.array([left[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    else:
+        # a cut can split a character; what is left of it goes
+        last = pa.array([left[a:b].decode("utf-8", "ignore") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+    return [pa.array(np.diff(offsets)), pa.array(np.diff(removed).astype(np.int64)), pa.array(np.diff(spans).astype(np.int64)), last]
+
+
+def repeats(docs: DataFrame, result: str = "kept", prefix: str = "", config: Config = Config()) -> DataFrame:
+    """The rows of docs with n_bytes, n_removed, n_spans and what is left: as ``kept`` (binary), ``kept_text`` (without
+    characters that a cut has split) or ``kept_sha256``; with the last, ``text`` is left out."""
     spark = docs.sparkSession
     prepare(spark)
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // config.bucket_bytes))
-    keyed = docs.withColumns({"__sd_key": F.xxhash64("doc_id", "text"), "__sd_order": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
+    names = [prefix + x for x in ("n_bytes", "n_removed", "n_spans", result)]
+    given = [c for c in docs.columns if c not in names]
+    made = docs.withColumn("__sd_order", F.coalesce(F.expr("try_cast(doc_id AS long)"), F.lit(LAST)))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            buf, offsets = tb.text_bytes(tb.column(batch, "text"))
-            key, order = (tb.column(batch, c).to_numpy() for c in ("__sd_key", "__sd_order"))
+            _, offsets = tb.text_bytes(tb.column(batch, "text"))
             for a, b in tb.slices(offsets, config.block_bytes):
-                z = zones(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], config.length)
-                if z is None:
-                    continue
-                rows = []
-                for g, part in _by(((z.h1 >> _U(40)) % _U(n)).astype(np.int64)):
-                    docs_, which = np.unique(z.doc[part], return_inverse=True)
-                    rows.append((g, 0, _blob(key[a:b][docs_], order[a:b][docs_], *_split(z.h1[part]), *_split(z.h2[part]), z.left[part], z.right[part], which.astype(np.uint32), z.pos[part].astype(np.uint32), z.size[part].astype(np.uint8))))
-                yield from _table(rows).to_batches()
-
-    def zone_bucket(table: pa.Table) -> pa.Table:
-        return _table(match_zones(table["__sd_blob"].to_pylist(), n))
-
-    def string_bucket(table: pa.Table) -> pa.Table:
-        return _table(match_strings(table["__sd_blob"].to_pylist(), n, config))
-
-    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
-    columns = [c for c in keyed.columns if not digest or c in ("doc_id", "text", "__sd_key", "__sd_order")]
-
-    def settle(table: pa.Table, marks: pa.Table, last: bool) -> pa.Table:
-        """Cut the texts of one bucket; where texts are still asked for, send these and keep the spans so far."""
-        kinds, blobs = marks["__sd_kind"].to_pylist(), marks["__sd_blob"].to_pylist()
-        spans = [_arrays(b, *SPAN_KINDS) for k, b in zip(kinds, blobs, strict=True) if k == 0]
-        asks = [_arrays(b, *ASK_KINDS) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-        s = [np.concatenate([x[i] for x in spans]).astype(np.int64) for i in range(3)] if spans else [np.zeros(0, np.int64)] * 3
-        q = [np.concatenate([x[i] for x in asks]).astype(np.int64) for i in range(4)] if asks else [np.zeros(0, np.int64)] * 4
-        s = [x[np.argsort(s[0], kind="stable")] for x in s]
-        q = [x[np.argsort(q[0], kind="stable")] for x in q]
-        table = table.combine_chunks()
-        key, order = table["__sd_key"].to_numpy(), table["__sd_order"].to_numpy()
-        texts = pa.array([None if x is None else zstandard.decompress(x) for x in table["__sd_text"].to_pylist()], pa.binary()).cast(pa.string())
-        table = table.set_column(table.column_names.index("text"), "text", texts)
-        texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-        buf, offsets = tb.text_bytes(texts)
-        before = table["__sd_spans"].to_pylist() if last else [None] * table.num_rows
-        lo, hi = np.searchsorted(s[0], key), np.searchsorted(s[0], key, side="right")
-        qlo, qhi = np.searchsorted(q[0], key), np.searchsorted(q[0], key, side="right")
-        outcome, pending, held, rows, told = [], [], [], [], set()
-        for i in range(table.num_rows):
-            text = buf[offsets[i] : offsets[i + 1]]
-            pos, count = s[1][lo[i] : hi[i]], s[2][lo[i] : hi[i]]
-            if before[i] is not None:
-                more = _arrays(before[i], "<u4", "<u4")
-                pos, count = np.concatenate([pos, more[0]]).astype(np.int64), np.concatenate([count, more[1]]).astype(np.int64)
-            if qlo[i] < qhi[i]:
-                pending.append(i)
-                held.append(_blob(pos.astype(np.uint32), count.astype(np.uint32)))
-                if int(key[i]) not in told:
-                    told.add(int(key[i]))
-                    rows.append((i, slice(qlo[i], qhi[i])))
-                outcome.append(None)
-                continue
-            gone = _covered(len(text), pos, count, config.length)
-            left = text[~gone].tobytes()
-            outcome.append((len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest() if digest else left))
-        sent: list = []
-        if rows:
-            own = np.concatenate([np.full(x.stop - x.start, i) for i, x in rows])
-            which = np.concatenate([np.arange(x.start, x.stop) for _, x in rows])
-            start, span, h1 = q[1][which], q[2][which] + config.length - 1, q[3][which]
-            for g, part in _by(np.mod(h1, n)):
-                at = offsets[own[part]] + start[part]
-                length = span[part]
-                index = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                sent.append((g, 2, _blob(key[own[part]], order[own[part]], start[part].astype(np.uint32), h1[part], length.astype(np.uint16), buf[index])))
-        done = [i for i, x in enumerate(outcome) if x is not None]
-        parts = []
-        blank = dict.fromkeys(results)
-        names = [*columns, *results, "__sd_text", "__sd_spans", "__sd_to", "__sd_kind", "__sd_blob"]
-        blank_text = table.select(columns).set_column(columns.index("text"), schema.field("text"), pa.chunked_array([pa.nulls(table.num_rows, pa.string())]))
-        base = blank_text if digest else table.select(columns)
-
-        def rows_of(source: pa.Table, index: list, values: dict, texts_: list | None, spans_: list | None, kind: int) -> pa.Table:
-            taken = source.take(pa.array(index, pa.int64()))
-            cols = [taken[c] for c in columns]
-            cols += [pa.array(values[c] if values[c] is not None else [None] * len(index), schema.field(c).type) for c in results]
-            cols += [pa.array(texts_ or [None] * len(index), pa.binary()), pa.array(spans_ or [None] * len(index), pa.binary()), pa.nulls(len(index), pa.int64()), pa.array([kind] * len(index), pa.int32()), pa.nulls(len(index), pa.binary())]
-            return pa.table(cols, names=names).cast(schema)
-
-        parts.append(rows_of(base, done, {c: [outcome[i][k] for i in done] for k, c in enumerate(results)}, None, None, 0))
-        if pending:
-            squeeze = zstandard.ZstdCompressor(level=1)
-            packed_texts = [squeeze.compress(buf[offsets[i] : offsets[i + 1]].tobytes()) for i in pending]
-            parts.append(rows_of(blank_text, pending, blank, packed_texts, held, 1))
-        if sent:
-            t = _table(sent)
-            parts.append(pa.table([*(pa.nulls(len(sent), schema.field(c).type) for c in [*columns, *results, "__sd_text", "__sd_spans"]), *t.columns], names=names).cast(schema))
-        return pa.concat_tables(parts)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
-
-    kinds = [LongType(), LongType(), LongType(), StringType() if digest else BinaryType()]
-    out = StructType([*(StructField(c, keyed.schema[c].dataType) for c in columns), *(StructField(c, t) for c, t in zip(results, kinds, strict=True)), StructField("__sd_text", BinaryType()), StructField("__sd_spans", BinaryType()), StructField("__sd_to", LongType()), StructField("__sd_kind", IntegerType()), StructField("__sd_blob", BinaryType())])
-    schema = to_arrow_schema(out)
-
-    packed = keyed.select("__sd_key", "__sd_order", "text").mapInArrow(anchors, _ROWS_SQL)
-    marks = packed.groupBy("__sd_to").applyInArrow(zone_bucket, _ROWS_SQL)
-    bucket = F.pmod(F.col("__sd_key"), F.lit(n))
-    # texts travel compressed
-    slim = keyed.select(*columns).withColumn("__sd_text", F.lit(None).cast("binary"))
-
-    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack_batch(batch.slice(a, b - a))], pa.binary())], ["block", "data"])
+                number += 1
+
+    def zone_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_ = pa.array([None if x is None else squeeze.compress(x) for x in tb.column(batch, "text").cast(pa.binary()).to_pylist()], pa.binary())
-            arrays = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.nulls(len(batch), pa.string()), "__sd_text": texts_}
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
-
-    texts = slim.mapInArrow(squeezed, slim.schema).withColumn("__sd_to", bucket)
-    first = texts.groupBy("__sd_to").cogroup(marks.groupBy("__sd_to")).applyInArrow(lambda a, b: settle(a, b, False), out)
-    first = materialize(spark, first, "suffix")
-    more = first.where("__sd_kind = 2").select("__sd_to", "__sd_kind", "__sd_blob").groupBy("__sd_to").applyInArrow(string_bucket, _ROWS_SQL)
-    pending = first.where("__sd_kind = 1").select(*columns, "__sd_text", "__sd_spans").withColumn("__sd_to", bucket)
-    second = pending.groupBy("__sd_to").cogroup(more.groupBy("__sd_to")).applyInArrow(lambda a, b: settle(a, b, True), out)
-    given = [c for c in columns if not c.startswith("__sd_") and not (digest and c == "text")]
-    return first.where("__sd_kind = 0").unionByName(second).select(*given, *results)
+            for i in range(len(batch)):
+                yield from _table(send_zones(batch["data"][i].as_py(), batch["block"][i].as_py(), n, config)).to_batches()
+
+    def ask(table: pa.Table) -> pa.Table:
+        return _table(match_zones(table["block"].to_pylist(), table["data"].to_pylist()))
+
+    def answer(blocks: pa.Table, asks: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return _table([])
+        return _table(send_texts(blocks["data"][0].as_py(), blocks["block"][0].as_py(), asks["data"].to_pylist(), n, config))
+
+    def sort(table: pa.Table) -> pa.Table:
+        return _table(match_strings(table["block"].to_pylist(), table["data"].to_pylist(), config))
+
+    keep = [c for c in given if not (result == "kept_sha256" and c == "text")]
+    out = StructType([*(docs.schema[c] for c in keep), *(StructField(x, k) for x, k in zip(names, [LongType(), LongType(), LongType(), BinaryType() if result == "kept" else StringType()], strict=True))])
+    shape = to_arrow_schema(out)
+
+    def settle(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        batch, buf, offsets, order = _block(blocks["data"][0].as_py())
+        gone = covered(buf, offsets, order, told["data"].to_pylist(), config)
+        return pa.table([*(tb.column(batch, c) for c in keep), *cut(batch, buf, offsets, gone, result)], names=[*keep, *names]).cast(shape)
+
+    blocks = materialize(spark, made.mapInArrow(block_rows, "block long, data binary"), "blocks")
+    hashed = blocks.mapInArrow(zone_rows, _ROWS_SQL)
+    asks = hashed.groupBy("to").applyInArrow(ask, _ROWS_SQL)
+    texts = blocks.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(answer, _ROWS_SQL)
+    told = texts.groupBy("to").applyInArrow(sort, _ROWS_SQL)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(settle, out)

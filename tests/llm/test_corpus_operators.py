@@ -140,7 +140,7 @@ def test_suffix_dedup(spark, edge, empty):
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("ab "), 4000))
     rows = [*EDGE, *((20 + k, base[a : a + n] + "#" + base[b : b + n]) for k, (a, b, n) in enumerate(rng.integers(40, 900, (12, 3)).tolist()))]
-    got = suffixdedup.repeats(make(spark, rows), digest=True, config=suffixdedup.Config(bucket_bytes=4000, block_bytes=3000))
+    got = suffixdedup.repeats(make(spark, rows), "kept_sha256", config=suffixdedup.Config(bucket_bytes=4000, block_bytes=3000, part=700))
     assert collections.Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_repeats(rows)
     kept = suffixdedup.repeats(edge)
     assert set(edge.columns) < set(kept.columns) and kept.count() == len(EDGE) and suffixdedup.repeats(empty).count() == 0
@@ -150,11 +150,27 @@ def test_deep_shallow_sorts():
     rng = np.random.default_rng(4)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
     buf[1000:1500] = buf[:500]
+    buf[2000:2300] = 98
     starts = np.arange(len(buf) - 50)
-    for shallow in (8, 16, 40):
-        order, same = suffixdedup.deep_shallow(buf, starts, 50, shallow)
-        texts = [buf[s : s + 50].tobytes() for s in order]
-        assert texts == sorted(texts) and same.tolist() == [False, *(a == b for a, b in zip(texts, texts[1:], strict=False))]
+    group = np.sort(rng.integers(0, 5, len(starts)))
+    first = np.append(True, np.diff(group) > 0)
+    symbols = suffixdedup.strings(buf, starts, np.full(len(starts), 50), 56)
+    for shallow in (1, 2, 4, 7):
+        order, new = suffixdedup.deep_shallow(symbols, first, shallow)
+        texts = [(group[s], buf[s : s + 50].tobytes()) for s in order]
+        assert sorted(order.tolist()) == list(range(len(starts)))
+        assert texts == sorted(texts) and new.tolist() == [True, *(a != b for a, b in zip(texts, texts[1:], strict=False))]
+
+
+def test_blind_trie():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(0, 3, 12).tolist()) for _ in range(500)]
+    trie = suffixdedup.BlindTrie()
+    for i, t in enumerate(texts):
+        trie.add(t, i)
+    groups = list(trie.ordered())
+    assert [texts[g[0]] for g in groups] == sorted(set(texts)) and all(len({texts[i] for i in g}) == 1 for g in groups)
+    assert sorted(i for g in groups for i in g) == list(range(500))
 
 
 def shingle_set(text):
