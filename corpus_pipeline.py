@@ -33,13 +33,13 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes and more that an earlier document has are cut out; broken characters at the cuts go too. A
-    document of which nothing is left goes."""
-    found = suffixdedup.repeats(docs)
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))
-    cut = found.withColumn("text", text).where((F.col("n_removed") == 0) | (F.col("text") != ""))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Passages of 50 bytes and more that an earlier document has are cut out, with what is left of a character that a
+    cut has split. A document of which nothing is left goes."""
+    found = suffixdedup.repeats(docs, "kept_text", "__sd_")
+    cut = F.col("__sd_n_removed") > 0
+    left = F.when(cut, F.col("__sd_kept_text")).otherwise(F.col("text"))
+    size = F.when(cut, F.length("__sd_kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(~cut | (F.col("__sd_kept_text") != "")).withColumns({"text": left, "n_chars": size}).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
