@@ -20,9 +20,3 @@ def latest_before(facts: DataFrame, key: str, at: str, other: DataFrame, other_a
     right = other.select(F.col(key), F.col(other_at).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_fact"))
     w = Window.partitionBy(key).orderBy("_t", "_fact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return left.unionByName(right, allowMissingColumns=True).withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w)).where("_fact = 1").drop("_t", "_v", "_fact")
-
-
-def stage(minutes: str):
-    """Phase of a race by the minutes to its start."""
-    m = F.col(minutes)
-    return F.when(m < 0, "after").when(m < 15, "final").when(m <= 25, "provisional").otherwise("latest")

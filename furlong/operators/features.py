@@ -16,20 +16,32 @@ def placed() -> Column:
 
 
 def horse_features(df: DataFrame) -> DataFrame:
-    """Starts, win and show rates and mean rank before the day; previous rank, days since, change of distance, last-3 mean rank."""
-    out = past.past_totals(df, ["horse_id"], {"starts": past.one(), "_w": won(), "_p": placed(), "_r": F.col("finish_rank")}, "day")
-    w = Window.partitionBy("horse_id").orderBy("day", "race_id", "post_no")
-    n = F.col("starts")
+    """Before the day: starts, rates of wins, seconds and shows, mean rank, and rates under this race's conditions. Before
+    this row: previous rank, days since, change of distance, mean rank of the last 3 and 5."""
+    value = F.struct(F.col("finish_rank").cast("double").alias("rank"), "day", "distance")
+    out = past.past_totals(df, ["horse_id"], {"starts": past.one(), "_w": won(), "_q": (F.col("finish_rank") <= 2).cast("int"), "_p": placed(), "_r": F.col("finish_rank")}, "row", last=("_last", 5, value))
+    n, last = F.col("starts"), F.col("_last")
+    ranks = F.transform(last, lambda x: x["rank"])
     return out.withColumns({
         "starts": n.cast("long"),
         "win_rate": F.when(n > 0, F.col("_w") / n),
+        "second_rate": F.when(n > 0, F.col("_q") / n),
         "show_rate": F.when(n > 0, F.col("_p") / n),
         "mean_rank": F.when(n > 0, F.col("_r") / n),
-        "previous_rank": F.lag("finish_rank").over(w),
-        "days_since": F.col("day") - F.lag("day").over(w),
-        "distance_change": F.col("distance") - F.lag("distance").over(w),
-        "last3_rank": F.avg("finish_rank").over(w.rowsBetween(-3, -1)),
-    }).drop("_w", "_p", "_r")
+        "previous_rank": F.get(last, F.lit(0))["rank"].cast("long"),
+        "days_since": F.col("day") - F.get(last, F.lit(0))["day"],
+        "distance_change": F.col("distance") - F.get(last, F.lit(0))["distance"],
+        "last3_rank": past.mean_of(F.slice(ranks, 1, 3)),
+        "last5_rank": past.mean_of(ranks),
+    }).drop("_w", "_q", "_p", "_r", "_last")
+
+
+def condition_features(df: DataFrame) -> DataFrame:
+    """Show rates of a horse before this row, by distance band, surface, going and venue."""
+    out = df.withColumn("band", F.floor(F.col("distance") / 200))
+    for by in ("band", "surface", "going", "venue"):
+        out = past.past_rate(out, ["horse_id", by], placed(), f"show_{by}", 1, "row")
+    return out
 
 
 def person_features(df: DataFrame, who: str, by: str, min_count: int = 10) -> DataFrame:
@@ -38,11 +50,16 @@ def person_features(df: DataFrame, who: str, by: str, min_count: int = 10) -> Da
     return past.past_rate(out, [who, by], won(), "rate_here", min_count, "day")
 
 
+def recent_rate(df: DataFrame, who: str, window: int = 100) -> DataFrame:
+    """Win rate of a person in the last rides before the day."""
+    return past.past_window_mean(df, [who], won(), "recent_rate", window, "day")
+
+
 def pair_features(df: DataFrame) -> DataFrame:
+    """Before the day: starts and win rate of horse and jockey together; and whether the jockey is another than the last time."""
     out = past.past_totals(df, ["horse_id", "jockey_id"], {"pair_starts": past.one(), "_w": won()}, "day")
-    w = Window.partitionBy("horse_id").orderBy("day", "race_id", "post_no")
-    before = F.lag("jockey_id").over(w)
-    return out.withColumns({"pair_rate": F.when(F.col("pair_starts") > 0, F.col("_w") / F.col("pair_starts")), "changed": (F.col("jockey_id") != before).cast("long"), "pair_starts": F.col("pair_starts").cast("long")}).drop("_w")
+    out = past.past_totals(out, ["horse_id"], {}, "row", last=("_last", 1, F.col("jockey_id")))
+    return out.withColumns({"pair_rate": F.when(F.col("pair_starts") > 0, F.col("_w") / F.col("pair_starts")), "changed": (F.col("jockey_id") != F.get("_last", F.lit(0))).cast("long"), "pair_starts": F.col("pair_starts").cast("long")}).drop("_w", "_last")
 
 
 def race_features(df: DataFrame) -> DataFrame:
@@ -64,6 +81,10 @@ def class_features(df: DataFrame, level: str = "level") -> DataFrame:
 def form_table(df: DataFrame) -> DataFrame:
     """A runner's form, jockey's rate, market share and place in the field, as of the day before."""
     w = Window.partitionBy("race_id")
-    out = past.past_rate(horse_features(df), ["jockey_id"], won(), "jockey_rate", 5, "day")
+    value = F.struct(F.col("finish_rank").cast("double").alias("rank"), "day")
+    out = past.past_totals(df, ["horse_id"], {"starts": past.one(), "_w": won(), "_p": placed()}, "day", last=("_last", 3, value))
+    out = past.past_rate(out, ["jockey_id"], won(), "jockey_rate", 5, "day")
+    n, last = F.col("starts"), F.col("_last")
+    out = out.withColumns({"win_rate": F.when(n > 0, F.col("_w") / n), "show_rate": F.when(n > 0, F.col("_p") / n), "last3_rank": past.mean_of(F.transform(last, lambda x: x["rank"])), "previous_rank": F.get(last, F.lit(0))["rank"].cast("long"), "days_since": F.col("day") - F.get(last, F.lit(0))["day"]})
     p = (1 / F.col("win_odds")) / F.sum(1 / F.col("win_odds")).over(w)
-    return out.withColumns({"market": p, "field": F.count("*").over(w), "form_rank": F.when(F.col("win_rate").isNotNull(), F.rank().over(w.orderBy(F.desc_nulls_last("win_rate"))).cast("long"))})
+    return out.withColumns({"starts": n.cast("long"), "market": p, "field": F.count("*").over(w), "form_rank": F.when(F.col("win_rate").isNotNull(), F.rank().over(w.orderBy(F.desc_nulls_last("win_rate"))).cast("long"))}).drop("_w", "_p", "_last")

@@ -15,23 +15,42 @@ from pyspark.sql import functions as F
 START = Window.unboundedPreceding
 
 
-def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no")) -> DataFrame:
-    """df with the sums of each named column over the past; null values add nothing."""
+def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no"), last: tuple[str, int, Column] | None = None) -> DataFrame:
+    """df with the sums of each named column over the past; null values add nothing.
+
+    last: name of an array, number of rows and value: the values of so many last rows, the latest first. They are taken
+    from the last rows of each day and handed on from day to day.
+    """
     names = list(sums)
     valued = df.withColumns({f"_v_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in sums.items()})
-    days = valued.groupBy(*keys, "day").agg(*(F.sum(f"_v_{n}").alias(f"_d_{n}") for n in names))
-    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(START, -1)
-    before = days.select(*keys, "day", *(F.sum(f"_d_{n}").over(w).alias(n) for n in names))
-    out = valued.join(before, [*keys, "day"], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
-    if as_of == "row":
-        near = Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(START, -1)
-        out = out.withColumns({n: F.col(n) + F.coalesce(F.sum(f"_v_{n}").over(near), F.lit(0.0)) for n in names})
-    elif as_of == "race":
-        near = Window.partitionBy(*keys, "day").orderBy("race_id").rangeBetween(START, -1)
+    totals = [F.sum(f"_v_{n}").alias(f"_d_{n}") for n in names]
+    w = Window.partitionBy(*keys).orderBy("day")
+    carried = [F.sum(f"_d_{n}").over(w.rowsBetween(START, -1)).alias(n) for n in names]
+    if last:
+        name, k, value = last
+        valued = valued.withColumn("_now", F.struct(*order, value.alias("v")))
+        totals.append(F.slice(F.reverse(F.array_sort(F.collect_list("_now"))), 1, k).alias("_days"))
+        carried.append(F.slice(F.flatten(F.reverse(F.collect_list("_days").over(w.rowsBetween(-k, -1)))), 1, k).alias(name))
+    days = valued.groupBy(*keys, "day").agg(*totals)
+    out = valued.join(days.select(*keys, "day", *carried), [*keys, "day"], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
+    near = Window.partitionBy(*keys, "day")
+    near = near.orderBy(*order).rowsBetween(START, -1) if as_of == "row" else near.orderBy("race_id").rangeBetween(START, -1)
+    if as_of != "day":
         out = out.withColumns({n: F.col(n) + F.coalesce(F.sum(f"_v_{n}").over(near), F.lit(0.0)) for n in names})
+    if last:
+        if as_of == "row":
+            today = F.reverse(F.collect_list("_now").over(Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(-k, -1)))
+            out = out.withColumn(name, F.slice(F.concat(today, F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType))), 1, k))
+        out = out.withColumn(name, F.transform(name, lambda x: x["v"])).drop("_now")
     return out.drop(*(f"_v_{n}" for n in names))
 
 
+def mean_of(values: Column) -> Column:
+    """Mean of the known values of an array; null without one."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))
+
+
 def one() -> Column:
     return F.lit(1)
 
@@ -67,16 +86,27 @@ def past_conditional_mean(df: DataFrame, keys: list[str], value: Column, conditi
     return past_mean(df, keys, F.when(condition, value), name, min_count, as_of)
 
 
-def past_window_mean(df: DataFrame, keys: list[str], value: Column, name: str, window: int, order: tuple[str, ...] = ("day", "race_id", "post_no")) -> DataFrame:
-    """Mean of the last rows before this one, a null value counting as 0."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-window, -1)
-    return df.withColumn(name, F.avg(F.coalesce(value.cast("double"), F.lit(0.0))).over(w))
+def past_window_mean(df: DataFrame, keys: list[str], value: Column, name: str, window: int, as_of: str = "row") -> DataFrame:
+    """Mean of the last rows before this one, or before this day, a null value counting as 0."""
+    return past_totals(df, keys, {}, as_of, last=("_recent", window, F.coalesce(value.cast("double"), F.lit(0.0)))).withColumn(name, mean_of(F.col("_recent"))).drop("_recent")
+
+
+def past_window_known(df: DataFrame, keys: list[str], value: Column, name: str, window: int, as_of: str = "row") -> DataFrame:
+    """Sum and number of the known values among the last rows, as name_sum and name_n."""
+    out = past_totals(df, keys, {}, as_of, last=("_recent", window, value.cast("double")))
+    known = F.filter("_recent", lambda x: x.isNotNull())
+    return out.withColumns({f"{name}_sum": F.coalesce(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), f"{name}_n": F.coalesce(F.size(known), F.lit(0)).cast("long")}).drop("_recent")
 
 
-def previous(df: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, ...] = ("day", "race_id", "post_no")) -> DataFrame:
-    """The last known value before this row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(START, -1)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def previous(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """The last known value before this row. Only days with a known value hand one on."""
+    order = ("race_id", "post_no")
+    valued = df.withColumn("_v", value)
+    days = valued.where("_v is not null").groupBy(*keys, "day").agg(F.max_by("_v", F.struct(*order)).alias("_day"))
+    every = valued.select(*keys, "day").distinct().join(days, [*keys, "day"], "left")
+    before = every.select(*keys, "day", F.last("_day", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(START, -1)).alias("_before"))
+    near = Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(START, -1)
+    return valued.join(before, [*keys, "day"], "left").withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(near), F.col("_before"))).drop("_v", "_before")
 
 
 def standardized(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 30) -> DataFrame:

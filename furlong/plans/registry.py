@@ -8,32 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.operators import asof, bets, features, market, past, records
+from furlong.plans.base import KEY, QUERIES, SQL, Query, out, query
 from furlong.sources.views import CARDS, RUNS, VERSIONS, cards, runs, table, versions
 from furlong.streaming.cards import daily_windows
 
-KEY = ["race_id", "post_no"]
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def out(df: DataFrame, *cols: str, keys: list[str] = KEY, digits: int = 6) -> DataFrame:
-    """Keys and columns, doubles rounded, whole numbers as long."""
-    kinds = dict(df.dtypes)
-    made = [F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in cols]
-    return df.select(*keys, *made)
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[name] = f
-        if sql:
-            _sql[name] = sql
-        return f
-
-    return add
-
-
 def _past(name: str, f: Callable[[DataFrame], DataFrame], expr: str) -> None:
     query(name, f"WITH {RUNS} SELECT race_id, post_no, {expr} AS x FROM runs")(lambda s, d: out(f(runs(s, d)), "x"))
 
@@ -73,13 +51,45 @@ def _blocks(s: SparkSession, d: str) -> DataFrame:
     return past.block_start(runs(s, d)).select("day", "block_start")
 
 
-@query("horse_features", f"""WITH {RUNS} SELECT race_id, post_no, count(*) OVER d AS starts, round(sum({WIN_SQL}) OVER d / nullif(count(*) OVER d, 0), 6) AS win_rate,
- round(sum(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER d / nullif(count(*) OVER d, 0), 6) AS show_rate, round(avg(finish_rank) OVER d, 6) AS mean_rank,
- lag(finish_rank) OVER w AS previous_rank, day - lag(day) OVER w AS days_since, distance - lag(distance) OVER w AS distance_change,
- round(avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_rank
- FROM runs WINDOW d AS ({H} {DAY}), w AS ({H} ORDER BY day, race_id, post_no)""")
+@query("horse_features", f"""WITH {RUNS} SELECT race_id, post_no, count(*) OVER r AS starts, round(sum({WIN_SQL}) OVER r / nullif(count(*) OVER r, 0), 6) AS win_rate,
+ round(sum(CASE WHEN finish_rank <= 2 THEN 1 ELSE 0 END) OVER r / nullif(count(*) OVER r, 0), 6) AS second_rate, round(sum(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER r / nullif(count(*) OVER r, 0), 6) AS show_rate,
+ round(avg(finish_rank) OVER r, 6) AS mean_rank, lag(finish_rank) OVER w AS previous_rank, day - lag(day) OVER w AS days_since, distance - lag(distance) OVER w AS distance_change,
+ round(avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_rank, round(avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS last5_rank
+ FROM runs WINDOW r AS ({H} {ROW}), w AS ({H} ORDER BY day, race_id, post_no)""")
 def _horse(s: SparkSession, d: str) -> DataFrame:
-    return out(features.horse_features(runs(s, d)), "starts", "win_rate", "show_rate", "mean_rank", "previous_rank", "days_since", "distance_change", "last3_rank")
+    return out(features.horse_features(runs(s, d)), "starts", "win_rate", "second_rate", "show_rate", "mean_rank", "previous_rank", "days_since", "distance_change", "last3_rank", "last5_rank")
+
+
+def _show(by: str) -> str:
+    return f"round(avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY horse_id, {by} {ROW}), 6) AS show_{by}"
+
+
+@query("condition_features", f"WITH {RUNS}, b AS (SELECT *, floor(distance / 200) AS band FROM runs) SELECT race_id, post_no, {', '.join(map(_show, ('band', 'surface', 'going', 'venue')))} FROM b")
+def _conditions(s: SparkSession, d: str) -> DataFrame:
+    return out(features.condition_features(runs(s, d)), "show_band", "show_surface", "show_going", "show_venue")
+
+
+#: the last n rows before the first row of the day, of a key
+LAST_SQL = """n AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY day, race_id, post_no) AS rn FROM runs), f AS (SELECT *, min(rn) OVER (PARTITION BY {k}, day) AS f FROM n),
+ c AS (SELECT {k}, rn, sum({v}) OVER (PARTITION BY {k} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM f)"""
+
+
+@query("jockey_recent", f"""WITH {RUNS}, {LAST_SQL.format(k='jockey_id', v=WIN_SQL)} SELECT f.race_id, f.post_no, round((coalesce(hi.s, 0) - coalesce(lo.s, 0)) / nullif(f.f - greatest(f.f - 100, 1), 0), 6) AS recent_rate
+ FROM f JOIN c hi ON hi.jockey_id = f.jockey_id AND hi.rn = f.f JOIN c lo ON lo.jockey_id = f.jockey_id AND lo.rn = greatest(f.f - 100, 1)""")
+def _recent(s: SparkSession, d: str) -> DataFrame:
+    return out(features.recent_rate(runs(s, d), "jockey_id"), "recent_rate")
+
+
+@query("past_window_mean_day", f"""WITH {RUNS}, {LAST_SQL.format(k='horse_id', v='finish_rank')} SELECT f.race_id, f.post_no, round((coalesce(hi.s, 0) - coalesce(lo.s, 0)) / nullif(f.f - greatest(f.f - 5, 1), 0), 6) AS x
+ FROM f JOIN c hi ON hi.horse_id = f.horse_id AND hi.rn = f.f JOIN c lo ON lo.horse_id = f.horse_id AND lo.rn = greatest(f.f - 5, 1)""")
+def _window_day(s: SparkSession, d: str) -> DataFrame:
+    return out(past.past_window_mean(runs(s, d), ["horse_id"], F.col("finish_rank"), "x", 5, "day"), "x")
+
+
+@query("past_window_known", f"""WITH {RUNS} SELECT race_id, post_no, round(coalesce(sum(price) FILTER (finish_rank <= 3) OVER w, 0), 4) AS x_sum, count(price) FILTER (finish_rank <= 3) OVER w AS x_n
+ FROM runs WINDOW w AS ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+def _window_known(s: SparkSession, d: str) -> DataFrame:
+    return out(past.past_window_known(runs(s, d), ["horse_id"], F.when(F.col("finish_rank") <= 3, F.col("price")), "x", 5).withColumn("x_sum", F.round("x_sum", 4)), "x_sum", "x_n")
 
 
 @query("jockey_features", f"""WITH {RUNS} SELECT race_id, post_no, CASE WHEN count(*) OVER a >= 10 THEN round(avg({WIN_SQL}) OVER a, 6) END AS rate, CASE WHEN count(*) OVER b >= 10 THEN round(avg({WIN_SQL}) OVER b, 6) END AS rate_here
@@ -115,12 +125,12 @@ def _class(s: SparkSession, d: str) -> DataFrame:
     return out(features.class_features(runs(s, d).withColumn("level", 6 - F.substring("grade", 1, 1).cast("long"))), "class_starts", "class_rank")
 
 
-@query("form_table", f"""WITH {RUNS}, f AS (SELECT *, count(*) OVER d AS starts, avg({WIN_SQL}) OVER d AS wr, avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER d AS sr,
- CASE WHEN count(*) OVER j >= 5 THEN avg({WIN_SQL}) OVER j END AS jr, lag(finish_rank) OVER w AS previous_rank, day - lag(day) OVER w AS days_since,
- avg(finish_rank) OVER ({H} ORDER BY day, race_id, post_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS l3, sum(1 / win_odds) OVER (PARTITION BY race_id) AS book
- FROM runs WINDOW d AS ({H} {DAY}), j AS ({J} {DAY}), w AS ({H} ORDER BY day, race_id, post_no))
- SELECT race_id, post_no, starts, round(wr, 6) AS win_rate, round(sr, 6) AS show_rate, round(l3, 6) AS last3_rank, previous_rank, days_since, round(jr, 6) AS jockey_rate,
- CASE WHEN wr IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY wr DESC NULLS LAST) END AS form_rank, round(1 / win_odds / book, 6) AS market, count(*) OVER (PARTITION BY race_id) AS field FROM f""")
+@query("form_table", f"""WITH {RUNS}, o AS (SELECT *, row_number() OVER ({H} ORDER BY day, race_id, post_no) AS rn FROM runs), f AS (SELECT *, min(rn) OVER (PARTITION BY horse_id, day) AS f,
+ count(*) OVER d AS starts, avg({WIN_SQL}) OVER d AS wr, avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) OVER d AS sr, CASE WHEN count(*) OVER j >= 5 THEN avg({WIN_SQL}) OVER j END AS jr, sum(1 / win_odds) OVER (PARTITION BY race_id) AS book
+ FROM o WINDOW d AS ({H} {DAY}), j AS ({J} {DAY})),
+ l AS (SELECT DISTINCT a.horse_id, a.f, avg(b.finish_rank) AS l3, max_by(b.finish_rank, b.rn) AS pr, max_by(b.day, b.rn) AS pd FROM (SELECT DISTINCT horse_id, f FROM f) a JOIN o b ON b.horse_id = a.horse_id AND b.rn < a.f AND b.rn >= a.f - 3 GROUP BY 1, 2)
+ SELECT race_id, post_no, starts, round(wr, 6) AS win_rate, round(sr, 6) AS show_rate, round(l3, 6) AS last3_rank, pr AS previous_rank, day - pd AS days_since, round(jr, 6) AS jockey_rate,
+ CASE WHEN wr IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY wr DESC NULLS LAST) END AS form_rank, round(1 / win_odds / book, 6) AS market, count(*) OVER (PARTITION BY race_id) AS field FROM f LEFT JOIN l USING (horse_id, f)""")
 def _form(s: SparkSession, d: str) -> DataFrame:
     return out(features.form_table(runs(s, d)), "starts", "win_rate", "show_rate", "last3_rank", "previous_rank", "days_since", "jockey_rate", "form_rank", "market", "field")
 
@@ -394,9 +404,12 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return daily_windows(s, d)
 
 
+from furlong.plans import fields  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)

@@ -72,6 +72,31 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record fields as the texts that a feed delivers them in, some of them missing or unreadable."""
+    q = F.col("l_quantity").cast("long")
+    text = lambda c: c.cast("string")
+    pad = lambda c, n: F.lpad(text(c), n, "0")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("race_id"),
+        F.col("l_linenumber").cast("long").alias("line"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+        q.alias("q"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_shipdate").cast("date").alias("made"),
+        F.when(q % 11 == 0, "   ").when(q % 13 == 0, "x1").otherwise(pad(F.col("l_partkey") % 1000, 3)).alias("size"),
+        F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("sign"),
+        pad((F.col("l_partkey") * 37) % 3000, 4).alias("time"),
+        F.when(q % 17 == 0, "late").otherwise(text((F.col("l_partkey") % 24) * 100 + F.col("l_suppkey") % 60)).alias("hhmm"),
+        pad(F.col("l_suppkey") % 62, 2).alias("track"),
+        F.element_at(F.array(*(F.lit(x) for x in ("000", "005", "010", "016", "701", "703", "999", "", " x"))), (F.col("l_partkey") % 9 + 1).cast("int")).alias("entry"),
+        F.element_at(F.array(*(F.lit(x) for x in ("003", "", "702", "100"))), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("entry2"),
+        F.element_at(F.split(F.lit("A,B,C,D,E,F,G,H,L, "), ","), (F.col("l_partkey") % 10 + 1).cast("int")).alias("grade_code"),
+        F.concat(F.lit(" "), text(F.col("l_partkey")), F.when(q % 2 == 0, ".0").otherwise("")).alias("id"),
+    )
+
+
 RUNS = """
 runs AS (
   SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY price DESC, post_no) AS finish_rank FROM (
@@ -97,3 +122,13 @@ versions AS (
     row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
     l_extendedprice AS value FROM lineitem)
 """
+FIELDS = """
+fields AS (
+  SELECT l_orderkey AS race_id, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS BIGINT) AS q, l_extendedprice AS price, CAST(l_shipdate AS DATE) AS made,
+    CASE WHEN CAST(l_quantity AS BIGINT) % 11 = 0 THEN '   ' WHEN CAST(l_quantity AS BIGINT) % 13 = 0 THEN 'x1' ELSE lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') END AS size,
+    ['+', '-', ' '][l_suppkey % 3 + 1] AS sign, lpad(CAST((l_partkey * 37) % 3000 AS VARCHAR), 4, '0') AS time,
+    CASE WHEN CAST(l_quantity AS BIGINT) % 17 = 0 THEN 'late' ELSE CAST((l_partkey % 24) * 100 + l_suppkey % 60 AS VARCHAR) END AS hhmm, lpad(CAST(l_suppkey % 62 AS VARCHAR), 2, '0') AS track,
+    ['000', '005', '010', '016', '701', '703', '999', '', ' x'][l_partkey % 9 + 1] AS entry, ['003', '', '702', '100'][l_suppkey % 4 + 1] AS entry2,
+    ['A', 'B', 'C', 'D', 'E', 'F', 'G', 'H', 'L', ' '][l_partkey % 10 + 1] AS grade_code, ' ' || l_partkey || CASE WHEN CAST(l_quantity AS BIGINT) % 2 = 0 THEN '.0' ELSE '' END AS id
+  FROM lineitem)
+"""
