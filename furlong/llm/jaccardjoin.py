@@ -151,7 +151,7 @@ def sets(docs: DataFrame, config: Config) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id").slice(a, b - a), pa.array(ids, mask=none), pa.array(sig, pa.binary()), pa.array(shingles, pa.binary())], ["doc_id", "set_id", "sig", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_id long, sig binary, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, set_id long, sig binary, shingles binary")
 
 
 def leaves(spark, signed: DataFrame, config: Config) -> DataFrame:
@@ -169,7 +169,7 @@ def leaves(spark, signed: DataFrame, config: Config) -> DataFrame:
 
         return run
 
-    out, level = [], signed.mapInArrow(step(True), "path long, set_id long")
+    out, level = [], signed.mapInArrow(tb.lean(step(True)), "path long, set_id long")
     for depth in range(1, config.depth + 1):
         level = materialize(spark, level, "paths")
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -182,7 +182,7 @@ def leaves(spark, signed: DataFrame, config: Config) -> DataFrame:
             dealt = large.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             out.append(dealt.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "set_id"))
         else:
-            level = large.select("path", "set_id").join(signed, "set_id").mapInArrow(step(False), "path long, set_id long")
+            level = large.select("path", "set_id").join(signed, "set_id").mapInArrow(tb.lean(step(False)), "path long, set_id long")
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -345,13 +345,13 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
     bunches = max(1, math.ceil(leaf.count() / config.bunch))
     lists = leaf.groupBy("set_id").agg(F.array_sort(F.collect_set("bucket")).alias("leaves")).join(signed, "set_id")
     dealt = lists.select("set_id", "sig", "leaves", F.explode("leaves").alias("bucket")).withColumn("bunch", F.pmod(F.xxhash64("bucket"), F.lit(bunches)))
-    proposed = materialize(spark, dealt.groupBy("bunch").applyInArrow(lambda t: propose(t, config), _PROPOSED_SQL), "proposed")
+    proposed = materialize(spark, dealt.groupBy("bunch").applyInArrow(tb.lean_group(lambda t: propose(t, config)), _PROPOSED_SQL), "proposed")
     need = proposed.where("set_id is not null").select("bunch", "set_id")
     # what is needed has no fixed bound, so it is not broadcast, whatever its size
     wanted = payload.select("set_id", "shingles").join(need.select("set_id").distinct().hint("merge"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     have = need.join(wanted, "set_id").groupBy("bunch")
     pairs = proposed.where("pairs is not null").select(F.col("bunch").alias("of"), "pairs").groupBy("of")
-    links = materialize(spark, have.cogroup(pairs).applyInArrow(lambda a, b: verify(a, b, config), _LINKS_SQL), "links")
+    links = materialize(spark, have.cogroup(pairs).applyInArrow(tb.lean_pair(lambda a, b: verify(a, b, config)), _LINKS_SQL), "links")
     roots = components(spark, links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))

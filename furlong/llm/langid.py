@@ -193,4 +193,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, p.max(axis=1), 0.0))], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, lang_pred string, score double")

@@ -197,7 +197,7 @@ def store(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def digest(stored: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def digest(stored: DataFrame) -> DataFrame:
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"]
-    return stored.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>")
+    return stored.mapInArrow(tb.lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>")
 
 
 def media_table(docs: DataFrame) -> DataFrame:

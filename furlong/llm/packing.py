@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, spec: TokenizerSpec, end_id: int, capacity: int) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     kept = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return kept.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
+    return kept.mapInArrow(tb.lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def pack(docs: DataFrame, spec: TokenizerSpec, end_id: int = 0, capacity: int = 2048, group_sequences: int = 4096) -> DataFrame:
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, spec: TokenizerSpec, end_id: int = 0, capacity: int =
         return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(place))
 
     dealt = cut.withColumn("bunch", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    return dealt.groupBy("bunch").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("bunch").applyInArrow(tb.lean_group(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -572,9 +572,9 @@ def repeats(docs: DataFrame, result: str = "kept", prefix: str = "", config: Con
         gone = covered(buf, offsets, order, told["data"].to_pylist(), config)
         return pa.table([*(tb.column(batch, c) for c in keep), *cut(batch, buf, offsets, gone, result)], names=[*keep, *names]).cast(shape)
 
-    blocks = materialize(spark, made.mapInArrow(block_rows, "block long, data binary"), "blocks")
-    hashed = blocks.mapInArrow(zone_rows, _ROWS_SQL)
-    asks = hashed.groupBy("to").applyInArrow(ask, _ROWS_SQL)
-    texts = blocks.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(answer, _ROWS_SQL)
-    told = texts.groupBy("to").applyInArrow(sort, _ROWS_SQL)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(settle, out)
+    blocks = materialize(spark, made.mapInArrow(tb.lean(block_rows), "block long, data binary"), "blocks")
+    hashed = blocks.mapInArrow(tb.lean(zone_rows), _ROWS_SQL)
+    asks = hashed.groupBy("to").applyInArrow(tb.lean_group(ask), _ROWS_SQL)
+    texts = blocks.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(tb.lean_pair(answer), _ROWS_SQL)
+    told = texts.groupBy("to").applyInArrow(tb.lean_group(sort), _ROWS_SQL)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tb.lean_pair(settle), out)

@@ -124,7 +124,7 @@ def counts(docs: DataFrame, learn: Column, buckets: int, config: Config) -> Data
                         rows.append((kind, g, int(n[part].sum()), _pack(keys[part], n[part].astype(np.uint32))))
                 yield from _table(rows).to_batches()
 
-    return docs.where(learn).select("text").mapInArrow(run, _PART_SQL)
+    return docs.where(learn).select("text").mapInArrow(tb.lean(run), _PART_SQL)
 
 
 def merge(table: pa.Table, least: dict[int, float]) -> pa.Table:
@@ -306,7 +306,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
                     empty = [pa.nulls(m, doc.type), *(pa.nulls(m, t) for _, t in fields[1:7])]
                     yield pa.RecordBatch.from_arrays([*empty, pa.array([g for g, _ in sent], pa.int64()), pa.array([x for _, x in sent], pa.binary())], names)
 
-    scored = materialize(spark, given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, row_sql), "scored")
+    scored = materialize(spark, given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tb.lean(run), row_sql), "scored")
 
     def rare(table: pa.Table) -> pa.Table:
         """Count the other words of a bucket and add up what each text has of them."""
@@ -336,10 +336,10 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
         base = logs - table["n_tokens"].to_numpy() * scale
         return pa.table([table["doc_id"], table["learnt"], table["n_tokens"], pa.array(known), pa.array(np.full(len(row), tokens, np.int64)), pa.array(base), pa.array(value)], names=["doc_id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    sums = scored.where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(rare, "to long, blob binary")
+    sums = scored.where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(tb.lean_group(rare), "to long, blob binary")
     texts = scored.where("blob is null").select("doc_id", "learnt", "row", "n_tokens", "known", "logs", "score")
     place = prepare_bucket(texts, buckets)
-    return place.groupBy("to").cogroup(sums.groupBy("to")).applyInArrow(finish, f"doc_id {kind}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return place.groupBy("to").cogroup(sums.groupBy("to")).applyInArrow(tb.lean_pair(finish), f"doc_id {kind}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def prepare_bucket(texts: DataFrame, buckets: int) -> DataFrame:
@@ -351,4 +351,4 @@ def prepare_bucket(texts: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to)], [*batch.schema.names, "to"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
-    return texts.mapInArrow(run, f"{fields}, to long")
+    return texts.mapInArrow(tb.lean(run), f"{fields}, to long")

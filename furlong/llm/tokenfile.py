@@ -122,7 +122,7 @@ def write(docs: DataFrame, spec: TokenizerSpec, end_id: int, path: str, shard_id
     kept = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
     ranged = kept.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     numbered = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    numbered.mapInArrow(run, f"part int, shard int, before long, n_ids long, doc_ids array<{kind}>, data binary").write.parquet(path)
+    numbered.mapInArrow(tb.lean(run), f"part int, shard int, before long, n_ids long, doc_ids array<{kind}>, data binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +144,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 start = before[tb.column(batch, "part")[i].as_py()] + tb.column(batch, "before")[i].as_py() + at[:-1]
                 yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_ids")[i].values, pa.array(start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "before", "doc_ids", "data").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "doc_ids", "data").mapInArrow(tb.lean(run), f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, spec: TokenizerSpec, end_id: int = 1) -> DataFrame:
