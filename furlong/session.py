@@ -28,8 +28,14 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
     return spark
 
 
+#: Bytes of a batch that a Python worker gets at a time; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is not installed."""
+    """Let Python workers import this package where it is not installed, and bound what they are sent at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
