@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from furlong.operators.stats import quantiles, wilson
+
+
 def race() -> WindowSpec:
     return Window.partitionBy("race_id")
 
@@ -19,13 +22,6 @@ def race_table(df: DataFrame) -> DataFrame:
     return df.groupBy("race_id").agg(F.count("*").alias("field"), F.first("grade").alias("grade"), F.first("payout").alias("payout"), at(1).alias("r1"), at(2).alias("r2"), at(3).alias("r3")).where("field >= 3")
 
 
-def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    p = hits / n
-    centre = (p + z * z / (2 * n)) / (1 + z * z / n)
-    half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.greatest(centre - half, F.lit(0.0)), F.least(centre + half, F.lit(1.0))
-
-
 def simulate(races: DataFrame, n1: int, n2: int, n3: int, by: list[str], target: float) -> DataFrame:
     """Nested top-n1/n2/n3 bets of 100 a point: hits, hits that reach the target, stake, rates with Wilson bounds, return."""
     a, b, c = (F.least(F.lit(k), F.col("field")) for k in (n1, n2, n3))
@@ -72,6 +68,7 @@ def difficulty(df: DataFrame, p: str) -> DataFrame:
 
 
 def strata(df: DataFrame, metric: str, q: int) -> DataFrame:
-    """Numbers of the quantile strata (right-closed edges). The edges are q - 1 numbers, found by one exact percentile."""
-    edges = df.agg(F.percentile(metric, [k / q for k in range(1, q)]).alias("e")).withColumn("e", F.array_distinct("e"))
+    """Numbers of the quantile strata (right-closed edges)."""
+    edges = quantiles(df, [], metric, [k / q for k in range(1, q)], "e").select(F.array_distinct("e").alias("e"))
+    # one row
     return df.join(F.broadcast(edges)).withColumn("stratum", F.size(F.filter("e", lambda x: F.col(metric) > x)).cast("long")).drop("e")

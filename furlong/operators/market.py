@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from furlong.functions.codes import logit, sigmoid
+from furlong.operators.stats import ranked_counts
+
+
 def race() -> WindowSpec:
     return Window.partitionBy("race_id")
 
@@ -23,7 +27,10 @@ def mixture(df: DataFrame, a: str, b: str, weight: float, name: str = "mixed") -
 def finish_tensor(df: DataFrame, p: str = "p", gamma: float = 1.0, delta: float = 1.0) -> DataFrame:
     """race_id, i, j, k, prob for every ordered top three; second and third places use discounted powers of p. The
     rows of a race grow with the cube of its field, which is bounded by the rules of racing, not with the data."""
-    s = df.select("race_id", F.col("post_no").alias("i"), F.col(p).alias("a"), F.pow(p, F.lit(gamma)).alias("g"), F.pow(p, F.lit(delta)).alias("d"))
+    return _ordered(df.select("race_id", F.col("post_no").alias("i"), F.col(p).alias("a"), F.pow(p, F.lit(gamma)).alias("g"), F.pow(p, F.lit(delta)).alias("d")))
+
+
+def _ordered(s: DataFrame) -> DataFrame:
     field = s.groupBy("race_id").agg(F.sum("g").alias("sg"), F.sum("d").alias("sd"), F.collect_list(F.struct("i", "a", "g", "d")).alias("r"))
     one = field.select("race_id", "sg", "sd", "r", F.explode("r").alias("x"))
     two = one.select("race_id", "sg", "sd", "r", "x", F.explode("r").alias("y")).where("x.i <> y.i")
@@ -62,14 +69,77 @@ def calibration(df: DataFrame, p: Column, hit: Column, width: float) -> DataFram
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Mann-Whitney AUC with average ranks. Scores are counted by value first; ranks come from a running sum over the
-    values, split into ranges so that no task has to order all of them."""
-    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("s").withColumn("part", F.spark_partition_id())
-    # one row per range
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.withColumn("in", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(totals), "part")
-    rank = F.col("base") + F.col("in") + (F.col("n") + 1) / 2
+    """Mann-Whitney AUC with average ranks. Scores are counted by value and ranked by ranges, so that no task orders all."""
+    known = df.where(F.col(label).isNotNull())
+    ranked = ranked_counts(known, [], score, {"pos": F.sum(F.col(label).cast("long"))})
+    rank = F.col("before") + (F.col("n") + 1) / 2
     a, p, n = F.sum(rank * F.col("pos")), F.sum("pos"), F.sum("n")
     return ranked.agg(p.alias("positives"), (n - p).alias("negatives"), ((a - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auc"))
+
+
+def one_winner(df: DataFrame) -> DataFrame:
+    """The runners of races with exactly one winner."""
+    return df.withColumn("_w", F.sum((F.col("finish_rank") == 1).cast("int")).over(race())).where("_w = 1").drop("_w")
+
+
+def clean_races(df: DataFrame, p: str) -> DataFrame:
+    """The runners of races whose first three places are taken by one runner each and whose probabilities are all known and above 0."""
+    places = [(F.sum((F.col("finish_rank") == k).cast("int")).over(race()) == 1) for k in (1, 2, 3)]
+    good = F.coalesce(F.min((F.col(p) > 0).cast("int")).over(race()) == 1, F.lit(False)) & (F.sum(F.col(p).isNull().cast("int")).over(race()) == 0)
+    return df.withColumn("_ok", good & places[0] & places[1] & places[2]).where("_ok").drop("_ok")
+
+
+def calibration_error(df: DataFrame, p: Column, hit: Column, width: float) -> DataFrame:
+    """Expected calibration error: the bins' gaps between predicted and observed, weighted by their rows."""
+    b = calibration(df, p, hit, width)
+    return b.agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("observed"))), F.sum("n")).alias("error"))
+
+
+def summary(df: DataFrame, p: str, name: str, width: float = 0.02) -> DataFrame:
+    """One row of measures of a probability: races with one winner, log loss, mean of the winners, calibration error."""
+    own = one_winner(df)
+    loss = own.agg(F.count_distinct("race_id").alias("races"), log_loss(own, p).alias("loss"), F.avg(F.when(F.col("finish_rank") == 1, F.col(p))).alias("winners"))
+    error = calibration_error(df, F.col(p), F.col("finish_rank") == 1, width)
+    return loss.crossJoin(error).select(F.lit(name).alias("source"), "races", "n", "loss", "winners", "error")
+
+
+def stage_tensor(df: DataFrame, p: str, second: str, third: str) -> DataFrame:
+    """race_id, i, j, k, prob of every ordered top three, where each runner has strengths of its own for the second and
+    third place."""
+    s = df.select("race_id", F.col("post_no").alias("i"), F.col(p).alias("a"), F.col(second).alias("g"), F.col(third).alias("d"))
+    return _ordered(s)
+
+
+def trio_top3(trios: DataFrame, odds: str) -> DataFrame:
+    """From the odds of sets of three (a, b, c): the probability of each runner to come among the first three."""
+    q = F.when(F.col(odds) > 0, 1 / F.col(odds))
+    each = trios.withColumn("_q", q / F.sum(q).over(race())).where("_q is not null")
+    return each.select("race_id", "_q", F.explode(F.array("a", "b", "c")).alias("post_no")).groupBy("race_id", "post_no").agg(F.sum("_q").alias("top3"))
+
+
+def discount_grid(df: DataFrame, p: str, grid: list[float]) -> DataFrame:
+    """power, second, third: log-likelihood of the second place given the first and of the third given both, for each power
+    of the probabilities. Each runner has its powers as one array, and a race adds them up."""
+    powers = F.transform(F.array(*(F.lit(float(g)) for g in grid)), lambda g: F.pow(F.col(p), g))
+    each = df.select("race_id", "finish_rank", F.col(p), F.posexplode(powers).alias("g", "v"))
+    races = each.groupBy("race_id", "g").agg(F.sum("v").alias("s"), *(F.max(F.when(F.col("finish_rank") == k, F.col("v"))).alias(f"v{k}") for k in (1, 2, 3)))
+    found = races.where("v1 is not null and v2 is not null and v3 is not null")
+    total = found.groupBy("g").agg(F.count("*").alias("races"), F.sum(F.log("v2") - F.log(F.col("s") - F.col("v1"))).alias("second"), F.sum(F.log("v3") - F.log(F.col("s") - F.col("v1") - F.col("v2"))).alias("third"))
+    return total.select(F.element_at(F.array(*(F.lit(float(g)) for g in grid)), F.col("g") + 1).alias("power"), "races", "second", "third")
+
+
+def synthetic_payout(df: DataFrame, p: str, rate: float = 0.725) -> DataFrame:
+    """race_id, prob, payout: what 100 on the actual first three in order would pay by the probabilities."""
+    at = lambda k: F.max(F.when(F.col("finish_rank") == k, F.col(p)))
+    r = df.groupBy("race_id").agg(at(1).alias("p1"), at(2).alias("p2"), at(3).alias("p3")).where("p1 is not null and p2 is not null and p3 is not null")
+    prob = F.try_divide(F.col("p1") * F.col("p2") * F.col("p3"), (1 - F.col("p1")) * (1 - F.col("p1") - F.col("p2")))
+    return r.select("race_id", prob.alias("prob"), F.when(prob > 0, 100 * rate / prob).alias("payout"))
+
+
+def adjusted(df: DataFrame, p: str, score: Column, strength: float) -> DataFrame:
+    """new_p: the probability moved by strength * score on the log-odds, adding up to 1 in a race, with both ranks and their
+    difference. Runners without a score stay, but for the sum."""
+    moved = df.withColumn("_a", sigmoid(logit(F.col(p)) + strength * F.coalesce(score, F.lit(0.0))))
+    out = moved.withColumn("new_p", F.col("_a") / F.sum("_a").over(race())).drop("_a")
+    rank = lambda c: F.row_number().over(race().orderBy(F.desc(F.round(c, 12)), "post_no")).cast("long")
+    return out.withColumns({"rank_before": rank(p), "rank_after": rank("new_p")}).withColumn("moved", F.col("rank_before") - F.col("rank_after"))

@@ -123,3 +123,10 @@ def block_start(days: DataFrame) -> DataFrame:
     distinct = days.select("day").where("day is not null").distinct()
     island = F.col("day") - F.row_number().over(Window.orderBy("day"))
     return distinct.withColumn("_i", island).withColumn("block_start", F.min("day").over(Window.partitionBy("_i"))).drop("_i")
+
+
+def substituted(df: DataFrame, keys: list[str], column: str, known: Column, target: Column) -> DataFrame:
+    """value: on the target rows the last known earlier value in place of the own one, with no change; origin says which."""
+    out = previous(df, keys, F.when(known, F.col(column)), "_earlier")
+    origin = F.when(~target, "own").when(F.col("_earlier").isNotNull(), "previous").otherwise("none")
+    return out.withColumns({"value": F.when(target, F.col("_earlier")).otherwise(F.col(column)), "change": F.when(target, 0).otherwise(F.col(column) - F.col("_earlier")).cast("long"), "origin": origin}).drop("_earlier")

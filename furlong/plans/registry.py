@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.operators import asof, bets, features, market, past, records
+from furlong.operators import asof, bets, features, levels, market, past, records, stats
 from furlong.plans.base import KEY, QUERIES, SQL, Query, out, query
 from furlong.sources.views import CARDS, RUNS, VERSIONS, cards, runs, table, versions
 from furlong.streaming.cards import daily_windows
@@ -36,7 +36,7 @@ _past("past_window_mean", lambda r: past.past_window_mean(r, ["horse_id"], F.col
 _past("past_previous", lambda r: past.previous(r, ["horse_id"], F.when(F.col("finish_rank") <= 2, F.col("price")), "x"), f"round(last_value(CASE WHEN finish_rank <= 2 THEN price END IGNORE NULLS) OVER ({H} {ROW}), 6)")
 _past("past_standardized", lambda r: past.standardized(r, ["surface", "going"], F.col("price"), "x"),
       f"CASE WHEN count(*) OVER (PARTITION BY surface, going {DAY}) >= 30 THEN round((price - avg(price) OVER (PARTITION BY surface, going {DAY})) / nullif(stddev_pop(price) OVER (PARTITION BY surface, going {DAY}), 0), 6) END")
-_past("running_maximum", lambda r: r.withColumn("x", F.max("price").over(Window.partitionBy("horse_id").orderBy("day", *KEY).rowsBetween(Window.unboundedPreceding, -1))), f"round(max(price) OVER ({H} {ROW}), 6)")
+_past("running_maximum", lambda r: levels.past_extreme(r, ["horse_id"], F.col("price"), "x"), f"round(max(price) OVER ({H} {ROW}), 6)")
 
 
 @query("past_rate_excluding_race", f"""WITH {RUNS}, r AS (SELECT trainer_id, day, race_id, count(*) AS n, sum({WIN_SQL}) AS s FROM runs GROUP BY ALL),
@@ -382,8 +382,7 @@ def _grades(s: SparkSession, d: str) -> DataFrame:
 @query("payout_summary", f"WITH {RUNS}, r AS (SELECT DISTINCT race_id, grade, payout FROM runs) SELECT grade, count(*) AS n, round(min(payout), 4) AS low, round(quantile_cont(payout, 0.25), 4) AS q1, round(quantile_cont(payout, 0.5), 4) AS median, round(quantile_cont(payout, 0.75), 4) AS q3, round(max(payout), 4) AS high FROM r GROUP BY 1")
 def _five(s: SparkSession, d: str) -> DataFrame:
     r = runs(s, d).select("race_id", "grade", "payout").distinct()
-    q = F.percentile("payout", [0.25, 0.5, 0.75])
-    return r.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.min("payout"), 4).alias("low"), *(F.round(q[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), F.round(F.max("payout"), 4).alias("high"))
+    return stats.quantiles(r, ["grade"], "payout", [0, 0.25, 0.5, 0.75, 1]).select("grade", "n", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
 
 @query("semi_anti_keys", "SELECT 'semi' AS kind, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'anti', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -404,7 +403,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return daily_windows(s, d)
 
 
-from furlong.plans import fields  # noqa: E402, F401
+from furlong.plans import fields, form  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
