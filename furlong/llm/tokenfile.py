@@ -52,7 +52,10 @@ class EliasFano:
             return np.zeros(0, np.int64)
         begin = int(self.samples[first // EVERY])
         before = first - first // EVERY * EVERY
-        counts = np.cumsum(_ONES[self.high[begin // 8 :]]) - int(_ONES[self.high[begin // 8] & ((1 << begin % 8) - 1)])
+        # no further than the sample that follows the last one asked for
+        after = -(-last // EVERY)
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        counts = np.cumsum(_ONES[self.high[begin // 8 : end]]) - int(_ONES[self.high[begin // 8] & ((1 << begin % 8) - 1)])
         stop = int(np.searchsorted(counts, before + last - first)) + 1
         bits = np.unpackbits(self.high[begin // 8 : begin // 8 + stop], bitorder="little")
         bits[: begin % 8] = 0
@@ -87,11 +90,13 @@ def unpack_shard(blob: bytes) -> tuple[np.ndarray, EliasFano]:
     return ids, EliasFano(n, bits, lows, highs, samples)
 
 
-def write(docs: DataFrame, spec: TokenizerSpec, end_id: int, path: str, shard_ids: int = 1 << 20) -> None:
-    """Write the shards of all documents in ascending doc_id order. shard_ids: a shard is closed beyond so many ids."""
+def write(docs: DataFrame, spec: TokenizerSpec, end_id: int, path: str, shard_ids: int = 1 << 20, part_bytes: int = 1 << 24) -> None:
+    """Write the shards of all documents in ascending doc_id order. shard_ids: a shard is closed beyond so many ids.
+    part_bytes: expected text of a task's range of doc_ids."""
     spark = docs.sparkSession
     prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-total // part_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Token ids of whole texts, with every distinct piece between white space encoded once per worker.
 
 A text is cut only where the tokenizer's own pre-tokenization always cuts: at single spaces and line feeds
-between characters that are not white space. The ids of a text are those of its pieces, one after the other.
+between characters that are not white space. The ids of a text are those of its pieces, one after the other. The
+strings of special tokens hold no white space, so they stay whole in a piece and get the ids that the library gives them.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class PieceEncoder:
 
         self.spec = spec
         self.tokenizer = Tokenizer.from_file(spec.path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         joint = self._ids(f"a{spec.mark} a")
         self.mark = int(joint[1]) if len(joint) == 3 else None
         self._reset()
@@ -107,7 +108,9 @@ class PieceEncoder:
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         found: list[np.ndarray | None] = [None] * len(texts)
         mark = self.spec.mark
-        joint = [i for i, t in enumerate(texts) if t and mark.strip(" ") not in t and (not self.spec.keeps_space or t[0] == " ")] if self.mark is not None else []
+        # a special token ends the text before it, so its piece is not joined with others
+        plain = [not any(x in t for x in self.special) for t in texts]
+        joint = [i for i, t in enumerate(texts) if t and plain[i] and mark.strip(" ") not in t and (not self.spec.keeps_space or t[0] == " ")] if self.mark is not None else []
         for a in range(0, len(joint), 512):
             part = joint[a : a + 512]
             glue = mark if self.spec.keeps_space else f" {mark} "

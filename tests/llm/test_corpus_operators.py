@@ -21,23 +21,39 @@ def ids_of(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 ODD = ["  two  spaces ", "a\nb\n\nc", "   x y", "'s don't we'LL", "é x ́y", "a　b c", "<|endoftext|> x", "tab\tnew\r\nline", "12 345  6", "日本 語\n。"]
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_encode_like_whole_texts(name):
+ALPHABET = [*"aBé'.,!1 \n\t\r\x0b\x0c\x1c\x85", "\u00a0", "\u3000", "\u2028", "\u200b", "\u0301", "ﬁ", "İ", "ß", "日", "한", "🙂", "'s", "'LL", " the", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\ufffd", "\0"]
+
+
+def encodes_like_the_library(name, texts):
+    import public_tokenizers
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
     from furlong.llm.tokens import encode_column
 
-    texts = [*ODD, *(t for _, t in EDGE)]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [[*e.ids, 0] for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for _ in range(2):
-        got = [x for a, b, ids, at in encode_column(registry.tokenizer(name), pa.array(texts), 0) for x in np.split(ids, at[1:-1])]
-        assert [x.tolist() for x in got] == [ids_of(name, t, 0).tolist() for t in texts]
+        got = [x for a, b, ids, at in encode_column(registry.tokenizer(name), pa.array(texts, pa.string()), 0) for x in np.split(ids, at[1:-1])]
+        assert [t for t, x, y in zip(texts, got, want, strict=True) if x.tolist() != y] == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_encode_like_whole_texts(name):
+    encodes_like_the_library(name, [*ODD, *(t for _, t in EDGE)])
+    rng = np.random.default_rng(11)
+    encodes_like_the_library(name, ["".join(rng.choice(ALPHABET, n)) for n in rng.integers(1, 40, 4000)])
+    points = rng.integers(1, 0x2FFFF, (500, 30))
+    encodes_like_the_library(name, ["".join(chr(c) if c % 3 and not 0xD800 <= c < 0xE000 else " " for c in row) for row in points.tolist()])
+    import pyarrow.parquet as pq
+
+    encodes_like_the_library(name, pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist())
 
 
 def test_packing(spark, edge, empty):
