@@ -10,11 +10,13 @@ Notices run over several lines, so blocks between blank lines (or lines of comme
 the templates and the licences' own notices, by overlap. Of templates that are much alike (GPL 2 and 3) those found
 best hold. A family that a line of the block already has is not counted again. The probability of such a hit is its overlap.
 
-Scoring uses column functions alone, without a shuffle: a paragraph is scored if it has one of the templates' telling
-words, as no other paragraph can be confirmed; the weights are a constant of the plan, whose size is that of the templates.
+Scoring uses column functions alone, without a shuffle. Only paragraphs with a telling word are scored: the words are
+chosen so that the 3-grams without any of them are fewer than a template must share, so no paragraph without such a word
+can be confirmed. The weights are a constant of the plan, whose size is that of the templates.
 
 Defined results: null and empty texts have no licence. Repeated rows and null doc_ids are kept and scored alike. An
-empty table gives an empty result. Further columns are ignored.
+empty table gives an empty result. Further columns are passed through; one named ``hits`` is replaced, and names that
+begin with ``__lc_`` are reserved.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
-# Words one of which every template has.
-TELLING = ("apache", "bsd", "cc", "cc0", "copyright", "gnu", "isc", "license", "licensed", "mit", "mozilla", "permission", "unencumbered", "unlicense")
+# Words that are taken first to tell a template by.
+PREFERRED = ("apache", "bsd", "cc", "cc0", "copyright", "gnu", "isc", "license", "licensed", "mit", "mozilla", "permission", "unencumbered", "unlicense")
 # Sentences that speak of licences without granting one.
 PLAIN = (
     "You need a driving license to rent this car.", "The driver was licensed in this state.", "Please ask for permission before you enter.",
@@ -181,12 +183,27 @@ def notices() -> list[tuple[str, int, set[str]]]:
     return [(family, g, s) for (family, s), g in zip(found, group, strict=True)]
 
 
+def telling(sets: list[set[str]], overlap: float) -> str:
+    """A pattern of words, one of which is in every paragraph that has ``overlap`` of the 3-grams of any of the sets."""
+    words: set[str] = set()
+    for s in sets:
+        grams_ = [set(g.split()) for g in s]
+        left = [w for g in grams_ for w in g]
+        order = sorted(set(left), key=lambda w: (w not in words, w not in PREFERRED, -len(w), w))
+        for w in order:
+            # strictly more than may be missing
+            if sum(bool(g & words) for g in grams_) > (1 - overlap) * len(grams_) + 1e-9:
+                break
+            words.add(w)
+    return r"\b(" + "|".join(sorted(words)) + r")\b"
+
+
 def _block_hits(config: Config) -> Column:
     """Hits of the blocks of ``text``, each with the last line of its block."""
-    telling = r"\b(" + "|".join((*TELLING, "redistribution", "contributors")) + r")\b"
+    words_ = telling([s for _, _, s in notices()], config.overlap)
     # a block starts with the blank lines before it
     blocks = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"(?<=\n)(?=[^\p{L}\p{N}\n]*\n)")
-    at = F.filter(F.transform(blocks, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].rlike(telling))
+    at = F.filter(F.transform(blocks, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].rlike(words_))
     own = notices()
     # one pass over a block's 3-grams; all comparisons are with the few that any template has
     every = _literal(sorted(set().union(*(s for _, _, s in own))))
@@ -227,9 +244,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with ``hits``: an array of (line, family, probability, overlap), one for each confirmed paragraph.
     ``line`` of a block is its first."""
     c = model.config
-    telling = r"\b(" + "|".join(TELLING) + r")\b"
+    sets = [[{" ".join(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(tokens, TEMPLATES.get(f, ()))] for f in model.families]
+    words_ = telling([s for own in sets for s in own if s], c.overlap)
     lines = F.transform(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("t")))
-    lines = F.filter(lines, lambda x: x["t"].rlike(telling))
+    lines = F.filter(lines, lambda x: x["t"].rlike(words_))
     words = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), _words(x["t"]).alias("w")))
     table = F.create_map(*(v for f, row in zip(model.features, model.weights / model.temperature, strict=True) for v in (F.lit(f), F.array(*(F.lit(round(float(z), 6)) for z in row)))))
     bias = F.array(*(F.lit(round(float(z), 6)) for z in model.bias / model.temperature))
@@ -239,18 +257,17 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         F.array_intersect(F.concat(x["w"], _runs(x["w"], 2)), _literal(model.features)).alias("g"),
         F.array_distinct(_runs(x["w"], 3)).alias("three"),
     ))
-    summed = F.transform(F.col("known"), lambda x: F.struct(
+    summed = F.transform(F.col("__lc_known"), lambda x: F.struct(
         x["line"].alias("line"),
         x["three"].alias("three"),
-        F.aggregate(x["g"], bias, lambda s, g: F.zip_with(s, F.col("weights")[g], lambda a, b: a + b)).alias("z"),
+        F.aggregate(x["g"], bias, lambda s, g: F.zip_with(s, F.col("__lc_weights")[g], lambda a, b: a + b)).alias("z"),
     ))
-    scored = F.transform(F.col("summed"), lambda x: F.struct(
+    scored = F.transform(F.col("__lc_summed"), lambda x: F.struct(
         x["line"].alias("line"),
         x["three"].alias("three"),
         (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int").alias("k"),
         (F.lit(1.0) / F.aggregate(x["z"], F.lit(0.0), lambda s, z: s + F.exp(z - F.array_max(x["z"])))).alias("p"),
     ))
-    sets = [[{" ".join(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(tokens, TEMPLATES.get(f, ()))] for f in model.families]
 
     def overlap(x: Column) -> Column:
         cases = F.lit(0.0)
@@ -260,19 +277,19 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 cases = F.when(x["k"] == k, best).otherwise(cases)
         return cases
 
-    found = F.transform(F.col("scored"), lambda x: F.struct(
+    found = F.transform(F.col("__lc_scored"), lambda x: F.struct(
         x["line"].cast("long").alias("line"),
         F.element_at(_literal(model.families), x["k"] + 1).alias("family"),
         x["p"].alias("probability"),
         overlap(x).alias("overlap"),
     ))
-    kept = F.filter(F.col("found"), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= c.least) & (x["overlap"] >= c.overlap))
-    stages = docs.withColumn("known", known).withColumn("weights", F.when(F.size("known") > 0, table))
-    stages = stages.withColumn("summed", summed).withColumn("scored", scored).withColumn("found", found).withColumn("hits", kept).withColumn("blocks", _block_hits(c))
-    more = F.filter("blocks", lambda b: ~F.exists("hits", lambda h: (h["family"] == b["family"]) & (h["line"] >= b["line"]) & (h["line"] <= b["last"])))
+    kept = F.filter(F.col("__lc_found"), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= c.least) & (x["overlap"] >= c.overlap))
+    stages = docs.withColumn("__lc_known", known).withColumn("__lc_weights", F.when(F.size("__lc_known") > 0, table))
+    stages = stages.withColumn("__lc_summed", summed).withColumn("__lc_scored", scored).withColumn("__lc_found", found).withColumn("hits", kept).withColumn("__lc_blocks", _block_hits(c))
+    more = F.filter("__lc_blocks", lambda b: ~F.exists("hits", lambda h: (h["family"] == b["family"]) & (h["line"] >= b["line"]) & (h["line"] <= b["last"])))
     # the BSD texts share their opening; the third clause tells them apart
-    three = F.exists("blocks", lambda b: b["family"] == "BSD-3-Clause")
+    three = F.exists("__lc_blocks", lambda b: b["family"] == "BSD-3-Clause")
     more = F.filter(more, lambda b: ~((b["family"] == "BSD-2-Clause") & three))
     more = F.transform(more, lambda b: F.struct(b["line"].alias("line"), b["family"].alias("family"), b["overlap"].alias("probability"), b["overlap"].alias("overlap")))
-    stages = stages.withColumn("hits", F.when(F.size("blocks") > 0, F.concat("hits", more)).otherwise(F.col("hits")))
-    return stages.drop("known", "weights", "summed", "scored", "found", "blocks")
+    stages = stages.withColumn("hits", F.when(F.size("__lc_blocks") > 0, F.concat("hits", more)).otherwise(F.col("hits")))
+    return stages.drop(*(f"__lc_{x}" for x in ("known", "weights", "summed", "scored", "found", "blocks")))

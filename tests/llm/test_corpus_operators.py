@@ -223,6 +223,10 @@ def test_decontamination(spark, edge, empty):
     items = spark.createDataFrame([(1, WORDS), (2, "one shared passage that is quite a bit longer than fifty bytes"), (3, None), (4, "two words"), (5, " ".join(f"W{i}," for i in range(20, 55)) + " z"), (6, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.search(edge, items).collect()}
     assert got == {(4, 1), (None, 1), (6, 1), (7, 1), (4, 5), (None, 5), (6, 5), (4, 2), (5, 2), (None, 2), (7, 5)}
+    few = spark.createDataFrame([(1, "A!"), (2, "w3, w4"), (3, "w4 w3"), (4, "fifty bytes so that"), (5, "...")], "item_id long, text string")
+    short = {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in decontaminate.search(edge, few).collect()}
+    # "a" is a word of the passage, too
+    assert short == {*((d, 1, 1, 1) for d in (3, 4, 5, None)), *((d, 2, 1, 1) for d in (4, None, 6, 7)), *((d, 4, 1, 1) for d in (4, 5, None))}
     assert decontaminate.search(empty, items).count() == 0 and decontaminate.search(edge, items.limit(0)).count() == 0
     assert {r.doc_id for r in decontaminate.clean(edge, items).collect()} == {i for i, _ in EDGE} - {d for d, _ in got}
 
@@ -232,6 +236,23 @@ def test_licences(spark, edge, empty):
     model = licences.train()
     got = {r.doc_id: [h.family for h in r.hits] for r in licences.scan(make(spark, rows), model).collect()}
     assert got == {1: ["MIT"], 2: [], 3: ["Apache-2.0", "CC-BY-NC-4.0"], 4: [], 5: []}
+    # against the model itself, line by line, without telling words
+    rng = np.random.default_rng(8)
+    lines = []
+    for _ in range(250):
+        family = str(rng.choice(model.families[:-1]))
+        w = licences.tokens(str(rng.choice(licences.TEMPLATES[family])))
+        w = [x for x in w if rng.random() > 0.08] + [str(x) for x in rng.choice(["the", "work", "file", "under", "license", "mit", "free"], rng.integers(0, 5))]
+        lines.append(" ".join(w[rng.integers(0, 3) :]))
+    want = {}
+    for i, line in enumerate(lines):
+        p, w = model.probabilities(line), licences.tokens(line)
+        family, three = model.families[int(p.argmax())], {" ".join(w[k : k + 3]) for k in range(len(w) - 2)}
+        shares = [len(three & s) / len(s) for t in licences.TEMPLATES.get(family, ()) for x in [licences.tokens(t)] for s in [{" ".join(x[k : k + 3]) for k in range(len(x) - 2)}] if s]
+        if family != licences.UNKNOWN and p.max() >= 0.5 and max(shares, default=0) >= 0.75:
+            want[i] = (family, round(float(p.max()), 3))
+    got = {r.doc_id: [(h.family, round(h.probability, 3)) for h in r.hits if h.probability != h.overlap or h.family == want.get(r.doc_id, ("",))[0]] for r in licences.scan(make(spark, list(enumerate(lines))), model).collect()}
+    assert len(want) > 100 and all(want[i] in got[i] for i in want)
     assert licences.scan(edge, model).where(F.size("hits") > 0).count() == 0 and licences.scan(empty, model).count() == 0
 
 
