@@ -9,6 +9,10 @@ of the suffix (Witten-Bell). Scoring walks back from each symbol to the longest
 probability is the mean of the tree's and of the word's own smoothed share (c + 1) / (N + V + 1), which stands for all
 words that training never saw.
 
+The probabilities are of the events that the base score counts: each word that training has, the end, and "a word that
+training never saw", for which an unseen word stands whatever its bytes. Over these events they add up to 1 at most: the
+tree's share of the unseen words other than the one at hand is given to none.
+
 The base score counts words: sum of log10((c + 1) / (N + V + 1)). Frequent words (a share of at least ``head_share``,
 hence a bounded number) are looked up in a broadcast table, all others meet their counts in buckets by hash.
 
@@ -128,7 +132,8 @@ def counts(docs: DataFrame, learn: Column, buckets: int, config: Config) -> Data
 
 
 def merge(table: pa.Table, least: dict[int, float]) -> pa.Table:
-    """Add the counts of one bucket. Symbols go on by the symbol before them; words leave their number and the frequent ones."""
+    """Add the counts of one bucket. Symbols go on by the two symbols before them (kind 0), and as counts of pairs (kind 2);
+    words leave their number and the frequent ones."""
     rows = []
     for kind in (0, 1):
         blobs = [_unpack(b, "<u8", "<u4") for k, b in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == kind]
@@ -136,27 +141,47 @@ def merge(table: pa.Table, least: dict[int, float]) -> pa.Table:
             continue
         keys, n = _count(np.concatenate([x[0] for x in blobs]), np.concatenate([x[1] for x in blobs]).astype(np.int64))
         if kind == 0:
-            for g, part in _by(((keys >> _U(8)) & _U(255)).astype(np.int64)):
+            for g, part in _by(((keys >> _U(8)) & _U(0xFFFF)).astype(np.int64)):
                 rows.append((0, g, len(part), _pack(keys[part], n[part])))
+            pair, m = _count(keys & _U(0xFFFF), n)
+            rows.append((2, 0, len(pair), _pack(pair, m)))
         else:
             some = n >= least[1]
             rows.append((1, 0, len(keys), _pack(keys[some], n[some])))
     return _table(rows)
 
 
-def contexts(blobs: list[bytes], total: int, config: Config) -> list[tuple[int, int, bytes]]:
-    """The kept contexts that end in one symbol: length, context and its packed next symbols and counts."""
+def pair_counts(merged: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each symbol those that follow it and their counts: at most 256 * 256 numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in tb.column(batch, "blob").to_pylist():
+                pair, n = _unpack(blob, "<u8", "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n)], ["pair", "n"])
+
+    rows = merged.where("kind = 2").select("blob").mapInArrow(tb.lean(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").collect()
+    found: dict[int, list] = {}
+    for pair, n in rows:
+        found.setdefault(pair >> 8, []).append((pair & 255, n))
+    return {k: (np.array([x[0] for x in v], np.int64), np.array([x[1] for x in v], np.int64)) for k, v in found.items()}
+
+
+def contexts(blobs: list[bytes], total: int, pairs: dict[int, tuple[np.ndarray, np.ndarray]], config: Config) -> list[tuple[int, int, bytes]]:
+    """The kept contexts of two symbols and more that end in the same two: length, context and its packed next symbols and counts."""
     parts = [_unpack(b, "<u8", "<i8") for b in blobs]
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    levels = []
-    for k in range(config.depth + 1):  # distributions of the contexts of length k
+    last = int(keys[0] >> _U(8)) & 255
+    sym, count = pairs[last]
+    levels = [None, (np.full(len(sym), last, _U), sym, count, _U(last << 8) | sym.astype(_U))]
+    for k in range(2, config.depth + 1):  # distributions of the contexts of length k
         key, count = _count(keys & _U((1 << 8 * (k + 1)) - 1), n)
         ctx = key >> _U(8)
         order = np.argsort(ctx, kind="stable")
         levels.append((ctx[order], (key & _U(255))[order].astype(np.int64), count[order], key[order]))
     kept_below: np.ndarray = np.zeros(0, _U)
     out = []
-    for k in range(config.depth, 0, -1):
+    for k in range(config.depth, 1, -1):
         ctx, sym, count, _ = levels[k]
         new = np.ones(len(ctx), bool)
         new[1:] = ctx[1:] != ctx[:-1]
@@ -164,21 +189,18 @@ def contexts(blobs: list[bytes], total: int, config: Config) -> list[tuple[int,
         mass = np.add.reduceat(count, at)
         group = np.cumsum(new) - 1
         names = ctx[at]
-        if k == 1:
-            keep = np.ones(len(at), bool)
-        else:
-            pctx, psym, pcount, pkey = levels[k - 1]
-            order = np.argsort(pkey)
-            parent = (ctx & _U((1 << 8 * (k - 1)) - 1)) << _U(8) | sym.astype(_U)
-            same = pcount[order][np.searchsorted(pkey[order], parent)]
-            psum_at = np.flatnonzero(np.concatenate([[True], pctx[1:] != pctx[:-1]]))
-            psum = np.add.reduceat(pcount, psum_at)
-            pmass = psum[np.searchsorted(pctx[psum_at], ctx & _U((1 << 8 * (k - 1)) - 1))]
-            g = 2 * count * np.log(count / mass[group] * pmass / same)
-            test = np.add.reduceat(g, at)
-            freedom = np.maximum(1, np.diff(np.append(at, len(ctx))) - 1)
-            keep = (mass >= config.least_share * total) & (test > freedom * math.log(max(total, 2)))
-            keep |= np.isin(names, kept_below)
+        pctx, psym, pcount, pkey = levels[k - 1]
+        order = np.argsort(pkey)
+        parent = (ctx & _U((1 << 8 * (k - 1)) - 1)) << _U(8) | sym.astype(_U)
+        same = pcount[order][np.searchsorted(pkey[order], parent)]
+        psum_at = np.flatnonzero(np.concatenate([[True], pctx[1:] != pctx[:-1]]))
+        psum = np.add.reduceat(pcount, psum_at)
+        pmass = psum[np.searchsorted(pctx[psum_at], ctx & _U((1 << 8 * (k - 1)) - 1))]
+        g = 2 * count * np.log(count / mass[group] * pmass / same)
+        test = np.add.reduceat(g, at)
+        freedom = np.maximum(1, np.diff(np.append(at, len(ctx))) - 1)
+        keep = (mass >= config.least_share * total) & (test > freedom * math.log(max(total, 2)))
+        keep |= np.isin(names, kept_below)
         kept = names[keep]
         kept_below = np.unique(kept & _U((1 << 8 * (k - 1)) - 1))
         ends = np.append(at[1:], len(ctx))
@@ -255,11 +277,17 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
     totals = {r["kind"]: r["n"] for r in parts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     tokens, n_symbols = totals.get(1, 0), totals.get(0, 0)
     merged = materialize(spark, parts.groupBy("bucket").applyInArrow(lambda t: merge(t, {1: config.head_share * tokens}), _PART_SQL), "merged")
-    by_symbol = merged.where("kind = 0").groupBy("bucket").applyInArrow(
-        lambda t: pa.table([list(c) for c in zip(*contexts(t["blob"].to_pylist(), n_symbols, config), strict=True)], schema=pa.schema([("k", pa.int32()), ("ctx", pa.int64()), ("blob", pa.binary())])), "k int, ctx long, blob binary"
-    )
+    pairs = pair_counts(merged)
+    shape = pa.schema([("k", pa.int32()), ("ctx", pa.int64()), ("blob", pa.binary())])
+
+    def keep(table: pa.Table) -> pa.Table:
+        return _table(contexts(table["blob"].to_pylist(), n_symbols, pairs, config), shape)
+
+    # the two symbols before a context's next one deal the work, so that no single frequent symbol gathers it
+    longer = merged.where("kind = 0").groupBy("bucket").applyInArrow(tb.lean_group(keep), "k int, ctx long, blob binary")
+    single = [(1, k, _pack(sym.astype(np.uint8), n)) for k, (sym, n) in pairs.items()]
     # at most 1 / least_share contexts of each length, and 1 / head_share frequent words
-    tree = SuffixTree([tuple(r) for r in by_symbol.collect()], config.depth)
+    tree = SuffixTree([*single, *(tuple(r) for r in longer.collect())], config.depth)
     words = merged.where("kind = 1").select("n", "blob").collect()
     distinct = sum(r["n"] for r in words)
     head = [_unpack(bytes(r["blob"]), "<u8", "<i8") for r in words] or [[np.zeros(0, _U), np.zeros(0, np.int64)]]

@@ -267,6 +267,56 @@ def test_suffix_tree(spark, edge, empty):
     assert suffixtree.score(empty, F.lit(True)).count() == 0 and suffixtree.score(edge, F.lit(False)).count() == len(EDGE)
 
 
+def test_suffix_tree_is_the_brute_force_model(spark):
+    """Every score against a slow model, and the probabilities of the words after a start add up to 1 at most."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["a", "ab", "ba", "bb", "aab", "abba"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 30), p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05])) for _ in range(120)] + ["abba zz a", "zz zz", ""]
+    config = suffixtree.Config(depth=3, least_share=1e-3, bucket_rows=50)
+    learnt = [t for i, t in enumerate(texts) if i % 3 and i < 120]
+    got = {r.doc_id: r.score for r in suffixtree.score(make(spark, list(enumerate(texts))), (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 120), config).collect()}
+    stream = [b"   " + "".join(w + " " for w in t.split()).encode() + b" " for t in learnt]
+    n = collections.Counter(s[i - k : i + 1] for s in stream for i in range(3, len(s)) for k in range(4))
+    total = sum(c for g, c in n.items() if len(g) == 1)
+    after = lambda c: {g[-1]: v for g, v in n.items() if len(g) == len(c) + 1 and g[:-1] == c}
+
+    def kept(c):
+        if len(c) <= 1:
+            return bool(after(c))
+        own, up = after(c), after(c[1:])
+        m, mu = sum(own.values()), sum(up.values())
+        test = 2 * sum(v * math.log(v / m * mu / up[x]) for x, v in own.items())
+        return m >= 1e-3 * total and test > max(1, len(own) - 1) * math.log(total)
+
+    grams = {g[:-1] for g in n if len(g) > 1}
+    states = {c[i:] for c in grams if kept(c) for i in range(len(c))}
+
+    def p(c, x):
+        if not c:
+            return (n[bytes([x])] + 1) / (total + 256)
+        own = after(c)
+        return (own.get(x, 0) + len(own) * p(c[1:], x)) / (sum(own.values()) + len(own))
+
+    words = collections.Counter(w for t in learnt for w in [*t.split(), None])
+    scale = sum(words.values()) + len(words) + 1
+
+    def word(before, w):
+        s, q = before, 1.0
+        for x in ((w or "") + " ").encode():
+            q *= p(next((s[-k:] for k in (3, 2, 1) if s[-k:] in states), b""), x)
+            s += bytes([x])
+        return 0.5 * q + 0.5 * (words[w] + 1) / scale, s
+
+    for i, t in enumerate(texts):
+        s, want = b"   ", 0.0
+        for w in [*t.split(), None]:
+            q, s = word(s, w)
+            want += math.log10(q)
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), (i, got[i], want)
+    for before in (b"   ", b"  ab ", b"bba "):
+        assert sum(word(before, w)[0] for w in [*words, "zz"]) <= 1 + 1e-9
+
+
 def test_suffix_tree_beats_words_on_held_out_texts(spark):
     r = registry.op2_suffix_tree(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
