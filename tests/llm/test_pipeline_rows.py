@@ -32,3 +32,32 @@ def test_rows_are_cleaned_one_by_one(spark):
     rows = [(None, "a " + WORDS), (None, THIRD), (None, " ".join(half[:32])), (None, " ".join(half[28:])), (1, WORDS), (1, THIRD)]
     got = rows_of(decontaminate.clean(make(spark, rows), items))
     assert got == sorted([rows[1], rows[2], rows[3], rows[5]], key=str)
+
+
+def test_cuts_keep_what_is_the_texts_own(spark):
+    from conftest import PASSAGE
+
+    long = "é" * 40 + " and so on to more than fifty bytes of text"
+    rows = [(1, long), (2, "own � mark " + PASSAGE), (3, PASSAGE + "tail � of é"), (4, "x" + long[:30] + "y"), (5, "a" + long), (None, PASSAGE), (6, None), (7, "")]
+    docs = make(spark, rows).withColumnRenamed("h", "kept").withColumnRenamed("bucket", "n_removed")
+    got = pipeline.cut_repeats(spark, docs, "")
+    assert got.columns == docs.columns
+    # the document without an id is last and nothing of it is left
+    assert rows_of(got) == sorted([rows[0], rows[1], (3, "tail � of é"), rows[3], (5, "a"), rows[6], rows[7]], key=str)
+    assert {r.n_chars for r in got.where("doc_id = 3").collect()} == {11}
+    assert pipeline.cut_repeats(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_take_clashing_columns(spark):
+    from furlong.llm import toxicity
+
+    docs = make(spark, EDGE).withColumnRenamed("h", "score").withColumnRenamed("row", "of")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (4, 1), (5, 0), (6, 0)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    kept = toxicity.reject(spark, docs, labels, F.lit(True), toxicity.Config(steps=5, epochs=1, nets=2))
+    assert kept.columns == docs.columns and kept.count() <= len(EDGE)
+    items = spark.createDataFrame([(1, WORDS)], "item_id long, text string")
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    one = pipeline.keep_one_of_each_class(spark, docs, "")
+    assert one.columns == docs.columns and pipeline.keep_one_of_each_class(spark, docs.limit(0), "").count() == 0
