@@ -13,6 +13,8 @@ HEADLINE = ["form_table", "past_std_day", "past_rate_excluding_race", "class_fea
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
+    # compiles the shared operators and reads the tables once, so that the first query is not charged for the start
+    queries()["past_count_day"](spark, sf).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
         began = time.time()
