@@ -23,14 +23,14 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(spark, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root for every node of the edges (a, b): root is the least node of its component."""
+def components(spark, edges: DataFrame) -> DataFrame:
+    """node, root for every node of the edges (a, b): root is the least node of its component. Rounds follow until nothing
+    changes; their number grows with the logarithm of the largest component."""
     pairs = materialize(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         pairs = materialize(spark, _star(_star(pairs, True), False), "stars")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
