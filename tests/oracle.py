@@ -19,7 +19,7 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _key(row: tuple) -> tuple:
-    return tuple((v is not None, str(round(v, 3)) if isinstance(v, float) else str(v)) for v in row)
+    return tuple((v is not None, str(round(v, 3) + 0.0) if isinstance(v, float) else str(v)) for v in row)
 
 
 def differences(df, con, sql: str, near: float = 2e-6) -> list:
