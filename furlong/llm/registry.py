@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, jaccardjoin, langid, licences, media, packing, suffixdedup, suffixtree, tokenfile, toxicity
+from furlong.llm import decontaminate, exactdedup, jaccardjoin, langid, licences, manifest, media, packing, spelling, suffixdedup, suffixtree, tokenfile, toxicity
 from furlong.llm.tokens import TokenizerSpec
 
 
@@ -89,6 +89,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -101,8 +113,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_media": op9_media,
         "op10_packing": op10_packing,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_manifest": op12_manifest,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE}
+    return {"op8_decontaminate": decontaminate.ORACLE, "op11_exact_dedup": exactdedup.ORACLE, "op12_manifest": manifest.ORACLE}
