@@ -166,35 +166,41 @@ def sensitivity(races: DataFrame, hit: Column, targets: list[float]) -> DataFram
     return each.groupBy("target").agg(F.count("*").alias("n"), F.sum((F.col("_paid") >= F.col("target")).cast("int")).alias("hot"))
 
 
-def _to_reach(odds: float, target: float) -> int:
-    return math.ceil(round(target / odds / UNIT, 6)) * UNIT
-
-
-def rebalanced(stakes: list[int], odds: list[float | None], target: float) -> list[int]:
-    """Stakes moved in units of 100 from the bet with the most to spare to those that would pay less than the target, the one
-    that lacks least first; a giver still pays the target, and the total stays. Bets without odds are left alone."""
-    out = list(stakes)
-    have = [i for i, o in enumerate(odds) if o]
-    short = sorted((i for i in have if odds[i] * out[i] < target - 1e-6), key=lambda i: _to_reach(odds[i], target) - out[i])
-    for i in short:
-        while out[i] < _to_reach(odds[i], target):
-            givers = [j for j in have if j != i and out[j] - UNIT >= max(UNIT, _to_reach(odds[j], target))]
-            if not givers:
-                break
-            out[max(givers, key=lambda j: odds[j] * out[j] - target)] -= UNIT
-            out[i] += UNIT
-    return out
+def units_to_reach(odds: Column, target: float) -> Column:
+    """Units of stake at which a hit pays the target."""
+    return F.ceil(F.round(target / (odds * UNIT), 6)).cast("long")
 
 
 def rebalance(bets: DataFrame, target: float) -> DataFrame:
-    """bets (race_id, bet, stake, odds) with ``new_stake``; each race, whose bets are few, is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bet", kind="stable").reset_index(drop=True)
-        pdf["new_stake"] = rebalanced(pdf["stake"].tolist(), [None if pd.isna(x) else float(x) for x in pdf["odds"]], target)
-        return pdf[["race_id", "bet", "stake", "odds", "new_stake"]]
-
-    return bets.select("race_id", "bet", "stake", "odds").groupBy("race_id").applyInPandas(run, "race_id long, bet long, stake long, odds double, new_stake long")
+    """bets (race_id, bet, stake, odds) with ``new_stake``: bets that would pay less than the target get the units that they
+    lack, in the order of what they lack, from bets that have units to spare; the race's total stays.
+
+    Every bet knows its need in units. A bet with more than that offers the units above it, each at what the bet would still
+    pay beyond the target with it; the dearest offers of the race go first, as many as the bets in need can take. Bets in need
+    are served one after the other from the sum of the offers. Bets without odds, or with odds of 0, neither give nor take.
+    """
+    need = units_to_reach(F.when(F.col("odds") > 0, F.col("odds")), target)
+    known = bets.select("race_id", "bet", "stake", "odds", need.alias("_need"))
+    short = F.col("odds") * F.col("stake") < target - 1e-6
+    lack = F.greatest(F.ceil((F.col("_need") * UNIT - F.col("stake")) / UNIT), F.lit(0))
+    spare = F.greatest(F.floor((F.col("stake") - F.greatest(F.col("_need"), F.lit(1)) * UNIT) / UNIT), F.lit(0))
+    known = known.withColumns({"_lack": F.when(short, lack).otherwise(0), "_spare": F.coalesce(F.when(~short, spare), F.lit(0))})
+    known = known.withColumn("_lack", F.coalesce("_lack", F.lit(0)))
+    missing = F.col("_need") * UNIT - F.col("stake")
+    before = race().orderBy(F.when(F.col("_lack") > 0, missing).asc_nulls_last(), "bet").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumns({"_offer": F.sum("_spare").over(race()), "_asked": F.sum("_lack").over(race()), "_earlier": F.coalesce(F.sum("_lack").over(before), F.lit(0))})
+    got = F.least(F.col("_lack"), F.greatest(F.col("_offer") - F.col("_earlier"), F.lit(0)))
+    # one row for each unit on offer: a race's stakes are a bounded number of units
+    each = known.where("_spare > 0 and _asked > 0").withColumn("_unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_spare") - 1)))
+    price = F.col("odds") * (F.col("stake") - F.col("_unit") * UNIT) - target
+    sold = each.withColumn("_turn", F.row_number().over(race().orderBy(price.desc(), "bet", "_unit"))).where(F.col("_turn") <= F.col("_asked"))
+    given = sold.groupBy("race_id", "bet").agg(F.count("*").alias("_given"))
+    out = known.withColumn("_got", got).join(given, ["race_id", "bet"], "left")
+    return out.select("race_id", "bet", "stake", "odds", (F.col("stake") + UNIT * (F.col("_got") - F.coalesce("_given", F.lit(0)))).cast("long").alias("new_stake"))
+
+
+def _stake_for(odds: float, target: float) -> int:
+    return math.ceil(round(target / (odds * UNIT), 6)) * UNIT
 
 
 def covering(options: list[tuple[int, frozenset, int]], weight: dict, budget: int, most: int) -> list[int]:
@@ -232,7 +238,7 @@ def mixed_plan(df: DataFrame, p: str, budget: int, target: float, most: int, siz
             for c in combos:
                 covers = frozenset(o for o in weight if o[: len(c)] == c)
                 share = chance[c[0]] * chance[c[1]] / (1 - chance[c[0]]) if kind == "exacta" else weight[c]
-                options.append((len(names), covers, _to_reach(codes.PAYOUT_RATE[kind] / share, target)))
+                options.append((len(names), covers, _stake_for(codes.PAYOUT_RATE[kind] / share, target)))
                 names.append((kind, *c, *([None] * (3 - len(c)))))
         chosen = covering(options, weight, budget, most)
         rows = [(pdf["race_id"].iloc[0], n + 1, *names[x], options[x][2]) for n, x in enumerate(chosen)]

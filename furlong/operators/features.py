@@ -69,12 +69,12 @@ def race_features(df: DataFrame) -> DataFrame:
     return out.withColumns({"field": F.count("*").over(w), "rate_rank": F.when(F.col("show_rate").isNotNull(), F.rank().over(w.orderBy(F.desc_nulls_last("show_rate"))).cast("long")), "odds_gap": F.col("win_odds") - F.avg("win_odds").over(w)})
 
 
-def class_features(df: DataFrame, level: str = "level") -> DataFrame:
-    """Past races in a class at least as high as this race's: count and mean rank. One window has all classes' totals."""
-    classes = range(1, 6)
+def class_features(df: DataFrame, level: str = "level", classes: range = range(1, 11)) -> DataFrame:
+    """Past races in a class at least as high as this race's: count and mean rank. One window has all classes' totals. A race
+    of a level outside of ``classes``, or of none, has null in both; as a past race it counts by its level."""
     sums = {f"_n{k}": (F.col(level) >= k).cast("int") for k in classes} | {f"_r{k}": F.when(F.col(level) >= k, F.col("finish_rank")) for k in classes}
     out = past.past_totals(df, ["horse_id"], sums, "day")
-    at = lambda p: F.element_at(F.array(*(F.col(f"{p}{k}") for k in classes)), F.col(level).cast("int"))
+    at = lambda p: F.get(F.array(*(F.col(f"{p}{k}") for k in classes)), F.col(level).cast("int") - classes.start)
     return out.withColumns({"class_starts": at("_n").cast("long"), "class_rank": F.when(at("_n") > 0, at("_r") / at("_n"))}).drop(*sums)
 
 

@@ -45,7 +45,8 @@ def by_condition(df: DataFrame, value: str, name: str, sign: float = 1.0, min_co
 def pace_features(df: DataFrame, z: str, fast: float = 0.0) -> DataFrame:
     """A horse's earlier paces: the last, the mean, the mean when placed, show rates in fast and slow races and their gap."""
     v, shown = F.col(z), (F.col("finish_rank") <= 3).cast("int")
-    is_fast, is_slow = v > fast, v <= fast
+    # a race at the mean of its kind is no fast one, whatever the last bit says
+    is_fast, is_slow = F.round(v - fast, 9) > 0, F.round(v - fast, 9) <= 0
     sums = {"_n": v.isNotNull().cast("int"), "_s": v, "_pn": F.when(shown == 1, v.isNotNull().cast("int")), "_ps": F.when(shown == 1, v)}
     sums |= {"_fn": is_fast.cast("int"), "_fs": F.when(is_fast, shown), "_ln": is_slow.cast("int"), "_ls": F.when(is_slow, shown)}
     out = past.past_totals(df, ["horse_id"], sums, "row", last=("_last", 1, v))

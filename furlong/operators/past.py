@@ -29,7 +29,10 @@ def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of:
     if last:
         name, k, value = last
         valued = valued.withColumn("_now", F.struct(*order, value.alias("v")))
-        totals.append(F.slice(F.reverse(F.array_sort(F.collect_list("_now"))), 1, k).alias("_days"))
+        # only the day's last k rows are collected
+        recent = F.row_number().over(Window.partitionBy(*keys, "day").orderBy(*[F.desc(c) for c in order])) <= k
+        valued = valued.withColumn("_late", F.when(recent, F.col("_now")))
+        totals.append(F.reverse(F.array_sort(F.collect_list("_late"))).alias("_days"))
         carried.append(F.slice(F.flatten(F.reverse(F.collect_list("_days").over(w.rowsBetween(-k, -1)))), 1, k).alias(name))
     days = valued.groupBy(*keys, "day").agg(*totals)
     out = valued.join(days.select(*keys, "day", *carried), [*keys, "day"], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
@@ -41,7 +44,7 @@ def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of:
         if as_of == "row":
             today = F.reverse(F.collect_list("_now").over(Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(-k, -1)))
             out = out.withColumn(name, F.slice(F.concat(today, F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType))), 1, k))
-        out = out.withColumn(name, F.transform(name, lambda x: x["v"])).drop("_now")
+        out = out.withColumn(name, F.transform(name, lambda x: x["v"])).drop("_now", "_late")
     return out.drop(*(f"_v_{n}" for n in names))
 
 
@@ -75,11 +78,39 @@ def past_mean(df: DataFrame, keys: list[str], value: Column, name: str, min_coun
     return out.withColumn(name, F.when(F.col("_n") >= min_count, F.col("_s") / F.col("_n"))).drop("_n", "_s")
 
 
+def past_moments(df: DataFrame, keys: list[str], value: Column, as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no")) -> DataFrame:
+    """df with _n, _mean and _var (population) of the known past values.
+
+    A day has its count, mean and sum of squared deviations, by an aggregate that merges these. Days are put together around
+    the key's mean over all days, which only keeps the numbers small and does not change the result, and what is earlier on
+    the same day is merged in; so values that are large against their spread lose no digits.
+    """
+    valued = df.withColumn("_v", value.cast("double"))
+    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(START, -1)
+    days = valued.groupBy(*keys, "day").agg(F.count("_v").alias("_dn"), F.avg("_v").alias("_dm"), (F.var_pop("_v") * F.count("_v")).alias("_dq"))
+    every = Window.partitionBy(*keys)
+    days = days.withColumn("_a", F.sum(F.col("_dm") * F.col("_dn")).over(every) / F.sum("_dn").over(every))
+    off = F.col("_dm") - F.col("_a")
+    days = days.select(*keys, "day", F.coalesce(F.sum("_dn").over(w), F.lit(0)).alias("_n"), F.sum(F.col("_dn") * off).over(w).alias("_o"), F.sum(F.col("_dq") + F.col("_dn") * off * off).over(w).alias("_q"), "_a")
+    shift = F.try_divide("_o", "_n")
+    days = days.select(*keys, "day", "_n", (F.col("_a") + shift).alias("_mean"), F.greatest(F.col("_q") - F.col("_o") * shift, F.lit(0.0)).alias("_m2"))
+    out = valued.join(days, [*keys, "day"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    if as_of != "day":
+        near = Window.partitionBy(*keys, "day")
+        near = near.orderBy(*order).rowsBetween(START, -1) if as_of == "row" else near.orderBy("race_id").rangeBetween(START, -1)
+        out = out.withColumns({"_tn": F.count("_v").over(near), "_tm": F.avg("_v").over(near), "_tq": F.var_pop("_v").over(near)})
+        n, t = F.col("_n"), F.col("_tn")
+        gap = F.col("_tm") - F.col("_mean")
+        mean = F.when(n == 0, F.col("_tm")).when(t == 0, F.col("_mean")).otherwise(F.col("_mean") + gap * t / (n + t))
+        m2 = F.coalesce("_m2", F.lit(0.0)) + F.coalesce(F.col("_tq") * t, F.lit(0.0)) + F.coalesce(gap * gap * n * t / (n + t), F.lit(0.0))
+        out = out.withColumns({"_mean": mean, "_m2": m2, "_n": n + t}).drop("_tn", "_tm", "_tq")
+    return out.withColumn("_var", F.try_divide("_m2", "_n")).drop("_v", "_m2")
+
+
 def past_std(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 2, as_of: str = "day") -> DataFrame:
     """Population standard deviation of the past values that are known."""
-    out = past_totals(df, keys, {"_n": value.isNotNull().cast("int"), "_s": value, "_q": value * value}, as_of)
-    var = F.greatest(F.try_divide("_q", "_n") - F.pow(F.try_divide("_s", "_n"), F.lit(2)), F.lit(0.0))
-    return out.withColumn(name, F.when(F.col("_n") >= min_count, F.sqrt(var))).drop("_n", "_s", "_q")
+    out = past_moments(df, keys, value, as_of)
+    return out.withColumn(name, F.when(F.col("_n") >= min_count, F.sqrt("_var"))).drop("_n", "_mean", "_var")
 
 
 def past_conditional_mean(df: DataFrame, keys: list[str], value: Column, condition: Column, name: str, min_count: int = 1, as_of: str = "day") -> DataFrame:
@@ -111,11 +142,10 @@ def previous(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFr
 
 def standardized(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 30) -> DataFrame:
     """Deviation of the race's value from the races of earlier days under the same conditions, in standard deviations."""
-    out = past_totals(df, keys, {"_n": one(), "_s": value, "_q": value * value}, "day")
-    mean = F.try_divide(F.col("_s"), F.col("_n"))
-    std = F.sqrt(F.greatest(F.try_divide(F.col("_q"), F.col("_n")) - mean * mean, F.lit(0.0)))
-    z = F.when((F.col("_n") >= min_count) & (std > 0), F.try_divide(value - mean, std))
-    return out.withColumn(name, z).drop("_n", "_s", "_q")
+    out = past_moments(past_totals(df, keys, {"_rows": one()}, "day"), keys, F.coalesce(value, F.lit(0.0)), "day")
+    std = F.sqrt("_var")
+    z = F.when((F.col("_rows") >= min_count) & (std > 0), F.try_divide(value - F.col("_mean"), std))
+    return out.withColumn(name, z).drop("_rows", "_n", "_mean", "_var")
 
 
 def block_start(days: DataFrame) -> DataFrame:

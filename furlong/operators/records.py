@@ -24,13 +24,19 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top.select(*keys, "_s.*", "n_versions")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of both by key; the named columns come from ``new`` where it has the key. change: new, updated, same or missing."""
-    right = new.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in columns), F.lit(True).alias("_in_new"))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], order: list[Column] | None = None, protected: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both by key; the named columns come from ``new`` where it has the key. change: new, updated, same or missing.
+
+    Of several new rows of a key the last by ``order`` holds (without an order the greatest by the named columns), and
+    n_given says how many there were, null where none was. Protected columns keep what the old row has, unless that is null.
+    """
+    given = latest(new.select(*keys, *columns, *([F.struct(*order).alias("_order")] if order else [])), keys, [F.col("_order")] if order else [F.col(c) for c in columns])
+    right = given.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in columns), F.col("n_versions").alias("n_given"))
     both = old.withColumn("_in_old", F.lit(True)).join(right, keys, "full")
+    kept = {c: F.coalesce(c, f"_n_{c}") if c in protected else F.col(f"_n_{c}") for c in columns}
     same = F.lit(True)
     for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
-    change = F.when(F.col("_in_old").isNull(), "new").when(F.col("_in_new").isNull(), "missing").when(same, "same").otherwise("updated")
-    values = {c: F.when(F.col("_in_new").isNull(), F.col(c)).otherwise(F.col(f"_n_{c}")) for c in columns}
-    return both.withColumn("change", change).withColumns(values).drop("_in_old", "_in_new", *(f"_n_{c}" for c in columns))
+        same = same & F.col(c).eqNullSafe(kept[c])
+    change = F.when(F.col("_in_old").isNull(), "new").when(F.col("n_given").isNull(), "missing").when(same, "same").otherwise("updated")
+    values = {c: F.when(F.col("n_given").isNull(), F.col(c)).otherwise(kept[c]) for c in columns}
+    return both.withColumn("change", change).withColumns(values).drop("_in_old", *(f"_n_{c}" for c in columns))

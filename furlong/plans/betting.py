@@ -9,7 +9,7 @@ from furlong.operators import betting, bets, market
 from furlong.plans.base import out, query
 from furlong.plans.models import HIT, _bound, hit
 from furlong.plans.registry import DIFFICULTY_SQL, HARVILLE, MODEL_SQL, P_SQL, RACE_SQL, priced, ranked
-from furlong.sources.views import RUNS, cards, runs
+from furlong.sources.views import CARDS, RUNS, cards, runs
 
 TOP = "row_number() OVER (PARTITION BY race_id ORDER BY round(p, 12) DESC, post_no)"
 
@@ -135,7 +135,13 @@ def _breakdown(s: SparkSession, d: str) -> DataFrame:
     return out(t.withColumn("grade", F.coalesce("grade", F.lit("all"))), "n", "hits", keys=["grade"])
 
 
-@query("rebalance")
+@query("rebalance", f"""WITH {CARDS}, b AS (SELECT race_id, post_no AS bet, CAST(100 * (horse_id % 30 + 1) AS BIGINT) AS stake, CASE WHEN horse_id % 9 > 0 THEN round(win_odds, 3) END AS odds FROM cards WHERE post_no <= 8),
+ n AS (SELECT *, CAST(ceil(round(10000 / (odds * 100), 6)) AS BIGINT) AS need, odds * stake < 10000 - 1e-6 AS short FROM b),
+ k AS (SELECT *, CASE WHEN short THEN greatest(need - stake // 100, 0) ELSE 0 END AS lack, CASE WHEN NOT short THEN greatest(stake // 100 - greatest(need, 1), 0) ELSE 0 END AS spare FROM n),
+ t AS (SELECT *, sum(spare) OVER (PARTITION BY race_id) AS offer, sum(lack) OVER (PARTITION BY race_id) AS asked, coalesce(sum(lack) OVER (PARTITION BY race_id ORDER BY CASE WHEN lack > 0 THEN need * 100 - stake END NULLS LAST, bet ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM k),
+ u AS (SELECT race_id, bet, odds * (stake - 100 * g) - 10000 AS price, g, asked FROM t, LATERAL (SELECT unnest(range(0, CAST(spare AS BIGINT))) AS g)),
+ s AS (SELECT race_id, bet, count(*) AS given FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY price DESC, bet, g) <= asked) GROUP BY ALL)
+ SELECT t.race_id, t.bet, stake, odds, CAST(stake + 100 * (least(lack, greatest(offer - earlier, 0)) - coalesce(given, 0)) AS BIGINT) AS new_stake FROM t LEFT JOIN s USING (race_id, bet)""")
 def _rebalance(s: SparkSession, d: str) -> DataFrame:
     c = cards(s, d).select("race_id", F.col("post_no").alias("bet"), (100 * (F.col("horse_id") % 30 + 1)).cast("long").alias("stake"), F.when(F.col("horse_id") % 9 > 0, F.round("win_odds", 3)).alias("odds"))
     return betting.rebalance(c.where("bet <= 8"), 10_000)

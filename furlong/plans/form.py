@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.operators import levels, pace, past, style
-from furlong.plans.base import out, query
+from furlong.plans.base import out, query, settle, settle_sql
 from furlong.sources.views import RUNS, runs, table
 
 H = "PARTITION BY horse_id"
@@ -53,11 +53,11 @@ def positions(s: SparkSession, d: str) -> DataFrame:
     return r.withColumns({"pos": style.relative(F.col("corner_rank"), F.col("field")), "rel": style.relative(F.col("finish_rank"), F.col("field"))})
 
 
-@query("running_style", f"""WITH {STYLE_SQL} SELECT race_id, post_no, round(style, 6) AS style, CASE WHEN count(pos) OVER r >= 2 THEN round(stddev_pop(pos) OVER r, 6) END AS style_spread, count(pos) OVER r AS style_n,
- round(avg(pos) OVER ({H} {LAST.format(n=3)}), 6) AS style_last3, round(lag(pos) OVER ({H} ORDER BY day, race_id, post_no), 6) AS style_previous, round(avg(pos) FILTER (finish_rank <= 3) OVER r, 6) AS style_placed, style_name
+@query("running_style", f"""WITH {STYLE_SQL} SELECT race_id, post_no, {settle_sql('style')} AS style, CASE WHEN count(pos) OVER r >= 2 THEN {settle_sql('stddev_pop(pos) OVER r')} END AS style_spread, count(pos) OVER r AS style_n,
+ {settle_sql('avg(pos) OVER (' + H + ' ' + LAST.format(n=3) + ')')} AS style_last3, round(lag(pos) OVER ({H} ORDER BY day, race_id, post_no), 6) AS style_previous, {settle_sql('avg(pos) FILTER (finish_rank <= 3) OVER r')} AS style_placed, style_name
  FROM nm WINDOW r AS ({H} {ROW})""")
 def _style(s: SparkSession, d: str) -> DataFrame:
-    return out(style.running_style(positions(s, d), "pos"), "style", "style_spread", "style_n", "style_last3", "style_previous", "style_placed", "style_name")
+    return out(style.running_style(positions(s, d), "pos"), "style", "style_spread", "style_n", "style_last3", "style_previous", "style_placed", "style_name", settled=("style", "style_spread", "style_last3", "style_placed"))
 
 
 SCENE_SQL = f"""{STYLE_SQL}, sc AS (SELECT *, sum(CASE WHEN style_name = 'front' THEN 1 ELSE 0 END) OVER w AS fronts, sum(CASE WHEN style_name = 'stalker' THEN 1 ELSE 0 END) OVER w AS stalkers,
@@ -66,11 +66,11 @@ SCENE_SQL = f"""{STYLE_SQL}, sc AS (SELECT *, sum(CASE WHEN style_name = 'front'
 
 
 @query("pace_scenario", f"""WITH {SCENE_SQL} SELECT race_id, post_no, CAST(fronts AS BIGINT) AS fronts, CAST(stalkers AS BIGINT) AS stalkers, CASE WHEN style IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY round(style, 9) NULLS LAST) END AS style_rank,
- round(style - mean_style, 6) + 0 AS style_gap, CAST(CASE WHEN fronts = 1 AND style_name = 'front' THEN 1 ELSE 0 END AS BIGINT) AS lone_front, round(pressure, 6) AS pressure, round(post, 6) AS post,
- round(post * style, 6) AS post_style, round((1 - post) * (1 - style), 6) AS inside_front, round(distance / 1000 * style, 6) AS distance_style FROM scene""")
+ {settle_sql('style - mean_style')} + 0 AS style_gap, CAST(CASE WHEN fronts = 1 AND style_name = 'front' THEN 1 ELSE 0 END AS BIGINT) AS lone_front, {settle_sql('pressure')} AS pressure, round(post, 6) AS post,
+ {settle_sql('post * style')} AS post_style, {settle_sql('(1 - post) * (1 - style)')} AS inside_front, {settle_sql('distance / 1000 * style')} AS distance_style FROM scene""")
 def _scenario(s: SparkSession, d: str) -> DataFrame:
-    found = style.pace_scenario(style.running_style(positions(s, d), "pos")).withColumn("style_gap", F.round("style_gap", 6) + 0.0)
-    return out(found, "fronts", "stalkers", "style_rank", "style_gap", "lone_front", "pressure", "post", "post_style", "inside_front", "distance_style")
+    found = style.pace_scenario(style.running_style(positions(s, d), "pos")).withColumn("style_gap", settle(F.col("style_gap")))
+    return out(found, "fronts", "stalkers", "style_rank", "style_gap", "lone_front", "pressure", "post", "post_style", "inside_front", "distance_style", settled=("pressure", "post_style", "inside_front", "distance_style"))
 
 
 @query("official_style", f"""WITH {RUNS}, c AS (SELECT *, jockey_id % 6 AS code, CASE WHEN jockey_id % 6 BETWEEN 1 AND 4 THEN jockey_id % 6 END AS v FROM runs),
@@ -118,7 +118,7 @@ def _pace_z(s: SparkSession, d: str) -> DataFrame:
 
 @query("pace_features", f"""WITH {PACE_SQL}, x AS (SELECT runs.*, z FROM runs LEFT JOIN rz USING (race_id)),
  y AS (SELECT *, lag(z) OVER ({H} ORDER BY day, race_id, post_no) AS pv, avg(z) OVER r AS m, avg(z) FILTER (finish_rank <= 3) OVER r AS p,
-  CASE WHEN count(*) FILTER (z > 0) OVER r >= 2 THEN avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) FILTER (z > 0) OVER r END AS f, CASE WHEN count(*) FILTER (z <= 0) OVER r >= 2 THEN avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) FILTER (z <= 0) OVER r END AS l
+  CASE WHEN count(*) FILTER (round(z, 9) > 0) OVER r >= 2 THEN avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) FILTER (round(z, 9) > 0) OVER r END AS f, CASE WHEN count(*) FILTER (round(z, 9) <= 0) OVER r >= 2 THEN avg(CASE WHEN finish_rank <= 3 THEN 1 ELSE 0 END) FILTER (round(z, 9) <= 0) OVER r END AS l
   FROM x WINDOW r AS ({H} {ROW}))
  SELECT race_id, post_no, round(pv, 5) AS pace_previous, round(m, 5) AS pace_mean, round(p, 5) AS pace_placed, round(f, 5) AS fast_show, round(l, 5) AS slow_show, round(f - l, 5) + 0 AS fast_less_slow FROM y""")
 def _pace_features(s: SparkSession, d: str) -> DataFrame:
@@ -136,11 +136,11 @@ def _expected(s: SparkSession, d: str) -> DataFrame:
 @query("level_features", f"""WITH {POS_SQL}, l AS (SELECT *, 6 - CAST(substr(grade, 1, 1) AS BIGINT) AS level, row_number() OVER ({H} ORDER BY day, race_id, post_no) AS rn FROM pos),
  f AS (SELECT *, lag(level) OVER o AS lp, avg(level) OVER w AS l5, max(level) OVER r AS hi, CASE WHEN count(rel) OVER w >= 3 THEN regr_slope(rel, CASE WHEN rel IS NOT NULL THEN rn END) OVER w END AS sl, avg(rel) OVER ({H} {LAST.format(n=3)}) - avg(rel) OVER r AS rc
   FROM l WINDOW o AS ({H} ORDER BY day, race_id, post_no), w AS ({H} {LAST.format(n=5)}), r AS ({H} {ROW}))
- SELECT race_id, post_no, lp AS level_previous, round(l5, 6) AS level_last5, hi AS level_highest, level - lp AS level_change, level - hi AS level_below, round(sl, 6) + 0 AS rank_slope, round(rc, 6) + 0 AS rank_recent FROM f""")
+ SELECT race_id, post_no, lp AS level_previous, {settle_sql('l5')} AS level_last5, hi AS level_highest, level - lp AS level_change, level - hi AS level_below, {settle_sql('sl')} + 0 AS rank_slope, {settle_sql('rc')} + 0 AS rank_recent FROM f""")
 def _levels(s: SparkSession, d: str) -> DataFrame:
     found = levels.level_features(positions(s, d).withColumn("level", 6 - F.substring("grade", 1, 1).cast("long")), "level", "rel")
-    found = found.withColumns({c: F.round(c, 6) + 0.0 for c in ("rank_slope", "rank_recent")})
-    return out(found, "level_previous", "level_last5", "level_highest", "level_change", "level_below", "rank_slope", "rank_recent")
+    found = found.withColumns({c: settle(F.col(c)) for c in ("rank_slope", "rank_recent")})
+    return out(found, "level_previous", "level_last5", "level_highest", "level_change", "level_below", "rank_slope", "rank_recent", settled=("level_last5",))
 
 
 @query("time_index", f"""WITH {RUNS}, z AS (SELECT *, CASE WHEN count(*) OVER c >= 30 THEN least(greatest((avg(price) OVER c - price) / nullif(stddev_pop(price) OVER c, 0), -1.5), 1.5) END AS z FROM runs WINDOW c AS (PARTITION BY surface, going {DAY}))

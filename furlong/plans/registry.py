@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.operators import asof, bets, features, levels, market, past, records, stats
-from furlong.plans.base import KEY, QUERIES, SQL, Query, out, query
+from furlong.plans.base import KEY, QUERIES, SQL, Query, out, query, settle_sql
 from furlong.sources.views import CARDS, RUNS, VERSIONS, cards, runs, table, versions
 from furlong.streaming.cards import daily_windows
 
@@ -130,9 +130,9 @@ def _class(s: SparkSession, d: str) -> DataFrame:
  FROM o WINDOW d AS ({H} {DAY}), j AS ({J} {DAY})),
  l AS (SELECT DISTINCT a.horse_id, a.f, avg(b.finish_rank) AS l3, max_by(b.finish_rank, b.rn) AS pr, max_by(b.day, b.rn) AS pd FROM (SELECT DISTINCT horse_id, f FROM f) a JOIN o b ON b.horse_id = a.horse_id AND b.rn < a.f AND b.rn >= a.f - 3 GROUP BY 1, 2)
  SELECT race_id, post_no, starts, round(wr, 6) AS win_rate, round(sr, 6) AS show_rate, round(l3, 6) AS last3_rank, pr AS previous_rank, day - pd AS days_since, round(jr, 6) AS jockey_rate,
- CASE WHEN wr IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY wr DESC NULLS LAST) END AS form_rank, round(1 / win_odds / book, 6) AS market, count(*) OVER (PARTITION BY race_id) AS field FROM f LEFT JOIN l USING (horse_id, f)""")
+ CASE WHEN wr IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY wr DESC NULLS LAST) END AS form_rank, {settle_sql('1 / win_odds / book')} AS market, count(*) OVER (PARTITION BY race_id) AS field FROM f LEFT JOIN l USING (horse_id, f)""")
 def _form(s: SparkSession, d: str) -> DataFrame:
-    return out(features.form_table(runs(s, d)), "starts", "win_rate", "show_rate", "last3_rank", "previous_rank", "days_since", "jockey_rate", "form_rank", "market", "field")
+    return out(features.form_table(runs(s, d)), "starts", "win_rate", "show_rate", "last3_rank", "previous_rank", "days_since", "jockey_rate", "form_rank", "market", "field", settled=("market",))
 
 
 # ---- records
@@ -158,7 +158,7 @@ def _duplicates(s: SparkSession, d: str) -> DataFrame:
     return versions(s, d).groupBy("race_id", "line").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("upsert", f"""WITH {VERSIONS}, o AS (SELECT race_id, line, value, state FROM versions WHERE seq = 1 AND race_id % 3 <> 0), n AS (SELECT race_id, line, value, state FROM versions WHERE seq = 2 OR (seq = 1 AND race_id % 3 = 0))
+@query("upsert", f"""WITH {VERSIONS}, o AS (SELECT race_id, line, value, state FROM versions WHERE seq = 1 AND race_id % 3 <> 0), n AS (SELECT race_id, line, value, state FROM versions WHERE seq = 2 OR (seq = 1 AND race_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY race_id, line ORDER BY seq DESC) = 1)
  SELECT coalesce(o.race_id, n.race_id) AS race_id, coalesce(o.line, n.line) AS line, round(CASE WHEN n.race_id IS NULL THEN o.value ELSE n.value END, 6) AS value,
  CASE WHEN n.race_id IS NULL THEN o.state ELSE n.state END AS state,
  CASE WHEN o.race_id IS NULL THEN 'new' WHEN n.race_id IS NULL THEN 'missing' WHEN o.value = n.value AND o.state = n.state THEN 'same' ELSE 'updated' END AS change
@@ -166,8 +166,8 @@ def _duplicates(s: SparkSession, d: str) -> DataFrame:
 def _upsert(s: SparkSession, d: str) -> DataFrame:
     v = versions(s, d).select("race_id", "line", "value", "state", "seq")
     old = v.where("seq = 1 and race_id % 3 <> 0").drop("seq")
-    new = v.where("seq = 2 or (seq = 1 and race_id % 3 = 0)").drop("seq")
-    return out(records.upsert(old, new, ["race_id", "line"], ["value", "state"]), "value", "state", "change", keys=["race_id", "line"])
+    new = v.where("seq = 2 or (seq = 1 and race_id % 3 = 0)")
+    return out(records.upsert(old, new, ["race_id", "line"], ["value", "state"], [F.col("seq")]), "value", "state", "change", keys=["race_id", "line"])
 
 
 # ---- market and ordered finishes, on cards
@@ -403,7 +403,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return daily_windows(s, d)
 
 
-from furlong.plans import betting, datasets, fields, form, meeting, models, reports  # noqa: E402, F401
+from furlong.plans import betting, datasets, fields, form, meeting, models, ratings, reports  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -22,8 +22,8 @@ def _key(row: tuple) -> tuple:
     return tuple((v is not None, str(round(v, 3) + 0.0) if isinstance(v, float) else str(v)) for v in row)
 
 
-def differences(df, con, sql: str, near: float = 2e-6) -> list:
-    """Rows that differ, at most five; floats may differ by the last rounded digit."""
+def differences(df, con, sql: str, near: float = 0.0) -> list:
+    """Rows that differ, at most five; rounded numbers must be the same ones."""
     names = sorted(df.columns)
     mine = sorted((tuple(r[n] for n in names) for r in df.collect()), key=_key)
     got = con.execute(sql)
@@ -37,7 +37,7 @@ def differences(df, con, sql: str, near: float = 2e-6) -> list:
 
     def same(a, b) -> bool:
         if isinstance(a, float) or isinstance(b, float):
-            return a is not None and b is not None and math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=near)
+            return a is not None and b is not None and math.isclose(float(a), float(b), rel_tol=0.0, abs_tol=near)
         return a == b
 
     return [(a, b) for a, b in zip(mine, theirs, strict=True) if not all(map(same, a, b))][:5]

@@ -11,24 +11,33 @@ from furlong.functions import codes
 from furlong.operators import betting, datasets, logit, market, stats, style
 
 
-def test_rebalanced_keeps_the_total_and_the_givers():
+def moved(stakes, odds, target):
+    """The rule one unit at a time: who lacks least is served first, by who would still pay the most with the unit it gives."""
+    need = [math.ceil(round(target / (o * 100), 6)) * 100 if o else None for o in odds]
+    out = list(stakes)
+    for _, i in sorted((need[i] - out[i], i) for i, o in enumerate(odds) if o and o * out[i] < target - 1e-6):
+        while out[i] < need[i]:
+            able = [(-(odds[j] * out[j] - target), j) for j, o in enumerate(odds) if o and j != i and out[j] - 100 >= max(100, need[j])]
+            if not able:
+                return out
+            out[min(able)[1]] -= 100
+            out[i] += 100
+    return out
+
+
+def test_rebalance_moves_units(spark):
     rng = np.random.default_rng(1)
+    races = []
     for _ in range(200):
         n = int(rng.integers(1, 9))
-        stakes = (100 * rng.integers(1, 30, n)).tolist()
         odds = [None if rng.random() < 0.1 else round(float(x), 1) for x in rng.uniform(1.5, 60, n)]
-        got = betting.rebalanced(stakes, odds, 10_000)
-        assert sum(got) == sum(stakes) and all(x % 100 == 0 for x in got)
-        for a, b, o in zip(stakes, got, odds, strict=True):
-            assert o is not None or a == b
-            if b < a:
-                assert o * b >= 10_000 - 1e-6
-            if b > a:
-                assert o * a < 10_000 and o * (b - 100) < 10_000
-        # what is still short had no giver left
-        short = [i for i, o in enumerate(odds) if o and o * got[i] < 10_000 - 1e-6]
-        spare = [j for j, o in enumerate(odds) if o and j not in short and o * (got[j] - 100) >= 10_000 - 1e-6 and got[j] > 100]
-        assert not (short and spare)
+        races.append(((100 * rng.integers(1, 30, n)).tolist(), odds))
+    rows = [(r, b, s, o) for r, (stakes, odds) in enumerate(races) for b, (s, o) in enumerate(zip(stakes, odds, strict=True))]
+    got = {}
+    for r in betting.rebalance(spark.createDataFrame(rows, "race_id long, bet long, stake long, odds double"), 10_000).collect():
+        got.setdefault(r["race_id"], {})[r["bet"]] = r["new_stake"]
+    assert sum(a != b for s, o in races for a, b in zip(s, moved(s, o, 10_000), strict=True)) > 50
+    assert {r: [v[k] for k in sorted(v)] for r, v in got.items()} == {r: moved(s, o, 10_000) for r, (s, o) in enumerate(races)}
 
 
 def test_covering_takes_the_best_step():

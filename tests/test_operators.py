@@ -1,8 +1,9 @@
 """Edge cases of the analytics operators: nulls, ties, empty tables, leaks."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from furlong.operators import asof, bets, market, past, records
+from furlong.operators import asof, bets, features, market, past, records
 
 RUNS = "race_id long, post_no long, horse_id long, day long, value double"
 
@@ -54,3 +55,28 @@ def test_asof_takes_the_last_known(spark):
 def test_stakes_and_bands(spark):
     r = spark.range(1).select(bets.stake_to_reach(F.lit(10.0), 50_000).alias("s"), bets.kelly(F.lit(0.5), F.lit(1.0), 0.2).alias("k"), bets.band(F.lit(3.0), [2, 3, 5]).alias("b")).first()
     assert (r.s, r.k, r.b) == (5000, 0.0, 2)
+
+
+def test_deviation_of_large_values(spark):
+    rows = [(1, d, d * 10 + i, i, 1e8 + (d + i) % 3) for d in range(20) for i in range(3)] + [(2, d, 900 + d, 1, float(d % 2)) for d in range(5)]
+    df = spark.createDataFrame(rows, "k long, day long, race_id long, post_no long, v double")
+    for as_of in ("day", "row", "race"):
+        got = past.past_std(df, ["k"], F.col("v"), "s", 2, as_of).collect()
+        for r in got:
+            before = {"day": lambda x, r=r: x[1] < r["day"], "row": lambda x, r=r: (x[1], x[2], x[3]) < (r["day"], r["race_id"], r["post_no"]), "race": lambda x, r=r: (x[1], x[2]) < (r["day"], r["race_id"])}[as_of]
+            values = [x[4] for x in rows if x[0] == r["k"] and before(x)]
+            want = float(np.std(values)) if len(values) >= 2 else None
+            assert (r["s"] is None and want is None) or abs(r["s"] - want) < 1e-7, (as_of, r, want)
+
+
+def test_classes_outside_of_the_known_ones(spark):
+    df = spark.createDataFrame([(1, 1, 1, 1, 3, 0), (2, 2, 1, 1, 2, 11), (3, 3, 1, 1, 1, 10), (4, 4, 1, 1, 1, None), (5, 5, 1, 1, 1, 1)], "race_id long, day long, post_no long, horse_id long, finish_rank long, level long")
+    got = {r["race_id"]: (r["class_starts"], r["class_rank"]) for r in features.class_features(df).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (1, 2.0), 4: (None, None), 5: (2, 1.5)}
+
+
+def test_upsert_takes_one_row_for_a_key(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "c", 7)], "k long, v string, w long")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "b", 9), (4, "n", 0)], "k long, v string, w long")
+    got = {r["k"]: (r["v"], r["w"], r["change"], r["n_given"]) for r in records.upsert(old, new, ["k"], ["v", "w"], [F.col("w")], ("w",)).collect()}
+    assert got == {1: ("y", 5, "updated", 2), 2: ("b", 9, "updated", 1), 3: ("c", 7, "missing", None), 4: ("n", 0, "new", 1)}

@@ -1,11 +1,11 @@
-"""Every query with SQL against DuckDB on the smallest tables."""
+"""Every query with SQL against DuckDB, to the last digit given."""
 
 import oracle
 import pytest
 
 from furlong.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
