@@ -35,7 +35,6 @@ from furlong.llm.components import components
 from furlong.session import materialize, prepare
 
 LETTERS = tb.byte_table("letters")
-LAST = (1 << 63) - 1
 _U = np.uint64
 
 
@@ -354,17 +353,18 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
     links = materialize(spark, have.cogroup(pairs).applyInArrow(tb.lean_pair(lambda a, b: verify(a, b, config)), _LINKS_SQL), "links")
     roots = components(spark, links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("n_links"))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    # in the order of the ids' own type, a missing one last
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"))
     classes = held.where("set_id is not null").groupBy("set_id").agg(F.min(order).alias("first"), F.count("*").alias("n_copies"))
     placed = classes.join(counts, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     placed = materialize(spark, placed, "classes")
-    least = placed.groupBy("root").agg(F.min("first").alias("class_id"))
+    least = placed.groupBy("root").agg(F.min("first")["id"].alias("class_id"))
     table = placed.join(least, "root").select("set_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     rows = held.select("doc_id", "set_id").join(table, "set_id", "left")
     return rows.select(
         "doc_id",
         "set_id",
-        F.when(F.col("set_id").isNull(), F.col("doc_id").cast("long")).when(F.col("class_id") == LAST, None).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
     )

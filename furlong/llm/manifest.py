@@ -17,10 +17,11 @@ import functools
 
 import duckdb
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import textbytes as tb
+from furlong.llm.rowkey import numbered
 from furlong.session import materialize, prepare
 
 ARITY = 3
@@ -44,23 +45,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", key.alias("key"), leaf(fields).alias("h"), F.when(hit, leaf(changed)).alias("bad"))
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df with pos, the row's number in its key by the given order, and total, the key's rows.
-
-    Rows are dealt into ranges of (key, order), so that a key of any size is spread; only one row for each range and key is
-    summed up.
-    """
-    by = ["key", *order]
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    ranged = ranged.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    ranged = materialize(df.sparkSession, ranged, name)
-    spans = ranged.groupBy("part", "key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    w = Window.partitionBy("key")
-    before = F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select("part", "key", (before - F.col("first")).alias("shift"), F.sum("n").over(w).alias("total"))
-    return ranged.join(spans, ["part", "key"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 @functools.cache
 def engine() -> duckdb.DuckDBPyConnection:
     con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})

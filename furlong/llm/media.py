@@ -121,21 +121,30 @@ class Stream:
     access: list[int] = field(default_factory=list)  # indices of the units at which decoding can start
     packets: int = 0
     lost: int = 0  # breaks of a continuity counter
+    repeated: int = 0  # packets sent twice, which count once
+    damaged: list[int] = field(default_factory=list)  # units that a break has fallen into
 
 
 def _sections(packets: np.ndarray, start: np.ndarray, pid: np.ndarray, unit: np.ndarray, which: int) -> Iterator[bytes]:
-    for i in np.flatnonzero((pid == which) & unit).tolist():
-        at = int(start[i])
-        at += 1 + int(packets[i, at])
-        size = (int(packets[i, at + 1]) & 0x0F) << 8 | int(packets[i, at + 2])
-        section = packets[i, at : at + 3 + size].tobytes()
-        if len(section) < 3 + size or section_crc(section):
+    """The program tables of a PID; a table can go on in the packets that follow."""
+    mine = np.flatnonzero(pid == which).tolist()
+    for k, i in enumerate(mine):
+        if not unit[i]:
+            continue
+        own = packets[i, int(start[i]) :].tobytes()
+        held = own[1 + own[0] :]
+        size = 3 + int.from_bytes(held[1:3], "big") % 4096 if len(held) >= 3 else 4096
+        for j in mine[k + 1 :]:
+            if len(held) >= size or unit[j]:
+                break
+            held += packets[j, int(start[j]) :].tobytes()
+        if len(held) < size or section_crc(held[:size]):
             raise ValueError("damaged program table")
-        yield section
+        yield held[:size]
 
 
 def demux(data: bytes) -> Stream:
-    """Read the first elementary stream of the first program."""
+    """Read the first elementary stream of the first program. Raises ValueError for what is no such stream."""
     if len(data) % PACKET:
         raise ValueError("not whole packets")
     p = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
@@ -145,15 +154,22 @@ def demux(data: bytes) -> Stream:
     unit, adapted, filled = (p[:, 1] & 0x40) > 0, (p[:, 3] & 0x20) > 0, (p[:, 3] & 0x10) > 0
     start = 4 + np.where(adapted, 1 + p[:, 4].astype(np.int64), 0)
     out = Stream(packets=len(p))
+    # the format lets a packet be sent twice, with the same counter; the second one goes
+    again, broken = np.zeros(len(p), bool), np.zeros(len(p), bool)
+    for which in np.unique(pid[pid != NULL_PID]).tolist():
+        at = np.flatnonzero((pid == which) & filled)
+        step = np.diff((p[at, 3] & 0x0F).astype(np.int64)) % 16
+        same = (step == 0) & (p[at[1:], 4:] == p[at[:-1], 4:]).all(axis=1)
+        again[at[1:][same]] = True
+        broken[at[1:][(step != 1) & ~same]] = True
+    out.lost, out.repeated = int(broken.sum()), int(again.sum())
+    p, pid, unit, adapted, filled, start, broken = (x[~again] for x in (p, pid, unit, adapted, filled, start, broken))
     programs = [int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF for s in _sections(p, start, pid, unit, PAT_PID) for i in range(8, len(s) - 4, 4) if s[i] or s[i + 1]]
     media = -1
     for s in (x for which in programs[:1] for x in _sections(p, start, pid, unit, which)):
         at = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
         out.stream_type, media = s[at], int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF
         break
-    for which in np.unique(pid[pid != NULL_PID]).tolist():
-        own = (p[(pid == which) & filled, 3] & 0x0F).astype(np.int64)
-        out.lost += int((np.diff(own) % 16 != 1).sum())
     mine = np.flatnonzero((pid == media) & filled)
     if not len(mine):
         return out
@@ -162,6 +178,10 @@ def demux(data: bytes) -> Stream:
     size = PACKET - begin
     where = np.cumsum(size) - size
     firsts = np.flatnonzero(unit[mine])
+    # what is missing before a unit's first packet is missing at the end of the unit before it too
+    hit = np.flatnonzero(broken[mine])
+    units = np.searchsorted(firsts, hit, side="right") - 1
+    out.damaged = sorted({k for k in [*units.tolist(), *(units - 1)[np.isin(hit, firsts)].tolist()] if k >= 0})
     random = adapted[mine] & (own[:, 4] > 0) & ((own[:, 5] & 0x40) > 0)
     raw, parts = content.tobytes(), []
     for k, i in enumerate(firsts.tolist()):
@@ -201,7 +221,8 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """What the stored streams hold, by reading them."""
+    """What the stored streams hold, by reading them. A stream that cannot be read, and a null one, has nulls and the reason
+    in ``error``; units that packets are missing from are listed in ``damaged``."""
     prepare(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,17 +230,24 @@ def digest(stored: DataFrame) -> DataFrame:
             rows = []
             for media in tb.column(batch, "media"):
                 data = media.as_py()
-                s = demux(data)
+                try:
+                    if data is None:
+                        raise ValueError("no stream")
+                    s = demux(data)
+                except (ValueError, IndexError) as e:
+                    # a packet that points beyond its end is read past it
+                    rows.append((*[None] * 3, *((len(data), hashlib.sha256(data).hexdigest()) if data is not None else (None, None)), None, None, None, None, str(e) or type(e).__name__))
+                    continue
                 last = s.times[-1] / CLOCK if s.times else 0.0
                 feature = f"type={s.stream_type};packets={s.packets};units={len(s.times)};access={len(s.access)};lost={s.lost};last={last:.3f}"
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.times, s.access))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.times, s.access, s.damaged, None))
+            cols = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id"), tb.column(batch, "n_bytes"), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"]
-    return stored.mapInArrow(tb.lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access", "damaged", "error"]
+    return stored.mapInArrow(tb.lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>, damaged array<int>, error string")
 
 
 def media_table(docs: DataFrame) -> DataFrame:

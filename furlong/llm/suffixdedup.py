@@ -16,7 +16,7 @@ that differ. Each block is told the least doc_id that has each of its windows, a
 
 A passage costs its bucket one row for each block that has it, however often a block has it. Nothing is collected.
 
-Defined results: a null text is empty. A null doc_id counts as larger than any other. Rows with equal doc_id do not
+Defined results: a null text is empty. Ids of any type count in the order of their type, a null doc_id after all others. Rows with equal doc_id do not
 repeat each other; fully equal rows get equal results. Texts shorter than ``length`` are kept. An empty table gives
 an empty result. All further columns are passed through; one that has the name of a result is replaced by it, for
 which ``prefix`` gives the results other names.
@@ -38,10 +38,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from furlong.llm import textbytes as tb
+from furlong.llm.rowkey import with_order
 from furlong.session import materialize, prepare
 
 GRAM = 16
-LAST = (1 << 63) - 1
 _U = np.uint64
 
 
@@ -537,7 +537,7 @@ def repeats(docs: DataFrame, result: str = "kept", prefix: str = "", config: Con
     n = max(1, -(-total // config.bucket_bytes))
     names = [prefix + x for x in ("n_bytes", "n_removed", "n_spans", result)]
     given = [c for c in docs.columns if c not in names]
-    made = docs.withColumn("__sd_order", F.coalesce(F.expr("try_cast(doc_id AS long)"), F.lit(LAST)))
+    made = with_order(docs, "__sd_order")
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
