@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,8 +59,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+_used: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/furlong/{name}-{uuid.uuid4().hex}"
+    """A path for an intermediate table, in a folder of this process."""
+    top = f"{shared_dir(spark)}/furlong/{_RUN}"
+    if top not in _used:
+        if not _used:
+            atexit.register(clear)
+        _used.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def clear() -> None:
+    """Delete this process's intermediate tables. Results that are read from them are gone too; called by itself at the end of
+    the process, if the session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for top in list(_used):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _used.discard(top)
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
