@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.operators import past
+from furlong.session import materialize
+
 
 def won() -> Column:
     return (F.col("finish_rank") == 1).cast("int")
@@ -79,7 +81,9 @@ def class_features(df: DataFrame, level: str = "level", classes: range = range(1
 
 
 def form_table(df: DataFrame) -> DataFrame:
-    """A runner's form, jockey's rate, market share and place in the field, as of the day before."""
+    """A runner's form, jockey's rate, market share and place in the field, as of the day before. The frame is stored once: it
+    is read by the entities' days and by the rows that these are joined to."""
+    df = materialize(df.sparkSession, df, "runners")
     w = Window.partitionBy("race_id")
     value = F.struct(F.col("finish_rank").cast("double").alias("rank"), "day")
     out = past.past_totals(df, ["horse_id"], {"starts": past.one(), "_w": won(), "_p": placed()}, "day", last=("_last", 3, value))
