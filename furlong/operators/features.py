@@ -40,16 +40,16 @@ def horse_features(df: DataFrame) -> DataFrame:
 
 def condition_features(df: DataFrame) -> DataFrame:
     """Show rates of a horse before this row, by distance band, surface, going and venue."""
-    out = df.withColumn("band", F.floor(F.col("distance") / 200))
+    out = base = df.withColumn("band", F.floor(F.col("distance") / 200))
     for by in ("band", "surface", "going", "venue"):
-        out = past.past_rate(out, ["horse_id", by], placed(), f"show_{by}", 1, "row")
+        out = past.past_rate(out, ["horse_id", by], placed(), f"show_{by}", 1, "row", base)
     return out
 
 
 def person_features(df: DataFrame, who: str, by: str, min_count: int = 10) -> DataFrame:
     """Win rate of a person before the day, in all and by a condition."""
     out = past.past_rate(df, [who], won(), "rate", min_count, "day")
-    return past.past_rate(out, [who, by], won(), "rate_here", min_count, "day")
+    return past.past_rate(out, [who, by], won(), "rate_here", min_count, "day", df)
 
 
 def recent_rate(df: DataFrame, who: str, window: int = 100) -> DataFrame:
@@ -60,7 +60,7 @@ def recent_rate(df: DataFrame, who: str, window: int = 100) -> DataFrame:
 def pair_features(df: DataFrame) -> DataFrame:
     """Before the day: starts and win rate of horse and jockey together; and whether the jockey is another than the last time."""
     out = past.past_totals(df, ["horse_id", "jockey_id"], {"pair_starts": past.one(), "_w": won()}, "day")
-    out = past.past_totals(out, ["horse_id"], {}, "row", last=("_last", 1, F.col("jockey_id")))
+    out = past.past_totals(out, ["horse_id"], {}, "row", last=("_last", 1, F.col("jockey_id")), base=df)
     return out.withColumns({"pair_rate": F.when(F.col("pair_starts") > 0, F.col("_w") / F.col("pair_starts")), "changed": (F.col("jockey_id") != F.get("_last", F.lit(0))).cast("long"), "pair_starts": F.col("pair_starts").cast("long")}).drop("_w", "_last")
 
 
@@ -87,8 +87,67 @@ def form_table(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("race_id")
     value = F.struct(F.col("finish_rank").cast("double").alias("rank"), "day")
     out = past.past_totals(df, ["horse_id"], {"starts": past.one(), "_w": won(), "_p": placed()}, "day", last=("_last", 3, value))
-    out = past.past_rate(out, ["jockey_id"], won(), "jockey_rate", 5, "day")
+    out = past.past_rate(out, ["jockey_id"], won(), "jockey_rate", 5, "day", df)
     n, last = F.col("starts"), F.col("_last")
     out = out.withColumns({"win_rate": F.when(n > 0, F.col("_w") / n), "show_rate": F.when(n > 0, F.col("_p") / n), "last3_rank": past.mean_of(F.transform(last, lambda x: x["rank"])), "previous_rank": F.get(last, F.lit(0))["rank"].cast("long"), "days_since": F.col("day") - F.get(last, F.lit(0))["day"]})
     p = (1 / F.col("win_odds")) / F.sum(1 / F.col("win_odds")).over(w)
     return out.withColumns({"starts": n.cast("long"), "market": p, "field": F.count("*").over(w), "form_rank": F.when(F.col("win_rate").isNotNull(), F.rank().over(w.orderBy(F.desc_nulls_last("win_rate"))).cast("long"))}).drop("_w", "_p", "_last")
+
+
+#: Columns that ``all_features`` adds, for the choice of what a model sees.
+ALL_FEATURES = (
+    "starts win_rate second_rate show_rate mean_rank previous_rank days_since distance_change last3_rank last5_rank show_band show_surface show_going show_venue "
+    "jockey_rate jockey_rate_here trainer_rate trainer_rate_here pair_starts pair_rate changed style style_n style_last3 style_previous "
+    "level_previous level_last5 level_highest level_change market odds_gap field rate_rank"
+).split()
+
+
+def all_features(df: DataFrame, least_person: int = 10, stored: bool = True) -> DataFrame:
+    """df with all features of a runner, as of the day before its race.
+
+    df: race_id, post_no, day, horse_id, jockey_id, trainer_id, finish_rank, distance, surface, going, venue, win_odds, level
+    and pos (the relative position in the running); results may be null, as they are before a race, and add nothing. Each kind
+    of entity has one pass with all of its totals. stored: the frame is written once, as every pass reads it.
+    """
+    if stored:
+        df = materialize(df.sparkSession, df, "runners")
+    df = df.withColumn("band", F.floor(F.col("distance") / 200))
+    ran = F.col("finish_rank").isNotNull()
+    known = lambda c: F.when(ran, c)
+    value = F.struct(F.col("finish_rank").cast("double").alias("rank"), "day", "distance", "jockey_id", F.col("pos").cast("double").alias("pos"), F.col("level").cast("double").alias("level"))
+    sums = {"_n": ran.cast("int"), "_w": known(won()), "_q": known((F.col("finish_rank") <= 2).cast("int")), "_p": known(placed()), "_r": F.col("finish_rank"), "_sn": F.col("pos").isNotNull().cast("int"), "_s": F.col("pos")}
+    out = past.past_totals(df, ["horse_id"], sums, "day", last=("_last", 5, value))
+    n, last = F.col("_n"), F.col("_last")
+    item = lambda c: F.transform(last, lambda x: x[c])
+    first = lambda c: F.get(last, F.lit(0))[c]
+    rate = lambda s, m: F.when(F.col(m) > 0, F.col(s) / F.col(m))
+    out = out.withColumns({
+        "starts": n.cast("long"), "win_rate": rate("_w", "_n"), "second_rate": rate("_q", "_n"), "show_rate": rate("_p", "_n"), "mean_rank": rate("_r", "_n"),
+        "previous_rank": first("rank").cast("long"), "days_since": F.col("day") - first("day"), "distance_change": F.col("distance") - first("distance"),
+        "last3_rank": past.mean_of(F.slice(item("rank"), 1, 3)), "last5_rank": past.mean_of(item("rank")), "changed": (F.col("jockey_id") != first("jockey_id")).cast("long"),
+        "style": rate("_s", "_sn"), "style_n": F.col("_sn").cast("long"), "style_last3": past.mean_of(F.slice(item("pos"), 1, 3)), "style_previous": first("pos"),
+        "level_previous": first("level").cast("long"), "level_last5": past.mean_of(item("level")), "level_change": (F.col("level") - first("level")).cast("long"),
+    }).drop(*sums, "_last")
+    best = df.groupBy("horse_id", "day").agg(F.max(known(F.col("level"))).alias("_l"))
+    best = best.select("horse_id", "day", F.max("_l").over(Window.partitionBy("horse_id").orderBy("day").rowsBetween(past.START, -1)).alias("level_highest"))
+    out = out.join(best, ["horse_id", "day"], "left")
+    for by in ("band", "surface", "going", "venue"):
+        out = past.past_totals(out, ["horse_id", by], {"_n": ran.cast("int"), "_p": known(placed())}, "day", base=df).withColumn(f"show_{by}", rate("_p", "_n")).drop("_n", "_p")
+    for who, by in (("jockey", "venue"), ("trainer", "surface")):
+        for keys, name in (([f"{who}_id"], f"{who}_rate"), ([f"{who}_id", by], f"{who}_rate_here")):
+            out = past.past_totals(out, keys, {"_n": ran.cast("int"), "_w": known(won())}, "day", base=df).withColumn(name, F.when(F.col("_n") >= least_person, F.col("_w") / F.col("_n"))).drop("_n", "_w")
+    out = past.past_totals(out, ["horse_id", "jockey_id"], {"_n": ran.cast("int"), "_w": known(won())}, "day", base=df).withColumns({"pair_starts": F.col("_n").cast("long"), "pair_rate": rate("_w", "_n")}).drop("_n", "_w")
+    w = Window.partitionBy("race_id")
+    inverse = F.when(F.col("win_odds") > 0, 1 / F.col("win_odds"))
+    # rates are rounded where they are ranked, so that equal ones tie
+    ranked = F.rank().over(w.orderBy(F.desc_nulls_last(F.round("show_rate", 9))))
+    return out.withColumns({"market": inverse / F.sum(inverse).over(w), "odds_gap": F.col("win_odds") - F.avg("win_odds").over(w), "field": F.count("*").over(w), "rate_rank": F.when(F.col("show_rate").isNotNull(), ranked).cast("long")}).drop("band")
+
+
+def prediction_features(history: DataFrame, targets: DataFrame) -> DataFrame:
+    """The features of runners whose races are to come, by the same path as those of the past: what all_features gives for
+    them once they have run. Results that the targets have are not looked at."""
+    results = ("finish_rank", "pos")
+    blank = targets.withColumns({c: F.lit(None).cast(history.schema[c].dataType) for c in results})
+    marked = history.withColumn("_target", F.lit(False)).unionByName(blank.select(*history.columns).withColumn("_target", F.lit(True)))
+    return all_features(marked).where("_target").drop("_target")

@@ -15,36 +15,50 @@ from pyspark.sql import functions as F
 START = Window.unboundedPreceding
 
 
-def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no"), last: tuple[str, int, Column] | None = None) -> DataFrame:
-    """df with the sums of each named column over the past; null values add nothing.
+def day_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], order: tuple[str, ...] = ("race_id", "post_no"), last: tuple[str, int, Column] | None = None) -> DataFrame:
+    """keys, day, and the named sums over all earlier days of each day that an entity has; null values add nothing.
 
-    last: name of an array, number of rows and value: the values of so many last rows, the latest first. They are taken
-    from the last rows of each day and handed on from day to day.
+    last: name of an array, number of rows and value: structs whose field v has the values of so many last rows, the latest
+    first. They are taken from the last rows of each day and handed on from day to day.
     """
-    names = list(sums)
     valued = df.withColumns({f"_v_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in sums.items()})
-    totals = [F.sum(f"_v_{n}").alias(f"_d_{n}") for n in names]
+    totals = [F.sum(f"_v_{n}").alias(f"_d_{n}") for n in sums]
     w = Window.partitionBy(*keys).orderBy("day")
-    carried = [F.sum(f"_d_{n}").over(w.rowsBetween(START, -1)).alias(n) for n in names]
+    carried = [F.coalesce(F.sum(f"_d_{n}").over(w.rowsBetween(START, -1)), F.lit(0.0)).alias(n) for n in sums]
     if last:
         name, k, value = last
-        valued = valued.withColumn("_now", F.struct(*order, value.alias("v")))
         # only the day's last k rows are collected
         recent = F.row_number().over(Window.partitionBy(*keys, "day").orderBy(*[F.desc(c) for c in order])) <= k
-        valued = valued.withColumn("_late", F.when(recent, F.col("_now")))
+        valued = valued.withColumn("_late", F.when(recent, F.struct(*order, value.alias("v"))))
         totals.append(F.reverse(F.array_sort(F.collect_list("_late"))).alias("_days"))
         carried.append(F.slice(F.flatten(F.reverse(F.collect_list("_days").over(w.rowsBetween(-k, -1)))), 1, k).alias(name))
-    days = valued.groupBy(*keys, "day").agg(*totals)
-    out = valued.join(days.select(*keys, "day", *carried), [*keys, "day"], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
+    return valued.groupBy(*keys, "day").agg(*totals or [F.count("*").alias("_d")]).select(*keys, "day", *carried)
+
+
+def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no"), last: tuple[str, int, Column] | None = None, base: DataFrame | None = None) -> DataFrame:
+    """df with the sums of each named column over the past; null values add nothing.
+
+    last: name of an array, number of rows and value: the values of so many last rows, the latest first. base: the rows that
+    the days are made of, where df is one of several joins to the same rows: without it each of these would be made twice.
+    """
+    names = list(sums)
+    days = day_totals(df if base is None else base, keys, sums, order, last)
+    joined = df
+    if as_of != "day":
+        joined = df.withColumns({f"_v_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in sums.items()})
+    if last and as_of == "row":
+        joined = joined.withColumn("_now", F.struct(*order, last[2].alias("v")))
+    out = joined.join(days, [*keys, "day"], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
     near = Window.partitionBy(*keys, "day")
     near = near.orderBy(*order).rowsBetween(START, -1) if as_of == "row" else near.orderBy("race_id").rangeBetween(START, -1)
     if as_of != "day":
         out = out.withColumns({n: F.col(n) + F.coalesce(F.sum(f"_v_{n}").over(near), F.lit(0.0)) for n in names})
     if last:
+        name, k, _ = last
         if as_of == "row":
             today = F.reverse(F.collect_list("_now").over(Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(-k, -1)))
             out = out.withColumn(name, F.slice(F.concat(today, F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType))), 1, k))
-        out = out.withColumn(name, F.transform(name, lambda x: x["v"])).drop("_now", "_late")
+        out = out.withColumn(name, F.transform(name, lambda x: x["v"])).drop("_now")
     return out.drop(*(f"_v_{n}" for n in names))
 
 
@@ -66,9 +80,9 @@ def past_sum(df: DataFrame, keys: list[str], value: str, name: str, as_of: str =
     return past_totals(df, keys, {name: F.col(value)}, as_of)
 
 
-def past_rate(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 1, as_of: str = "row") -> DataFrame:
+def past_rate(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 1, as_of: str = "row", base: DataFrame | None = None) -> DataFrame:
     """Past sum by the number of all past rows; null below min_count."""
-    out = past_totals(df, keys, {"_n": one(), "_s": value}, as_of)
+    out = past_totals(df, keys, {"_n": one(), "_s": value}, as_of, base=base)
     return out.withColumn(name, F.when(F.col("_n") >= min_count, F.col("_s") / F.col("_n"))).drop("_n", "_s")
 
 
@@ -78,7 +92,7 @@ def past_mean(df: DataFrame, keys: list[str], value: Column, name: str, min_coun
     return out.withColumn(name, F.when(F.col("_n") >= min_count, F.col("_s") / F.col("_n"))).drop("_n", "_s")
 
 
-def past_moments(df: DataFrame, keys: list[str], value: Column, as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no")) -> DataFrame:
+def past_moments(df: DataFrame, keys: list[str], value: Column, as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no"), base: DataFrame | None = None) -> DataFrame:
     """df with _n, _mean and _var (population) of the known past values.
 
     A day has its count, mean and sum of squared deviations, by an aggregate that merges these. Days are put together around
@@ -87,7 +101,8 @@ def past_moments(df: DataFrame, keys: list[str], value: Column, as_of: str = "da
     """
     valued = df.withColumn("_v", value.cast("double"))
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(START, -1)
-    days = valued.groupBy(*keys, "day").agg(F.count("_v").alias("_dn"), F.avg("_v").alias("_dm"), (F.var_pop("_v") * F.count("_v")).alias("_dq"))
+    source = valued if base is None else base.withColumn("_v", value.cast("double"))
+    days = source.groupBy(*keys, "day").agg(F.count("_v").alias("_dn"), F.avg("_v").alias("_dm"), (F.var_pop("_v") * F.count("_v")).alias("_dq"))
     every = Window.partitionBy(*keys)
     days = days.withColumn("_a", F.sum(F.col("_dm") * F.col("_dn")).over(every) / F.sum("_dn").over(every))
     off = F.col("_dm") - F.col("_a")
@@ -142,7 +157,7 @@ def previous(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFr
 
 def standardized(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 30) -> DataFrame:
     """Deviation of the race's value from the races of earlier days under the same conditions, in standard deviations."""
-    out = past_moments(past_totals(df, keys, {"_rows": one()}, "day"), keys, F.coalesce(value, F.lit(0.0)), "day")
+    out = past_moments(past_totals(df, keys, {"_rows": one()}, "day"), keys, F.coalesce(value, F.lit(0.0)), "day", base=df)
     std = F.sqrt("_var")
     z = F.when((F.col("_rows") >= min_count) & (std > 0), F.try_divide(value - F.col("_mean"), std))
     return out.withColumn(name, z).drop("_rows", "_n", "_mean", "_var")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import daystate, formation, market, past, rules, stagefits, training
+from furlong.operators import daystate, features, formation, market, past, rules, stagefits, training
 from furlong.sources.views import runs
 
 SF = "/root/testdata/sf0.001"
@@ -200,3 +200,21 @@ def test_two_rules(spark):
             if len(left) >= 60:
                 want[m1, s1, m2, s2] = (len(left), sum(r[5] for r in left), sum(r[5] and r[4] >= 500 for r in left), 200 * len(left))
     assert got == want and len(want) >= 10
+
+
+def test_predictions_and_history_have_the_same_features(spark):
+    from furlong.plans import registry  # noqa: F401
+    from furlong.plans.learning import full_frame
+
+    whole = full_frame(spark, SF).cache()
+    days = sorted(r["day"] for r in whole.select("day").distinct().collect())
+    target = whole.where(F.col("day") == days[-1])
+    cols = ["race_id", "post_no", *features.ALL_FEATURES]
+    past_path = features.all_features(whole).where(F.col("day") == days[-1]).select(*cols)
+    # the results of the day are not known before it, and changing them changes nothing
+    wrong = target.withColumns({"finish_rank": F.lit(1).cast("long"), "pos": F.lit(0.9)})
+    got = features.prediction_features(whole.where(F.col("day") < days[-1]), wrong).select(*cols)
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rounded(got) == rounded(past_path) and got.count() == target.count() > 0
+    none = features.prediction_features(whole.where(F.col("day") < days[-1]), target.limit(0))
+    assert none.count() == 0
