@@ -403,7 +403,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return daily_windows(s, d)
 
 
-from furlong.plans import betting, datasets, fields, form, learning, meeting, models, ratings, reports, sources, streams  # noqa: E402, F401
+from furlong.plans import betting, datasets, fields, form, learning, meeting, models, ratings, reports, settling, sources, streams  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
