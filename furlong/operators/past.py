@@ -99,10 +99,10 @@ def past_moments(df: DataFrame, keys: list[str], value: Column, as_of: str = "da
     the key's mean over all days, which only keeps the numbers small and does not change the result, and what is earlier on
     the same day is merged in; so values that are large against their spread lose no digits.
     """
-    valued = df.withColumn("_v", value.cast("double"))
+    valued = df.withColumn("_mv", value.cast("double"))
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(START, -1)
-    source = valued if base is None else base.withColumn("_v", value.cast("double"))
-    days = source.groupBy(*keys, "day").agg(F.count("_v").alias("_dn"), F.avg("_v").alias("_dm"), (F.var_pop("_v") * F.count("_v")).alias("_dq"))
+    source = valued if base is None else base.withColumn("_mv", value.cast("double"))
+    days = source.groupBy(*keys, "day").agg(F.count("_mv").alias("_dn"), F.avg("_mv").alias("_dm"), (F.var_pop("_mv") * F.count("_mv")).alias("_dq"))
     every = Window.partitionBy(*keys)
     days = days.withColumn("_a", F.sum(F.col("_dm") * F.col("_dn")).over(every) / F.sum("_dn").over(every))
     off = F.col("_dm") - F.col("_a")
@@ -113,13 +113,13 @@ def past_moments(df: DataFrame, keys: list[str], value: Column, as_of: str = "da
     if as_of != "day":
         near = Window.partitionBy(*keys, "day")
         near = near.orderBy(*order).rowsBetween(START, -1) if as_of == "row" else near.orderBy("race_id").rangeBetween(START, -1)
-        out = out.withColumns({"_tn": F.count("_v").over(near), "_tm": F.avg("_v").over(near), "_tq": F.var_pop("_v").over(near)})
+        out = out.withColumns({"_tn": F.count("_mv").over(near), "_tm": F.avg("_mv").over(near), "_tq": F.var_pop("_mv").over(near)})
         n, t = F.col("_n"), F.col("_tn")
         gap = F.col("_tm") - F.col("_mean")
         mean = F.when(n == 0, F.col("_tm")).when(t == 0, F.col("_mean")).otherwise(F.col("_mean") + gap * t / (n + t))
         m2 = F.coalesce("_m2", F.lit(0.0)) + F.coalesce(F.col("_tq") * t, F.lit(0.0)) + F.coalesce(gap * gap * n * t / (n + t), F.lit(0.0))
         out = out.withColumns({"_mean": mean, "_m2": m2, "_n": n + t}).drop("_tn", "_tm", "_tq")
-    return out.withColumn("_var", F.try_divide("_m2", "_n")).drop("_v", "_m2")
+    return out.withColumn("_var", F.try_divide("_m2", "_n")).drop("_mv", "_m2")
 
 
 def past_std(df: DataFrame, keys: list[str], value: Column, name: str, min_count: int = 2, as_of: str = "day") -> DataFrame:

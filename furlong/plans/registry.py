@@ -41,9 +41,9 @@ _past("running_maximum", lambda r: levels.past_extreme(r, ["horse_id"], F.col("p
 
 @query("past_rate_excluding_race", f"""WITH {RUNS}, r AS (SELECT trainer_id, day, race_id, count(*) AS n, sum({WIN_SQL}) AS s FROM runs GROUP BY ALL),
  p AS (SELECT trainer_id, race_id, sum(n) OVER w AS n, sum(s) OVER w AS s FROM r WINDOW w AS ({T} ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
- SELECT race_id, post_no, CASE WHEN n >= 5 THEN round(s / n, 6) END AS x FROM runs JOIN p USING (trainer_id, race_id)""")
+ SELECT race_id, post_no, CASE WHEN n >= 5 THEN {settle_sql('s / n')} END AS x FROM runs JOIN p USING (trainer_id, race_id)""")
 def _excluding(s: SparkSession, d: str) -> DataFrame:
-    return out(past.past_rate(runs(s, d), ["trainer_id"], features.won(), "x", 5, "race"), "x")
+    return out(past.past_rate(runs(s, d), ["trainer_id"], features.won(), "x", 5, "race"), "x", settled=("x",))
 
 
 @query("weekend_block", f"WITH {RUNS}, d AS (SELECT DISTINCT day FROM runs), i AS (SELECT day, day - row_number() OVER (ORDER BY day) AS g FROM d) SELECT day, min(day) OVER (PARTITION BY g) AS block_start FROM i")
