@@ -3,9 +3,10 @@
 Documents with equal sets form one class; each set gets a MinHash signature, whose coordinates are the tokens on
 which sets are split. A run starts at the root: a node draws one or two coordinates, 1 / threshold on average, and a
 set follows the path of its token at each, so that a pair of the threshold's similarity stays together on one path
-on average. Nodes of more than ``limit`` sets are split again, small ones are compared by brute force; a node that is
-still large at ``depth`` holds copies of one text and is compared in blocks, all of them. Runs are repeated until a
-pair at the threshold is found with the target recall.
+on average. Nodes of more than ``limit`` sets are split again, small ones are compared by brute force. Runs are repeated
+until a pair at the threshold is found with the target recall. A node that is still large at ``depth`` holds copies of one
+text: its sets are measured against a pivot, from which the links among the close ones follow (``pivots``); the others
+are compared, in blocks, with all of the node. So a class of near copies costs in proportion to its sets.
 
 A pair that meets in several buckets is compared in the first of them only, told by the lists of buckets that its
 sets carry, so links are counted without gathering the pairs. Pairs whose signatures agree enough are verified by
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm import pivots
 from furlong.llm import textbytes as tb
 from furlong.llm.components import components
 from furlong.session import materialize, prepare
@@ -153,8 +155,8 @@ def sets(docs: DataFrame, config: Config) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, set_id long, sig binary, shingles binary")
 
 
-def leaves(spark, signed: DataFrame, config: Config) -> DataFrame:
-    """bucket, set_id for all buckets of two sets or more."""
+def leaves(spark, signed: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """bucket, set_id for all buckets of two sets or more, and path, set_id, size of the nodes that stay large."""
 
     def step(root: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +177,12 @@ def leaves(spark, signed: DataFrame, config: Config) -> DataFrame:
         level = materialize(spark, level.join(sizes, "path"), "nodes")
         out.append(level.where(F.col("size") <= config.limit).select(F.col("path").alias("bucket"), "set_id"))
         large = level.where(F.col("size") > config.limit)
-        if depth == config.depth:
-            blocks = F.ceil(F.col("size") / config.limit).cast("int")
-            mine = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-            dealt = large.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            out.append(dealt.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "set_id"))
-        else:
+        if depth < config.depth:
             level = large.select("path", "set_id").join(signed, "set_id").mapInArrow(tb.lean(step(False)), "path long, set_id long")
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
-    return found
+    return found, large
 
 
 def _pairs(size: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -202,7 +199,7 @@ def _pairs(size: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray,
 
 
 def propose(table: pa.Table, config: Config) -> pa.Table:
-    """The pairs of a bunch of buckets that this bunch owns and whose signatures agree enough."""
+    """The pairs of a bunch of buckets that this bunch owns, whose signatures agree enough and which are not certain."""
     table = table.sort_by([("bucket", "ascending"), ("set_id", "ascending")]).combine_chunks()
     bucket, ids = table["bucket"].to_numpy(), table["set_id"].to_numpy()
     sig = _matrix(table["sig"], "<u4", config.signature).astype(np.uint8)
@@ -211,6 +208,7 @@ def propose(table: pa.Table, config: Config) -> pa.Table:
     flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     s, t = config.threshold[0] / config.threshold[1], config.signature
     least = max(1, math.floor(t * s - 4.5 * math.sqrt(t * s * (1 - s))))
+    template, far, most = table["template"].to_numpy(), table["far"].to_numpy(), pivots.reach(config.threshold)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     # pairs whose lists are compared at a time: about two million entries
     step = max(1, (1 << 20) // max(1, int(np.diff(at).max(initial=1))))
@@ -218,6 +216,8 @@ def propose(table: pa.Table, config: Config) -> pa.Table:
     for x, y in _pairs(np.diff(cuts)):
         near = (sig[x] == sig[y]).sum(axis=1, dtype=np.int16) >= least
         near &= ids[x] != ids[y]
+        # certain links are counted already
+        near &= (template[x] != template[y]) | (far[x] + far[y] > most)
         x, y = x[near], y[near]
         for a in range(0, len(x), step):
             p, q = x[a : a + step], y[a : a + step]
@@ -340,17 +340,24 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
     held = materialize(spark, sets(docs, config), "sets")
     payload = held.where("shingles is not null")
     signed = materialize(spark, payload.select("set_id", "sig").groupBy("set_id").agg(F.first("sig").alias("sig")), "signatures")
-    leaf = materialize(spark, leaves(spark, signed, config), "leaves")
+    small, large = leaves(spark, signed, config)
+    most = pivots.reach(config.threshold)
+    nodes = materialize(spark, pivots.named_nodes(large, signed), "templates")
+    far = materialize(spark, pivots.distances(large, nodes, payload), "distances")
+    leaf = materialize(spark, small.unionByName(pivots.buckets(large, nodes, far, most, config.limit)), "leaves")
     bunches = max(1, math.ceil(leaf.count() / config.bunch))
-    lists = leaf.groupBy("set_id").agg(F.array_sort(F.collect_set("bucket")).alias("leaves")).join(signed, "set_id")
-    dealt = lists.select("set_id", "sig", "leaves", F.explode("leaves").alias("bucket")).withColumn("bunch", F.pmod(F.xxhash64("bucket"), F.lit(bunches)))
+    lists = leaf.groupBy("set_id").agg(F.array_sort(F.collect_set("bucket")).alias("leaves")).join(signed, "set_id").join(far, "set_id", "left")
+    # a set without a pivot is out of every reach
+    lists = lists.withColumns({"template": F.coalesce("template", F.lit(0).cast("long")), "far": F.coalesce("far", F.lit(most + 1))})
+    dealt = lists.select("set_id", "sig", "leaves", "template", "far", F.explode("leaves").alias("bucket")).withColumn("bunch", F.pmod(F.xxhash64("bucket"), F.lit(bunches)))
     proposed = materialize(spark, dealt.groupBy("bunch").applyInArrow(tb.lean_group(lambda t: propose(t, config)), _PROPOSED_SQL), "proposed")
     need = proposed.where("set_id is not null").select("bunch", "set_id")
     # what is needed has no fixed bound, so it is not broadcast, whatever its size
     wanted = payload.select("set_id", "shingles").join(need.select("set_id").distinct().hint("merge"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     have = need.join(wanted, "set_id").groupBy("bunch")
     pairs = proposed.where("pairs is not null").select(F.col("bunch").alias("of"), "pairs").groupBy("of")
-    links = materialize(spark, have.cogroup(pairs).applyInArrow(tb.lean_pair(lambda a, b: verify(a, b, config)), _LINKS_SQL), "links")
+    links = have.cogroup(pairs).applyInArrow(tb.lean_pair(lambda a, b: verify(a, b, config)), _LINKS_SQL)
+    links = materialize(spark, links.unionByName(pivots.certain_links(far, most)), "all-links")
     roots = components(spark, links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     # in the order of the ids' own type, a missing one last

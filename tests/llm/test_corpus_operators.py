@@ -11,7 +11,7 @@ import pytest
 from conftest import EDGE, WORDS, make, remainder  # noqa: F401
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, jaccardjoin, langid, licences, media, packing, registry, suffixdedup, suffixtree, tokenfile, toxicity
+from furlong.llm import decontaminate, jaccardjoin, langid, licences, media, packing, pivots, registry, suffixdedup, suffixtree, tokenfile, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -219,6 +219,59 @@ def test_jaccard_join_finds_every_link(spark, empty):
     assert jaccardjoin.join(empty).count() == 0
 
 
+def test_jaccard_join_of_many_near_copies(spark):
+    """A class of 900 different copies, with some at the edge of the threshold and a second class that leans on it."""
+    rng = np.random.default_rng(6)
+    rows, base = [], [f"t{i}" for i in range(200)]
+    other = base[:176] + [f"u{i}" for i in range(24)]
+    for k in range(1000):
+        w = list(base if k < 900 else other)
+        for j in rng.integers(0, 200, rng.choice([1, 2, 3, 7])).tolist():
+            w[j] = f"k{k}x{j}"
+        rows.append((k, " ".join(w)))
+    docs, config = make(spark, rows), jaccardjoin.Config(limit=40, bunch=2000)
+    got = {r.doc_id: r for r in jaccardjoin.join(docs, config).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = (9 * both >= 4 * (size[:, None] + size[None, :])) & ~np.eye(len(sets), dtype=bool)
+    assert near.sum() > 200_000 and (~near[:900, :900]).sum() > 10_000
+    # meeting in a bucket is a matter of chance: no link is made up, and of all links the stated share is found
+    links, true = np.array([got[i].n_links for i in range(len(sets))]), near.sum(axis=1)
+    assert (links <= true).all() and links.sum() >= config.recall * true.sum()
+    label = np.arange(len(sets))
+    for _ in range(len(sets)):
+        label = np.minimum(label, np.where(near, label[None, :], len(sets)).min(axis=1))
+    assert [got[i].class_id for i in range(len(sets))] == label.tolist()
+
+
+def test_certain_links_need_no_buckets(spark):
+    """Rows of buckets grow with a class's sets and not with their square, and certain links are links."""
+    rng = np.random.default_rng(7)
+    counts = []
+    for m in (400, 1600):
+        rows = []
+        for k in range(m):
+            w = [f"t{i}" for i in range(200)]
+            for j in rng.integers(0, 200, 2).tolist():
+                w[j] = f"k{k}x{j}"
+            rows.append((k, " ".join(w)))
+        config = jaccardjoin.Config(limit=40)
+        held = jaccardjoin.sets(make(spark, rows), config).cache()
+        signed = held.where("sig is not null").groupBy("set_id").agg(F.first("sig").alias("sig")).cache()
+        _, large = jaccardjoin.leaves(spark, signed, config)
+        most = pivots.reach(config.threshold)
+        nodes = pivots.named_nodes(large, signed).cache()
+        far = pivots.distances(large, nodes, held.where("shingles is not null")).cache()
+        found = pivots.certain_links(far, most).agg(F.sum("links")).first()[0]
+        assert far.count() > 0.95 * m and found > 0.9 * m * (m - 1)
+        counts.append(pivots.buckets(large, nodes, far, most, config.limit).count())
+    assert counts[1] <= 8 * max(counts[0], 400)
+
+
 def test_decontamination(spark, edge, empty):
     items = spark.createDataFrame([(1, WORDS), (2, "one shared passage that is quite a bit longer than fifty bytes"), (3, None), (4, "two words"), (5, " ".join(f"W{i}," for i in range(20, 55)) + " z"), (6, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.search(edge, items).collect()}
