@@ -1,8 +1,8 @@
 """Links of near copies by the triangle inequality, without comparing them pair by pair.
 
 The Jaccard distance is a metric. Sets of one template, which have distances x and y from a common pivot, are linked for
-certain if x + y is at most the distance of the threshold. The pivot is the set of the shingles that more than half of a
-template's sets hold; it need not be a document. Distances are rounded up to whole units, so a link that is called
+certain if x + y is at most the distance of the threshold. The pivot is the set of the shingles that are held by more than
+half as many sets of the template as its largest node has; it need not be a document. Distances are rounded up to whole units, so a link that is called
 certain is one. How many certain links a set has follows from the counts of its template's sets by distance, of which
 there are no more than units. All other pairs are left to the comparison of buckets.
 
@@ -27,7 +27,7 @@ from furlong.session import materialize
 UNITS = 10_000
 #: Coordinates that name a template.
 COORDINATES = 16
-#: Sets of a template that are measured in one task.
+#: Sets of a template that share a copy of its pivot.
 TOGETHER = 4096
 #: Shingles that are held before they are counted.
 HELD = 1 << 22
@@ -60,18 +60,20 @@ def named_nodes(large: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[tuple[int, int], np.ndarray]] = []
     size = 0
 
     def close() -> pa.RecordBatch:
-        names, which = np.unique(np.array([t for t, _ in held], np.int64), return_inverse=True)
-        key = np.repeat(which.astype(np.uint64), [len(v) for _, v in held]) << np.uint64(32) | np.concatenate([v for _, v in held])
+        names, which = np.unique(np.array([t for t, _ in held], np.int64), axis=0, return_inverse=True)
+        key = np.repeat(which.reshape(-1).astype(np.uint64), [len(v) for _, v in held]) << np.uint64(32) | np.concatenate([v for _, v in held])
         key, n = np.unique(key, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(names[(key >> np.uint64(32)).astype(np.int64)]), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["template", "shingle", "n"])
+        name = names[(key >> np.uint64(32)).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(name[:, 0].copy()), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n), pa.array(name[:, 1].copy())], ["template", "shingle", "n", "size"])
 
     for batch in batches:
-        for template, raw in zip(tb.column(batch, "template").to_pylist(), tb.column(batch, "shingles").to_pylist(), strict=True):
-            held.append((template, np.frombuffer(raw, np.uint32)))
+        names = zip(tb.column(batch, "template").to_pylist(), tb.column(batch, "size").to_pylist(), strict=True)
+        for name, raw in zip(names, tb.column(batch, "shingles").to_pylist(), strict=True):
+            held.append((name, np.frombuffer(raw, np.uint32)))
             size += len(raw) // 4
             if size >= HELD:
                 yield close()
@@ -94,27 +96,28 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pivots = [np.array(sorted(x), np.uint32).tobytes() for x in tb.column(batch, "shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([tb.column(batch, "template"), tb.column(batch, "n"), pa.array(pivots, pa.binary())], ["template", "n", "pivot"])
+        yield pa.RecordBatch.from_arrays([tb.column(batch, "template"), tb.column(batch, "size"), pa.array(pivots, pa.binary())], ["template", "size", "pivot"])
 
 
 def distances(large: DataFrame, nodes: DataFrame, payload: DataFrame) -> DataFrame:
     """set_id, template, far (units from the template's pivot) of the sets of large (path, set_id, size).
 
-    A set takes the template of its largest node. payload: set_id, shingles, repeated rows allowed.
+    A set takes the template of its largest node; tasks measure about TOGETHER sets. payload: set_id, shingles, repeated rows allowed.
     """
     spark = large.sparkSession
-    own = large.join(nodes, "path").groupBy("set_id").agg(F.max(F.struct("size", "template"))["template"].alias("template"))
-    members = payload.select("set_id", "shingles").join(own.hint("merge"), "set_id").groupBy("set_id").agg(F.first("template").alias("template"), F.first("shingles").alias("shingles"))
-    members = materialize(spark, members, "members")
-    sizes = members.groupBy("template").agg(F.count("*").alias("n"))
-    seen = members.select("template", "shingles").mapInArrow(tb.lean(_counts), "template long, shingle long, n long").groupBy("template", "shingle").agg(F.sum("n").alias("held"))
-    # shingles that more than half of the sets hold: fewer than twice the sets' mean size
-    common = seen.join(sizes, "template").where(F.col("held") * 2 > F.col("n")).groupBy("template", "n").agg(F.collect_list("shingle").alias("shingles"))
-    pivots = materialize(spark, common.select("template", "n", "shingles").mapInArrow(tb.lean(_joined), "template long, n long, pivot binary"), "pivots")
-    parts = (F.col("n") / TOGETHER).cast("int")
+    largest = F.max(F.struct("size", "template"))
+    own = large.join(nodes, "path").groupBy("set_id").agg(largest["template"].alias("template"), largest["size"].alias("size"))
+    texts = payload.select("set_id", "shingles").join(own.hint("merge"), "set_id")
+    members = materialize(spark, texts.groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("template", "size", "shingles"))), "members")
+    # a shingle is told by the size of its sets' largest node, so that no template's shingles meet in one task
+    seen = members.select("template", "size", "shingles").mapInArrow(tb.lean(_counts), "template long, shingle long, n long, size long")
+    held = seen.groupBy("template", "shingle").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    common = held.where(F.col("n") * 2 > F.col("size")).groupBy("template").agg(F.collect_list("shingle").alias("shingles"))
+    sizes = members.groupBy("template").agg(F.max("size").alias("size"))
+    pivots = common.join(sizes, "template").select("template", "size", "shingles").mapInArrow(tb.lean(_joined), "template long, size long, pivot binary")
+    parts = (F.col("size") / TOGETHER).cast("int")
     copies = pivots.select("template", F.explode(F.sequence(F.lit(0), parts)).alias("salt"), "pivot")
-    salt = F.pmod(F.xxhash64("set_id"), parts + 1).cast("int")
-    dealt = members.join(pivots.select("template", "n"), "template").withColumn("salt", salt).drop("n")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("set_id"), parts + 1).cast("int"))
     measured = dealt.join(copies.hint("merge"), ["template", "salt"]).select("set_id", "template", "shingles", "pivot")
     return measured.mapInArrow(tb.lean(_measured), "set_id long, template long, far int")
 
