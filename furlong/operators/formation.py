@@ -1,64 +1,120 @@
 """Formation cards: the first a, b and c runners by probability in the columns of the first, second and third place.
 
 A card is a box of the first a * b * c cells of a race's cube of ordered triples. Sums over all boxes are prefix sums of the
-cube along its three sides, each a window within the race; a race's cube has at most ``size`` ** 3 cells. Cards are chosen one
-after the other: the box whose cells that are not covered yet add the most hot probability for each of its points. A cell is
-hot if a bet on it would pay the target by its fair share of the pool.
+cube along its three sides; a race's cube has at most ``size`` ** 3 cells and is one value of its row, so races need nothing of
+each other. Cards are chosen one after the other: the box whose cells that are not covered yet add the most hot probability for
+each of its points. A cell is hot if a bet on it would pay the target by its fair share of the pool.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.functions.codes import PAYOUT_RATE
+from furlong.session import prepare
 
 FIRST_MOST, SECOND_MOST = 3, 6
 UNIT = 100
+CARDS = "race_id {}, card long, a long, b long, c long, points long, gain double"
+
+
+def place(p: str) -> Column:
+    return F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc(F.round(p, 12)), "post_no"))
+
+
+def tensor_cells(tensor: DataFrame, order: DataFrame, p: str, size: int) -> DataFrame:
+    """race_id, cells (a, b, c, prob; places in the order by p from 0) of all triples among the first ``size``."""
+    top = order.withColumn("_k", place(p)).where(F.col("_k") <= size)
+    places = top.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("post_no", F.col("_k") - 1))).alias("at"))  # at most ``size``
+    # one row of each race meets its triples, which are not sorted for it
+    cells = tensor.join(places.hint("shuffle_hash"), "race_id").select("race_id", *(F.col("at")[F.col(x)].alias(y) for x, y in (("i", "a"), ("j", "b"), ("k", "c"))), "prob")
+    return cells.where("a is not null and b is not null and c is not null").groupBy("race_id").agg(F.collect_list(F.struct("a", "b", "c", "prob")).alias("cells"))
+
+
+def order_cells(races: DataFrame, size: int) -> DataFrame:
+    """The same from a row for each race (``market.strengths``) whose runners are in the order by p."""
+    r = F.slice("r", 1, size)
+    spot = lambda x, a: F.struct(a.alias("at"), x["a"].alias("a"), x["g"].alias("g"), x["d"].alias("d"))
+    top = races.select("race_id", "sg", "sd", F.transform(r, spot).alias("r"))
+
+    def prob(x: Column, y: Column, z: Column) -> Column:
+        return x["a"] * y["g"] / (F.col("sg") - x["g"]) * z["d"] / (F.col("sd") - x["d"] - y["d"])
 
+    cell = lambda x, y, z: F.struct(x["at"].alias("a"), y["at"].alias("b"), z["at"].alias("c"), prob(x, y, z).alias("prob"))
+    others = lambda *xs: F.filter("r", lambda z: ~z["at"].isin(*(x["at"] for x in xs)))
+    third = lambda x, y: F.transform(others(x, y), lambda z: cell(x, y, z))
+    cells = F.flatten(F.transform("r", lambda x: F.flatten(F.transform(others(x), lambda y: third(x, y)))))
+    return top.where(F.size("r") >= 3).select("race_id", cells.alias("cells"))
 
-def _cube(tensor: DataFrame, order: DataFrame, p: str, size: int) -> DataFrame:
-    """race_id, a, b, c (places in the order by p, from 1), prob of all triples among the first ``size``."""
-    place = F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc(F.round(p, 12)), "post_no"))
-    top = order.withColumn("_k", place).where(F.col("_k") <= size)
-    places = top.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("post_no", "_k"))).alias("at"))  # at most ``size``
-    cells = tensor.join(places, "race_id").select("race_id", *(F.col("at")[F.col(x)].alias(y) for x, y in (("i", "a"), ("j", "b"), ("k", "c"))), "prob")
-    return cells.where("a is not null and b is not null and c is not null")
 
+def boxes(cube: np.ndarray) -> np.ndarray:
+    """Races x a x b x c: the sum over the box that ends at each cell."""
+    return cube.cumsum(1).cumsum(2).cumsum(3)
 
-def _boxes(value: Column, cells: DataFrame, name: str) -> DataFrame:
-    """The sum of value over the box that ends at each cell. Cells on a diagonal are no bets and count 0, so the cube is filled
-    up first."""
-    out = cells.withColumn(name, value)
-    for side, rest in (("a", ("b", "c")), ("b", ("a", "c")), ("c", ("a", "b"))):
-        out = out.withColumn(name, F.sum(name).over(Window.partitionBy("race_id", *rest).orderBy(side).rowsBetween(Window.unboundedPreceding, 0)))
-    return out
+
+def choose(race: np.ndarray, at: np.ndarray, prob: np.ndarray, races: int, max_cards: int, points: int, target: float) -> Iterator[tuple]:
+    """For each card: the races that have one, its last cell, its points and its gain. Of equal boxes the smallest in a, b, c."""
+    n = int(at.max()) + 1
+    valid, weight = np.zeros((races, n, n, n), np.int64), np.zeros((races, n, n, n))
+    cell = (race, *at)
+    with np.errstate(divide="ignore"):
+        hot = (prob > 0) & (UNIT * PAYOUT_RATE["trifecta"] / prob >= target)
+    valid[cell], weight[cell] = ~np.isnan(prob), np.where(hot, prob, 0.0)
+    field = np.zeros(races, np.int64)
+    np.maximum.at(field, race, at[0] + 1)
+    side = np.arange(n)
+    in_field = side < field[:, None]
+    able = (side[:, None, None] < FIRST_MOST) & (side[:, None] < SECOND_MOST) & in_field[:, :, None, None] & in_field[:, None, :, None] & in_field[:, None, None]
+    pts, left, line = boxes(valid), np.full(races, points), np.arange(races)
+    for _ in range(max_cards):
+        value = boxes(weight) / np.maximum(pts, 1)
+        value = np.where(able & (pts > 0) & (pts <= left[:, None, None, None]), np.round(value, 15), 0.0).reshape(races, -1)
+        best = value.argmax(1)  # the first of equal ones
+        won = value[line, best] > 0
+        a, b, c = np.unravel_index(best, (n, n, n))
+        p = pts[line, a, b, c]
+        yield won, a, b, c, p, value[line, best] * p
+        inside = (side <= a[:, None])[:, :, None, None] & (side <= b[:, None])[:, None, :, None] & (side <= c[:, None])[:, None, None]
+        weight[inside & won[:, None, None, None]] = 0.0
+        left = left - np.where(won, p, 0)
+
+
+def cards(races: DataFrame, max_cards: int, points: int, target: float) -> DataFrame:
+    """The cards of races with their cells; a task's batch of races is one array."""
+    kind = races.schema["race_id"].dataType
+    prepare(races.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                cells = part["cells"]
+                flat = cells.flatten()
+                size = np.asarray(cells.value_lengths().fill_null(0))
+                if not len(flat):
+                    continue
+                race = np.repeat(np.arange(len(size)), size)
+                at = np.stack([flat.field(x).to_numpy() for x in "abc"]).astype(np.int64)
+                prob = flat.field("prob").to_numpy(zero_copy_only=False)
+                for k, (won, a, b, c, p, gain) in enumerate(choose(race, at, prob, len(size), max_cards, points, target)):
+                    own = np.flatnonzero(won)
+                    cols = [np.full(len(own), k + 1), *(x[own] + 1 for x in (a, b, c)), p[own], gain[own]]
+                    yield pa.RecordBatch.from_arrays([part["race_id"].take(pa.array(own)), *map(pa.array, cols)], ["race_id", "card", "a", "b", "c", "points", "gain"])
+
+    return races.select("race_id", "cells").mapInArrow(run, CARDS.format(kind.simpleString()))
 
 
 def formation_cards(tensor: DataFrame, order: DataFrame, p: str, max_cards: int = 3, points: int = 120, target: float = 50_000.0, size: int = 10) -> DataFrame:
     """race_id, card, a, b, c, points, gain: up to ``max_cards`` cards of together at most ``points`` points, overlaps counted
     in each. tensor: race_id, i, j, k, prob by post; order: race_id, post_no and p. Of equal boxes the smallest in a, b, c."""
-    cells = _cube(tensor, order, p, size)
-    field = cells.groupBy("race_id").agg(F.max("a").alias("n"))
-    side = lambda c: F.explode(F.sequence(F.lit(1), F.col("n"))).alias(c)
-    full = field.select("race_id", "n", side("a")).select("race_id", "n", "a", side("b")).select("race_id", "a", "b", side("c"))
-    cube = full.join(cells, ["race_id", "a", "b", "c"], "left")
-    hot = UNIT * PAYOUT_RATE["trifecta"] / F.col("prob") >= target
-    cube = cube.withColumns({"valid": F.col("prob").isNotNull().cast("long"), "weight": F.when((F.col("prob") > 0) & hot, F.col("prob")).otherwise(0.0), "covered": F.lit(False), "left": F.lit(points).cast("long")})
-    cube = _boxes(F.col("valid"), cube, "pts")
-    w = Window.partitionBy("race_id")
-    picks = []
-    for card in range(1, max_cards + 1):
-        cube = _boxes(F.when(F.col("covered"), 0.0).otherwise(F.col("weight")), cube, "sum")
-        able = (F.col("a") <= FIRST_MOST) & (F.col("b") <= SECOND_MOST) & (F.col("pts") > 0) & (F.col("pts") <= F.col("left"))
-        value = F.round(F.when(able, F.col("sum") / F.col("pts")), 15)
-        best = F.max(F.when(value > 0, F.struct(value.alias("v"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), (-F.col("c")).alias("c"), "pts"))).over(w)
-        cube = cube.withColumn(f"pick{card}", best)
-        pick = F.col(f"pick{card}")
-        inside = (F.col("a") <= -pick["a"]) & (F.col("b") <= -pick["b"]) & (F.col("c") <= -pick["c"])
-        cube = cube.withColumns({"covered": F.col("covered") | F.coalesce(inside, F.lit(False)), "left": F.col("left") - F.coalesce(pick["pts"], F.lit(0))})
-        picks.append(f"pick{card}")
-    # one row of each race has all of its cards
-    one = cube.where("a = 1 and b = 1 and c = 1")
-    each = one.select("race_id", F.posexplode(F.array(*picks)).alias("card", "x")).where("x is not null")
-    return each.select("race_id", (F.col("card") + 1).cast("long").alias("card"), *((-F.col(f"x.{c}")).cast("long").alias(c) for c in "abc"), F.col("x.pts").cast("long").alias("points"), (F.col("x.v") * F.col("x.pts")).alias("gain"))
+    return cards(tensor_cells(tensor, order, p, size), max_cards, points, target)
+
+
+def ordered_cards(races: DataFrame, max_cards: int = 3, points: int = 120, target: float = 50_000.0, size: int = 10) -> DataFrame:
+    """The same of races with their runners' strengths (``market.strengths``), whose triples are never rows."""
+    return cards(order_cells(races, size), max_cards, points, target)

@@ -218,3 +218,16 @@ def test_predictions_and_history_have_the_same_features(spark):
     assert rounded(got) == rounded(past_path) and got.count() == target.count() > 0
     none = features.prediction_features(whole.where(F.col("day") < days[-1]), target.limit(0))
     assert none.count() == 0
+
+
+def test_formation_cards_of_races(spark):
+    """Cards by race are those by triple, and neither plan joins or sorts rows of triples."""
+    rng = np.random.default_rng(5)
+    rows = [(race, i + 1, float(v)) for race, n in enumerate((3, 5, 8, 12, 12, 2)) for i, v in enumerate(rng.dirichlet(np.full(n, 1.2)) + 1e-4)]
+    df = spark.createDataFrame(rows, "race_id long, post_no long, p double")
+    fast = formation.ordered_cards(market.strengths(df, "p", 0.8, 0.6), 3, 60, 5_000, 7)
+    slow = formation.formation_cards(market.finish_tensor(df, "p", 0.8, 0.6), df, "p", 3, 60, 5_000, 7)
+    got, want = ({(r["race_id"], r["card"]): r[2:6] + (round(r["gain"], 9),) for r in x.collect()} for x in (fast, slow))
+    assert got == want and len(got) >= 5
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Broadcast" not in plan
