@@ -15,7 +15,15 @@ def passing_order(text: Column) -> Column:
     """Post numbers and ranks of a passing order such as "(*13,6)4,10-2": those in brackets share a rank, the next rank
     counts all before it, and of a number that comes twice the first place holds. A bracket may lack its end; one that
     begins before the last one has ended takes the earlier one's place. Null and unreadable texts give none."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[()]|[0-9]+"), F.lit(0))
+    return _ranked(_kept(_tokens(text)))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[()]|[0-9]+"), F.lit(0))
+
+
+def _kept(tokens: Column) -> Column:
+    """The numbers that count, each with its place and the place where its bracket begins."""
 
     def place(t: Column, i: Column) -> Column:
         before = F.reverse(F.slice(tokens, F.lit(1), i))
@@ -25,16 +33,22 @@ def passing_order(text: Column) -> Column:
         begin = F.when(inside, i - opened.cast("int")).otherwise(i)
         return F.struct(t.try_cast("int").alias("post_no"), i.alias("i"), begin.alias("begin"), (inside & F.coalesce(after == "(", F.lit(False))).alias("lost"))
 
-    kept = F.filter(F.transform(tokens, place), lambda x: x["post_no"].isNotNull() & ~x["lost"])
+    return F.filter(F.transform(tokens, place), lambda x: x["post_no"].isNotNull() & ~x["lost"])
+
+
+def _ranked(kept: Column) -> Column:
     first = F.filter(kept, lambda x: ~F.exists(kept, lambda y: (y["post_no"] == x["post_no"]) & (y["i"] < x["i"])))
     return F.transform(first, lambda x: F.struct(x["post_no"].alias("post_no"), (F.size(F.filter(kept, lambda y: y["i"] < x["begin"])) + 1).alias("rank")))
 
 
 def corner_ranks(orders: DataFrame, key: str, corners: list[str]) -> DataFrame:
-    """key, corner, post_no, rank of every runner in the named columns of passing orders."""
-    each = F.array(*(F.struct(F.lit(k + 1).alias("corner"), passing_order(F.col(c)).alias("order")) for k, c in enumerate(corners)))
-    long = orders.select(key, F.explode(each).alias("c")).select(key, "c.corner", F.explode("c.order").alias("o"))
-    return long.select(key, "corner", "o.post_no", "o.rank")
+    """key, corner, post_no, rank of every runner in the named columns of passing orders. Tokens and kept numbers are columns
+    of their own: inside of lambdas they would be made again for each token."""
+    each = F.array(*(F.struct(F.lit(k + 1).alias("corner"), F.col(c).alias("text")) for k, c in enumerate(corners)))
+    # texts are dealt out: a table of few row groups would be read by as few tasks
+    long = orders.select(key, *corners).repartition(key).select(key, F.explode(each).alias("c")).select(key, "c.corner", _tokens(F.col("c.text")).alias("tokens"))
+    kept = long.select(key, "corner", _kept(F.col("tokens")).alias("kept"))
+    return kept.select(key, "corner", F.explode(_ranked(F.col("kept"))).alias("o")).select(key, "corner", "o.post_no", "o.rank")
 
 
 def relative(rank: Column, field: Column) -> Column:

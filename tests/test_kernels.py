@@ -115,3 +115,12 @@ def test_auc_with_ties(spark):
     pos, neg = s[y == 1], s[y == 0]
     want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert abs(market.auc(df, "s", "y").first()["auc"] - want) < 1e-12
+
+
+def test_corner_ranks_stages(spark):
+    """Tokens are made once for a text, not again for each token inside of the lambdas."""
+    df = spark.createDataFrame([(1, "(*13,6)4,10-2", None), (2, "", "3,3,(1,2")], "race_id long, c1 string, c2 string")
+    ranks = style.corner_ranks(df, "race_id", ["c1", "c2"])
+    got = {(r["race_id"], r["corner"], r["post_no"]): r["rank"] for r in ranks.collect()}
+    assert got == {(1, 1, 13): 1, (1, 1, 6): 1, (1, 1, 4): 3, (1, 1, 10): 4, (1, 1, 2): 5, (2, 2, 3): 1, (2, 2, 1): 3, (2, 2, 2): 3}
+    assert ranks._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
