@@ -9,6 +9,8 @@ Rows with a null key have no past.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +37,24 @@ def day_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], order: t
     return valued.groupBy(*keys, "day").agg(*totals or [F.count("*").alias("_d")]).select(*keys, "day", *carried)
 
 
-def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no"), last: tuple[str, int, Column] | None = None, base: DataFrame | None = None) -> DataFrame:
+def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of: str = "day", order: tuple[str, ...] = ("race_id", "post_no"), last: tuple[str, int, Column] | None = None, base: DataFrame | None = None, of_last: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """df with the sums of each named column over the past; null values add nothing.
 
     last: name of an array, number of rows and value: the values of so many last rows, the latest first. base: the rows that
     the days are made of, where df is one of several joins to the same rows: without it each of these would be made twice.
+    of_last: named columns made of that array, which is then left out. As of the day before they are made in the table of
+    days, so that no array goes through the join with the rows.
     """
     names = list(sums)
     days = day_totals(df if base is None else base, keys, sums, order, last)
+    if last and as_of == "day":
+        name = last[0]
+        values = F.transform(name, lambda x: x["v"])
+        if of_last:
+            days = days.withColumn(name, values)
+            days = days.withColumns({c: f(F.col(name)) for c, f in of_last.items()}).drop(name)
+        else:
+            days = days.withColumn(name, values)
     joined = df
     if as_of != "day":
         joined = df.withColumns({f"_v_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in sums.items()})
@@ -53,12 +65,14 @@ def past_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], as_of:
     near = near.orderBy(*order).rowsBetween(START, -1) if as_of == "row" else near.orderBy("race_id").rangeBetween(START, -1)
     if as_of != "day":
         out = out.withColumns({n: F.col(n) + F.coalesce(F.sum(f"_v_{n}").over(near), F.lit(0.0)) for n in names})
-    if last:
+    if last and as_of != "day":
         name, k, _ = last
         if as_of == "row":
             today = F.reverse(F.collect_list("_now").over(Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(-k, -1)))
             out = out.withColumn(name, F.slice(F.concat(today, F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType))), 1, k))
         out = out.withColumn(name, F.transform(name, lambda x: x["v"])).drop("_now")
+        if of_last:
+            out = out.withColumns({c: f(F.col(name)) for c, f in of_last.items()}).drop(name)
     return out.drop(*(f"_v_{n}" for n in names))
 
 
@@ -134,7 +148,7 @@ def past_conditional_mean(df: DataFrame, keys: list[str], value: Column, conditi
 
 def past_window_mean(df: DataFrame, keys: list[str], value: Column, name: str, window: int, as_of: str = "row") -> DataFrame:
     """Mean of the last rows before this one, or before this day, a null value counting as 0."""
-    return past_totals(df, keys, {}, as_of, last=("_recent", window, F.coalesce(value.cast("double"), F.lit(0.0)))).withColumn(name, mean_of(F.col("_recent"))).drop("_recent")
+    return past_totals(df, keys, {}, as_of, last=("_recent", window, F.coalesce(value.cast("double"), F.lit(0.0))), of_last={name: mean_of})
 
 
 def past_window_known(df: DataFrame, keys: list[str], value: Column, name: str, window: int, as_of: str = "row") -> DataFrame:

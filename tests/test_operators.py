@@ -80,3 +80,14 @@ def test_upsert_takes_one_row_for_a_key(spark):
     new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "b", 9), (4, "n", 0)], "k long, v string, w long")
     got = {r["k"]: (r["v"], r["w"], r["change"], r["n_given"]) for r in records.upsert(old, new, ["k"], ["v", "w"], [F.col("w")], ("w",)).collect()}
     assert got == {1: ("y", 5, "updated", 2), 2: ("b", 9, "updated", 1), 3: ("c", 7, "missing", None), 4: ("n", 0, "new", 1)}
+
+
+def test_last_rows_stay_in_the_table_of_days(spark):
+    """The mean of the last rows is made before the days meet the rows, so no array of them is dealt out."""
+    df = spark.createDataFrame([(r, 1, r // 2, 1 + r % 2, float(r)) for r in range(40)], "race_id long, post_no long, day long, horse_id long, v double")
+    found = past.past_window_mean(df, ["horse_id"], F.col("v"), "x", 3, "day")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("aggregate(")
+    for r in found.collect():
+        earlier = [v for v in range(r["race_id"] % 2, 40, 2) if v // 2 < r["day"]][-3:]
+        assert r["x"] == (sum(earlier) / len(earlier) if earlier else None)
