@@ -27,15 +27,16 @@ def simulate(races: DataFrame, n1: int, n2: int, n3: int, by: list[str], target:
     a, b, c = (F.least(F.lit(k), F.col("field")) for k in (n1, n2, n3))
     hit = ((F.col("r1") <= n1) & (F.col("r2") <= n2) & (F.col("r3") <= n3)).cast("int")
     rows = races.withColumns({"_hit": hit, "_points": a * (b - 1) * (c - 2)}).withColumn("_paid", F.when(F.col("_hit") == 1, F.col("payout")).otherwise(0.0))
-    g = rows.groupBy(*by).agg(F.count("*").alias("races"), F.sum("_hit").alias("hits"), F.sum((F.col("_paid") >= target).cast("int")).alias("hot"), (F.sum("_points") * 100).alias("stake"), F.sum("_paid").alias("paid"))
+    g = rows.groupBy(*by).agg(F.count("*").alias("races"), F.sum("_hit").alias("hits"), F.sum((F.col("_paid") >= target).cast("int")).alias("hot"), (F.sum("_points") * 100).alias("stake"), F.sum(F.col("_paid").cast("decimal(18,6)")).cast("double").alias("paid"))  # exact, in any order of adding
     low, high = wilson(F.col("hits"), F.col("races"))
     return g.withColumns({"hit_rate": F.col("hits") / F.col("races"), "low": low, "high": high, "roi": F.col("paid") / F.col("stake")})
 
 
 def expected_value(df: DataFrame, p: str, least: float, per_race: int) -> DataFrame:
-    """Runners whose p * odds reaches ``least``, the best of each race."""
-    ev = df.withColumn("ev", F.col(p) * F.col("win_odds")).where(F.col("ev") >= least)
-    return ev.withColumn("pick", F.row_number().over(race().orderBy(F.desc("ev"), "post_no")).cast("long")).where(F.col("pick") <= per_race)
+    """Runners whose p * odds reaches ``least``, the best of each race; of equal ones the lower post. Values are rounded where
+    they are compared: by the market's own shares all of a race are equal but for the last bit."""
+    ev = df.withColumn("ev", F.col(p) * F.col("win_odds")).where(F.round("ev", 10) >= least)
+    return ev.withColumn("pick", F.row_number().over(race().orderBy(F.desc(F.round("ev", 10)), "post_no")).cast("long")).where(F.col("pick") <= per_race)
 
 
 def kelly(p: Column, odds: Column, cap: float) -> Column:

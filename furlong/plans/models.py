@@ -100,7 +100,7 @@ def _stage(s: SparkSession, d: str) -> DataFrame:
 @query("trio_top3", f"""WITH {HARVILLE}, q AS (SELECT race_id, least(i, j, k) AS a, i + j + k - least(i, j, k) - greatest(i, j, k) AS b, greatest(i, j, k) AS c, 0.75 / sum(prob) AS o FROM tensor GROUP BY ALL),
  n AS (SELECT *, 1 / o / sum(1 / o) OVER (PARTITION BY race_id) AS q FROM q), e AS (SELECT race_id, a AS post_no, q FROM n UNION ALL SELECT race_id, b, q FROM n UNION ALL SELECT race_id, c, q FROM n) SELECT race_id, post_no, round(sum(q), 6) AS top3 FROM e GROUP BY 1, 2""")
 def _trio(s: SparkSession, d: str) -> DataFrame:
-    t = market.combinations(market.finish_tensor(priced(s, d)), "trio").withColumn("odds", 0.75 / F.col("prob"))
+    t = market.trios(market.strengths(priced(s, d))).withColumn("odds", 0.75 / F.col("prob"))
     return out(market.trio_top3(t, "odds"), "top3")
 
 

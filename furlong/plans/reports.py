@@ -87,13 +87,10 @@ def _rates(s: SparkSession, d: str) -> DataFrame:
  SELECT kind, count(*) AS n, round(exp(quantile_cont(r, 0.5)), 5) AS median, round(quantile_cont(r, 0.25), 5) AS q1, round(quantile_cont(r, 0.75), 5) AS q3, round(avg(CASE WHEN abs(exp(r) - 1) <= 0.25 THEN 1 ELSE 0 END), 6) AS within25,
  round(avg(CASE WHEN abs(exp(r) - 1) <= 0.5 THEN 1 ELSE 0 END), 6) AS within50, round(corr(ln(paid), ln(est)), 5) AS correlation FROM l GROUP BY 1""")
 def _payouts(s: SparkSession, d: str) -> DataFrame:
-    m = priced(s, d)
-    t = market.finish_tensor(m)
-    at = lambda k: F.max(F.when(F.col("finish_rank") == k, F.col("post_no")))
-    won = m.groupBy("race_id").agg(at(1).alias("first"), at(2).alias("second"))
-    both = [market.combinations(t, k).select("race_id", F.lit(k).alias("kind"), "a", "b", codes.estimated_payout(F.col("prob"), k).alias("est")) for k in ("exacta", "quinella")]
-    own = F.when(F.col("kind") == "exacta", F.struct("first", "second")).otherwise(F.struct(F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second")))
-    c = both[0].unionByName(both[1]).join(won, "race_id").withColumn("own", own).where((F.col("a") == F.col("own.first")) & (F.col("b") == F.col("own.second")))
+    races = market.winners(priced(s, d), first=1, second=2)
+    own = {"exacta": (F.col("first"), F.col("second")), "quinella": (F.least("first", "second"), F.greatest("first", "second"))}
+    both = [market.pairs(races, k).where((F.col("a") == x) & (F.col("b") == y)).select("race_id", F.lit(k).alias("kind"), codes.estimated_payout(F.col("prob"), k).alias("est")) for k, (x, y) in own.items()]
+    c = both[0].unionByName(both[1])
     c = c.withColumn("paid", F.col("est") * (0.553 + F.col("race_id") % 11 / 10)).withColumn("r", F.log(F.col("paid") / F.col("est")))
     q = reports.quantiles(c, ["kind"], "r", [0.25, 0.5, 0.75])
     within = lambda x: F.avg((F.abs(F.exp("r") - 1) <= x).cast("int"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from furlong.operators import asof, bets, features, market, past, records
+from furlong.operators import asof, bets, betting, features, market, past, records
 
 RUNS = "race_id long, post_no long, horse_id long, day long, value double"
 
@@ -91,3 +91,34 @@ def test_last_rows_stay_in_the_table_of_days(spark):
     for r in found.collect():
         earlier = [v for v in range(r["race_id"] % 2, 40, 2) if v // 2 < r["day"]][-3:]
         assert r["x"] == (sum(earlier) / len(earlier) if earlier else None)
+
+
+def test_ordered_finishes_by_race(spark):
+    """Pairs, trios and the likeliest triples made of a race's row are those of its rows of triples, which are not sorted."""
+    rng = np.random.default_rng(8)
+    rows = [(race, i + 1, float(v), i + 1) for race, n in enumerate((4, 7, 12, 2)) for i, v in enumerate(rng.dirichlet(np.full(n, 1.5)) + 1e-3)]
+    df = spark.createDataFrame(rows, "race_id long, post_no long, p double, finish_rank long")
+    races, tensor = market.strengths(df), market.finish_tensor(df)
+    close = lambda x: {tuple(r)[:-1]: round(r[-1], 9) for r in x.collect()}
+    for kind in ("exacta", "quinella"):
+        assert close(market.pairs(races, kind)) == close(market.combinations(tensor, kind))
+    assert close(market.trios(races)) == close(market.combinations(tensor, "trio"))
+    hot = betting.hot_likeliest(market.triples(races), 5, 20_000).select("race_id", "place", "i", "j", "k", "estimated")
+    assert close(hot) == close(betting.hot_top(tensor, 5, 20_000).select("race_id", "place", "i", "j", "k", "estimated")) and hot.count() == 15
+    assert "Sort " not in hot._jdf.queryExecution().executedPlan().toString()
+    won = market.ordered(market.winners(df, a=1, b=2, c=3)).where("race_id = 2 and i = a and j = b and k = c").collect()
+    assert [(r["i"], r["j"], r["k"]) for r in won] == [(1, 2, 3)]
+
+
+def test_equal_values_go_by_post(spark):
+    """By the market's shares all runners of a race have one value, whatever its last bit says."""
+    odds = [3.1, 1.7, 2.9, 5.3, 4.1, 1.3, 2.3]
+    df = spark.createDataFrame([(r, k + 1, odds[(k + r) % 7]) for r in range(40) for k in range(7)], "race_id long, post_no long, win_odds double")
+    got = bets.expected_value(market.market_probability(df), "p", 0.1, 2).collect()
+    assert len(got) == 80 and all(r["pick"] == r["post_no"] for r in got)
+
+
+def test_paid_sum_is_exact(spark):
+    """The sum of payouts does not depend on the order of adding."""
+    df = spark.createDataFrame([(k, 5, 0.1 if k % 2 else 1e10, 1, 1, 1) for k in range(2000)], "race_id long, field long, payout double, r1 long, r2 long, r3 long").coalesce(1)
+    assert bets.simulate(df.withColumn("g", F.lit(1)), 2, 3, 4, ["g"], 1.0).first()["paid"] == 10_000_000_000_100.0
