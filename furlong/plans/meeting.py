@@ -44,8 +44,9 @@ def _terms(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("place_residual", f"""WITH {DISCOUNTED}, e AS (SELECT race_id, j AS post_no, prob FROM tensor UNION ALL SELECT race_id, k, prob FROM tensor), x AS (SELECT race_id, post_no, sum(prob) AS p FROM e GROUP BY 1, 2),
- c AS (SELECT m.race_id, m.post_no, horse_id, date_diff('day', DATE '1970-01-01', CAST(start_ts AS DATE)) AS day, CASE WHEN finish_rank IN (2, 3) THEN 1 ELSE 0 END - x.p AS gap FROM m JOIN x USING (race_id, post_no))
- SELECT race_id, post_no, round(coalesce(sum(gap) OVER w, 0) / (count(*) OVER w + 2), 6) + 0 AS place_residual FROM c WINDOW w AS (PARTITION BY horse_id {DAY})""")
+ c AS (SELECT m.race_id, m.post_no, horse_id, date_diff('day', DATE '1970-01-01', CAST(start_ts AS DATE)) AS day, CASE WHEN finish_rank IN (2, 3) THEN 1 ELSE 0 END - x.p AS gap FROM m JOIN x USING (race_id, post_no)),
+ t AS (SELECT horse_id, day, sum(gap) AS s, count(*) AS n FROM c GROUP BY 1, 2), b AS (SELECT horse_id, day, sum(s) OVER w AS s, sum(n) OVER w AS n FROM t WINDOW w AS (PARTITION BY horse_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT race_id, post_no, round(coalesce(s, 0) / (coalesce(n, 0) + 2), 6) + 0 AS place_residual FROM c LEFT JOIN b USING (horse_id, day)""")
 def _residual(s: SparkSession, d: str) -> DataFrame:
     m = priced(s, d)
     p = market.marginals(market.finish_tensor(m, "p", GAMMA, DELTA)).select("race_id", "post_no", (F.col("p2") + F.col("p3")).alias("e"))
