@@ -34,17 +34,23 @@ class Stages(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
         start = key[1]
+        # a call's rows are put together first, so that each state is read and written once
+        provisional = final = latest = None
         for r in rows:
             left = start - r["at_ms"]
             if not r["ok"] or left <= 0:
                 continue
             shot = (r["at_ms"], r["ref"], r["value"])
             # ties of time: the lower number is the earlier one
-            if left <= FINAL_MINUTES * _MINUTE:
-                self._keep(self.final, shot, min)
-            if left <= PROVISIONAL_MINUTES * _MINUTE:
-                self._keep(self.provisional, shot, min)
-            self._keep(self.latest, shot, max)
+            if left <= FINAL_MINUTES * _MINUTE and (final is None or shot < final):
+                final = shot
+            if left <= PROVISIONAL_MINUTES * _MINUTE and (provisional is None or shot < provisional):
+                provisional = shot
+            if latest is None or shot > latest:
+                latest = shot
+        for state, shot, which in ((self.final, final, min), (self.provisional, provisional, min), (self.latest, latest, max)):
+            if shot:
+                self._keep(state, shot, which)
         for at in (start - FINAL_MINUTES * _MINUTE, start):
             if at > timerValues.getCurrentWatermarkInMs():
                 self.handle.registerTimer(at)
