@@ -21,7 +21,7 @@ def _box(s: SparkSession, d: str) -> DataFrame:
 
 @query("hot_top", f"WITH {HARVILLE} SELECT race_id, i, j, k, round(72.5 / prob, 2) AS estimated, row_number() OVER (PARTITION BY race_id ORDER BY round(prob, 10) DESC, i, j, k) AS place FROM tensor WHERE 72.5 / prob >= 50000 QUALIFY place <= 12")
 def _hot_top(s: SparkSession, d: str) -> DataFrame:
-    t = betting.hot_likeliest(market.triples(market.strengths(priced(s, d))), 12, 50_000)
+    t = betting.hot_contenders(market.strengths(priced(s, d)), 12, 50_000)
     return t.select("race_id", "i", "j", "k", F.round("estimated", 2).alias("estimated"), "place")
 
 
