@@ -23,6 +23,11 @@ def past_extreme(df: DataFrame, keys: list[str], value: Column, name: str, large
     return out.drop("_v")
 
 
+def own_extreme(value: Column) -> Column:
+    """Largest value of a horse before this row (``past.own_past``); null for an unknown horse."""
+    return F.when(F.col("horse_id").isNotNull(), F.max(value).over(Window.partitionBy("horse_id").orderBy("day", "race_id", "post_no").rowsBetween(START, -1)))
+
+
 def slope(values: Column, least: int = 3) -> Column:
     """Least-squares slope by start of an array of last values, the latest first; null below ``least`` known ones."""
     points = F.filter(F.transform(values, lambda v, j: F.struct((-j).cast("double").alias("x"), v.alias("y"))), lambda p: p["y"].isNotNull())
@@ -37,8 +42,8 @@ def level_features(df: DataFrame, level: str, relative_rank: str) -> DataFrame:
     three of them against all."""
     value = F.struct(F.col(level).cast("double").alias("l"), F.col(relative_rank).alias("r"))
     r = F.col(relative_rank)
-    out = past.past_totals(df, ["horse_id"], {"_n": r.isNotNull().cast("int"), "_s": r}, "row", last=("_last", 5, value))
-    out = past_extreme(out, ["horse_id"], F.col(level), "level_highest")
+    out = past.own_past(df, ["horse_id"], {"_n": r.isNotNull().cast("int"), "_s": r}, ("_last", 5, value))
+    out = out.withColumn("level_highest", own_extreme(F.col(level)))
     levels, ranks = F.transform("_last", lambda x: x["l"]), F.transform("_last", lambda x: x["r"])
     return out.withColumns({
         "level_previous": F.get(levels, F.lit(0)).cast("long"),
@@ -53,6 +58,6 @@ def level_features(df: DataFrame, level: str, relative_rank: str) -> DataFrame:
 def time_index(df: DataFrame, keys: list[str], seconds: Column, min_count: int = 30, limit: float = 5.0) -> DataFrame:
     """A horse's earlier times against all of earlier days under the same conditions: the last, mean of five, best."""
     z = past.standardized(df, keys, -seconds, "_z", min_count).withColumn("_z", F.when(F.col("_z").isNotNull(), F.least(F.greatest("_z", F.lit(-limit)), F.lit(limit))))
-    out = past.past_totals(z, ["horse_id"], {}, "row", last=("_last", 5, F.col("_z")))
-    out = past_extreme(out, ["horse_id"], F.col("_z"), "time_best")
+    out = past.own_past(z, ["horse_id"], {}, ("_last", 5, F.col("_z")))
+    out = out.withColumn("time_best", own_extreme(F.col("_z")))
     return out.withColumns({"time_previous": F.get("_last", F.lit(0)), "time_last5": past.mean_of(F.col("_last"))}).drop("_z", "_last")
