@@ -49,7 +49,7 @@ def pace_features(df: DataFrame, z: str, fast: float = 0.0) -> DataFrame:
     is_fast, is_slow = F.round(v - fast, 9) > 0, F.round(v - fast, 9) <= 0
     sums = {"_n": v.isNotNull().cast("int"), "_s": v, "_pn": F.when(shown == 1, v.isNotNull().cast("int")), "_ps": F.when(shown == 1, v)}
     sums |= {"_fn": is_fast.cast("int"), "_fs": F.when(is_fast, shown), "_ln": is_slow.cast("int"), "_ls": F.when(is_slow, shown)}
-    out = past.past_totals(df, ["horse_id"], sums, "row", last=("_last", 1, v))
+    out = past.own_past(df, ["horse_id"], sums, ("_last", 1, v))
     rate = lambda s, n, least: F.when(F.col(n) >= least, F.col(s) / F.col(n))
     out = out.withColumns({"pace_previous": F.get("_last", F.lit(0)), "pace_mean": rate("_s", "_n", 1), "pace_placed": rate("_ps", "_pn", 1), "fast_show": rate("_fs", "_fn", 2), "slow_show": rate("_ls", "_ln", 2)})
     return out.withColumn("fast_less_slow", F.col("fast_show") - F.col("slow_show")).drop(*sums, "_last")
