@@ -71,13 +71,21 @@ def decode(records: DataFrame, raw: str = "raw", layouts: dict[str, Layout] = OD
     code = F.substring(F.col(raw), 1, 2).cast("string")
     need = lambda x: x.at - 1 + x.count * x.size
     size = F.octet_length(F.col(raw))
-    known, short, kind, groups = F.lit(False), F.lit(False), F.lit(None).cast("string"), None
+    kind, groups = F.lit(None).cast("string"), None
     for name, x in layouts.items():
-        known, short = known | (code == name), short | ((code == name) & (size < need(x)))
         kind = F.when(code == name, x.kind).otherwise(kind)
         own = F.when((code == name) & (size >= need(x)), _groups(F.col(raw), x))
         groups = own if groups is None else F.coalesce(groups, own)
-    bad = F.when(F.col(raw).isNull(), "no record").when(~F.coalesce(known, F.lit(False)), "unknown type").when(short, "too short")
+
+    def fault(r: Column) -> Column:
+        of, size = F.substring(r, 1, 2).cast("string"), F.octet_length(r)
+        known, short = F.lit(False), F.lit(False)
+        for name, x in layouts.items():
+            known, short = known | (of == name), short | ((of == name) & (size < need(x)))
+        return F.when(r.isNull(), "no record").when(~F.coalesce(known, F.lit(False)), "unknown type").when(short, "too short")
+
+    # the record is bound once: a filter on bad would else make it anew for every place where its bytes are named
+    bad = F.get(F.transform(F.array(F.col(raw)), fault), F.lit(0))
     out = records.withColumns({"record_type": code, "kind": kind, "bad": bad})
     fine = F.col("bad").isNull()
     out = out.withColumns({f.name: F.when(fine, _cut(F.col(raw), F.lit(f.at), f)) for f in HEADER})
