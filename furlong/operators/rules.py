@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.operators.stats import quantiles, wilson
+from furlong.session import materialize
 
 
 def _kept(df: DataFrame, by: list[str], shares: list[float], name: str) -> DataFrame:
@@ -28,6 +29,8 @@ def two_rules(races: DataFrame, metrics: dict[str, bool], shares: list[float], h
     turned = [F.struct(F.lit(i).alias("m"), (F.col(c) if metrics[c] else -F.col(c)).cast("double").alias("v")) for i, c in enumerate(names)]
     paid = F.when(hit, F.col("payout").cast("double")).otherwise(0.0)
     base = races.select("race_id", hit.cast("long").alias("hit"), paid.alias("paid"), points.cast("long").alias("points"), F.array(*turned).alias("all"))
+    # each rule's quantiles and the table of pairs read the races: they are made once
+    base = materialize(races.sparkSession, base, "rule-races")
     one = base.withColumn("x", F.explode("all")).select("race_id", "hit", "paid", "points", "all", F.col("x.m").alias("m1"), F.col("x.v").alias("v")).where("v is not null")
     one = _kept(one, ["m1"], shares, "share1").drop("v")
     two = one.withColumn("x", F.explode(F.filter("all", lambda x: x["m"] > F.col("m1")))).select("race_id", "hit", "paid", "points", "m1", "share1", F.col("x.m").alias("m2"), F.col("x.v").alias("v")).where("v is not null")

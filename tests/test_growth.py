@@ -25,3 +25,10 @@ def test_a_record_is_made_once_for_its_fault(spark):
     bad = records.decode(short).where("bad is not null").groupBy("bad").count()
     assert _plan(bad).count("rpad(") <= 6  # a filter and a column, each of which names the record up to three times
     assert {r["bad"]: r["count"] for r in bad.collect()} == {"too short": 1, "unknown type": 1, "no record": 1}
+
+
+def test_rules_read_the_races_once(spark, tmp_path):
+    path = str(tmp_path / "races")
+    spark.range(200).selectExpr("id as race_id", "cast(id % 7 as double) a", "cast(id % 11 as double) b", "cast(id as double) payout").write.parquet(path)
+    found = rules.two_rules(spark.read.parquet(path), {"a": True, "b": False}, [0.5], F.col("payout") > 0, F.lit(1), 100.0, 1)
+    assert not any("/races/" in f for f in found.inputFiles()) and found.count() == 1
