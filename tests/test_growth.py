@@ -32,3 +32,19 @@ def test_rules_read_the_races_once(spark, tmp_path):
     spark.range(200).selectExpr("id as race_id", "cast(id % 7 as double) a", "cast(id % 11 as double) b", "cast(id as double) payout").write.parquet(path)
     found = rules.two_rules(spark.read.parquet(path), {"a": True, "b": False}, [0.5], F.col("payout") > 0, F.lit(1), 100.0, 1)
     assert not any("/races/" in f for f in found.inputFiles()) and found.count() == 1
+
+
+def test_past_of_days_by_one_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(race, post, int(rng.integers(1, 9)), race // 6, post, int(rng.integers(5, 16)) * 200) for race in range(150) for post in range(1, 5)]
+    df = spark.createDataFrame(rows, "race_id long, post_no long, horse_id long, day long, finish_rank long, distance long")
+    sums, last = {"n": past.one(), "w": features.won(), "d": F.col("distance")}, ("l", 3, F.col("distance"))
+    got = lambda x: sorted((r["race_id"], r["post_no"], r["n"], r["w"], r["d"], tuple(r["l"] or ())) for r in x.collect())
+    assert got(past.own_past(df, ["horse_id"], sums, last, as_of="day")) == got(past.past_totals(df, ["horse_id"], sums, "day", last=last))
+    empty = past.own_past(df.withColumn("horse_id", F.lit(None).cast("long")), ["horse_id"], sums, last, as_of="day")
+    assert {(r["n"], tuple(r["l"])) for r in empty.collect()} == {(0.0, ())}
+
+
+def test_form_table_joins_the_days_of_jockeys_only(spark):
+    df = spark.createDataFrame([], "race_id long, post_no long, horse_id long, jockey_id long, day long, finish_rank long, win_odds double")
+    assert _plan(features.form_table(df)).count("Join") <= 1
