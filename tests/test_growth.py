@@ -34,6 +34,17 @@ def test_rules_read_the_races_once(spark, tmp_path):
     assert not any("/races/" in f for f in found.inputFiles()) and found.count() == 1
 
 
+def test_tasks_grow_in_number(spark):
+    assert [session.parts(n) for n in (0, 1, session.TASK_ROWS, session.TASK_ROWS + 1, 216 * session.TASK_ROWS)] == [1, 1, 1, 2, 216]
+
+
+def test_repeated_entries_are_dealt_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    plan = _physical(registry.queries()["repeated_entries"](spark, SF))
+    head = plan[: plan.index("Exchange hashpartitioning(horse_id")]
+    assert "REPARTITION_BY_NUM" in plan and head.count("HashAggregate") == plan.count("HashAggregate")
+
+
 def test_past_of_days_by_one_window(spark):
     rng = np.random.default_rng(5)
     rows = [(race, post, int(rng.integers(1, 9)), race // 6, post, int(rng.integers(5, 16)) * 200) for race in range(150) for post in range(1, 5)]
