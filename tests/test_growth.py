@@ -59,3 +59,16 @@ def test_past_of_days_by_one_window(spark):
 def test_form_table_joins_the_days_of_jockeys_only(spark):
     df = spark.createDataFrame([], "race_id long, post_no long, horse_id long, jockey_id long, day long, finish_rank long, win_odds double")
     assert _plan(features.form_table(df)).count("Join") <= 1
+
+
+def test_faded_sums_keep_no_hashed_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, 1, int(i % 2), int(i // 3), float(rng.integers(1, 9)) if i % 5 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "race_id long, post_no long, k long, day long, v double")
+    found = ratings.decayed(df, ["k"], F.col("v"), "f")
+    assert "Aggregate" not in _plan(found)
+    for r in found.where("race_id % 97 = 0").collect():
+        own = [x[4] for x in rows if x[2] == r["k"] and x[3] < r["day"] and x[4] is not None]
+        weights = [ratings.DECAY ** (len(own) - 1 - j) for j in range(len(own))]
+        assert r["f_n"] == len(own) and abs(r["f_weight"] - sum(weights)) < 1e-9
+        assert abs(r["f_sum"] - sum(a * b for a, b in zip(own, weights, strict=True))) < 1e-8
