@@ -45,8 +45,8 @@ class PieceEncoder:
 
     def _reset(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.uint32)
+        self.count = np.zeros(0, np.uint32)
         self.flat = np.zeros(0, np.uint32)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -98,7 +98,7 @@ class PieceEncoder:
             new = first[~known]
             self._learn(distinct[~known], buf, starts[new], ends[new])
             place = np.searchsorted(self.keys, distinct)
-        at, count = self.at[place][inverse], self.count[place][inverse]
+        at, count = self.at[place][inverse].astype(np.int64), self.count[place][inverse].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(at - total[:-1], count) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offsets)]
@@ -122,12 +122,19 @@ class PieceEncoder:
         rest = [i for i, x in enumerate(found) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             found[i] = np.array(e.ids, np.uint32)
+        self._keep(keys, found)
+
+    def _keep(self, keys: np.ndarray, found: list[np.ndarray]) -> None:
+        """Adds sorted new keys. The ids grow where they are and the columns one after the other, so the table never stands
+        twice in a worker's memory."""
         count = np.array([len(x) for x in found], np.int64)
-        at = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, *found])
-        keys, at, count = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.count, count])
-        order = np.argsort(keys)
-        self.keys, self.at, self.count = keys[order], at[order], count[order]
+        used = len(self.flat)
+        place = np.searchsorted(self.keys, keys)
+        self.flat.resize(used + int(count.sum()), refcheck=False)
+        np.concatenate(found, out=self.flat[used:])
+        self.at = np.insert(self.at, place, (used + np.cumsum(count) - count).astype(np.uint32))
+        self.count = np.insert(self.count, place, count.astype(np.uint32))
+        self.keys = np.insert(self.keys, place, keys)
 
 
 _encoders: dict[TokenizerSpec, PieceEncoder] = {}
