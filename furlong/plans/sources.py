@@ -30,8 +30,8 @@ def odds_records(s: SparkSession, d: str) -> DataFrame:
 @query("decoded_odds", f"""WITH {RUNS}, o AS (SELECT *, CAST(round(win_odds * 10) AS BIGINT) AS o10 FROM runs WHERE race_id % 19 <> 0 AND race_id % 23 <> 0)
  SELECT race_id, post_no AS combo, CASE WHEN o10 % 11 <> 0 AND o10 % 13 <> 0 AND o10 % 17 <> 0 THEN o10 END AS odds10, finish_rank AS popularity, CAST(race_id % 5 + 1 AS VARCHAR) AS state, strftime(race_date, '%Y%m%d') AS date, CASE WHEN race_id % 2 = 0 THEN '01021530' ELSE '' END AS announced FROM o""")
 def _decoded(s: SparkSession, d: str) -> DataFrame:
-    found = records.decode(odds_records(s, d)).where("bad is null").select("race_id", "state", "date", "announced", F.explode("groups").alias("g"))
-    return found.select("race_id", "g.combo", "g.odds10", "g.popularity", "state", "date", "announced")
+    found = records.decode(odds_records(s, d)).where("bad is null").select("race_id", "state", "date", "announced", records.each_group())
+    return found.where("g is not null").select("race_id", "g.combo", "g.odds10", "g.popularity", "state", "date", "announced")
 
 
 @query("unreadable_records", f"WITH {RUNS} SELECT CASE WHEN race_id % 19 = 0 THEN 'unknown type' ELSE 'too short' END AS bad, count(DISTINCT race_id) AS n FROM runs WHERE race_id % 19 = 0 OR race_id % 23 = 0 GROUP BY 1")

@@ -70,12 +70,18 @@ def decode(records: DataFrame, raw: str = "raw", layouts: dict[str, Layout] = OD
     and bad. Groups without a combination are left out; odds and popularities of 0 are null."""
     code = F.substring(F.col(raw), 1, 2).cast("string")
     need = lambda x: x.at - 1 + x.count * x.size
-    size = F.octet_length(F.col(raw))
-    kind, groups = F.lit(None).cast("string"), None
+    some = lambda c: F.when(c > 0, c)
+    kind = F.lit(None).cast("string")
     for name, x in layouts.items():
         kind = F.when(code == name, x.kind).otherwise(kind)
-        own = F.when((code == name) & (size >= need(x)), _groups(F.col(raw), x))
-        groups = own if groups is None else F.coalesce(groups, own)
+
+    def kept(r: Column) -> Column:
+        of, size, groups = F.substring(r, 1, 2).cast("string"), F.octet_length(r), None
+        for name, x in layouts.items():
+            own = F.when((of == name) & (size >= need(x)), _groups(r, x))
+            groups = own if groups is None else F.coalesce(groups, own)
+        found = F.filter(groups, lambda g: g["combo"] > 0)
+        return F.transform(found, lambda g: F.struct(g["combo"].alias("combo"), some(g["odds10"]).alias("odds10"), some(g["popularity"]).alias("popularity")))
 
     def fault(r: Column) -> Column:
         of, size = F.substring(r, 1, 2).cast("string"), F.octet_length(r)
@@ -84,18 +90,22 @@ def decode(records: DataFrame, raw: str = "raw", layouts: dict[str, Layout] = OD
             known, short = known | (of == name), short | ((of == name) & (size < need(x)))
         return F.when(r.isNull(), "no record").when(~F.coalesce(known, F.lit(False)), "unknown type").when(short, "too short")
 
-    # the record is bound once: a filter on bad would else make it anew for every place where its bytes are named
-    bad = F.get(F.transform(F.array(F.col(raw)), fault), F.lit(0))
+    # the record is bound once: a filter on what is made of it would else make it anew for every place where its bytes are named
+    bound = lambda f: F.get(F.transform(F.array(F.col(raw)), f), F.lit(0))
+    bad = bound(fault)
     out = records.withColumns({"record_type": code, "kind": kind, "bad": bad})
     fine = F.col("bad").isNull()
     out = out.withColumns({f.name: F.when(fine, _cut(F.col(raw), F.lit(f.at), f)) for f in HEADER})
-    some = lambda c: F.when(c > 0, c)
-    kept = F.filter(groups, lambda g: g["combo"] > 0)
-    kept = F.transform(kept, lambda g: F.struct(g["combo"].alias("combo"), some(g["odds10"]).alias("odds10"), some(g["popularity"]).alias("popularity")))
-    return out.withColumns({"made": F.coalesce("made", F.when(fine, F.lit(0).cast("long"))), "groups": F.when(fine, kept), "race": F.concat("year", "meeting", "number"), "date": F.concat("year", "month_day")}).drop(raw)
+    return out.withColumns({"made": F.coalesce("made", F.when(fine, F.lit(0).cast("long"))), "groups": F.when(fine, bound(kept)), "race": F.concat("year", "meeting", "number"), "date": F.concat("year", "month_day")}).drop(raw)
+
+
+def each_group() -> Column:
+    """g, a group a row, null where there is none. The outer form, as ``explode`` has Spark put a filter on the array's size
+    below, which reads the record a second time."""
+    return F.explode_outer("groups").alias("g")
 
 
 def odds_rows(decoded: DataFrame) -> DataFrame:
     """A row for each combination: record_type, kind, race, date, state, made, announced, combo, odds10, popularity."""
-    each = decoded.where("bad is null").select("record_type", "kind", "race", "date", "state", "made", "announced", F.explode("groups").alias("g"))
-    return each.select(*each.columns[:-1], "g.*")
+    each = decoded.where("bad is null").select("record_type", "kind", "race", "date", "state", "made", "announced", each_group())
+    return each.where("g is not null").select(*each.columns[:-1], "g.*")

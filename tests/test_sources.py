@@ -109,3 +109,10 @@ def test_text_tables(spark, tmp_path):
     japanese.write_bytes("race_id,post_no,race_date,grade\n1,1,2024-01-01,重賞\n".encode("shift_jis"))
     with pytest.raises(Exception):  # noqa: B017
         texts.read_csv(spark, str(japanese), texts.RESULTS, encoding="no-such").collect()
+
+
+def test_a_record_is_made_a_few_times_only(spark):
+    """The bytes are an expression here: no step below the rows of odds names it more than a few times."""
+    made = spark.range(40).select("id", F.concat(F.lit("O1220240101"), F.rpad(F.upper(F.lpad(F.col("id").cast("string"), 4, "0")), 951, "0")).cast("binary").alias("raw"))
+    plan = records.odds_rows(records.decode(made))._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("rpad(") for line in plan.split("\n")) <= 2
