@@ -23,9 +23,10 @@ def past_extreme(df: DataFrame, keys: list[str], value: Column, name: str, large
     return out.drop("_v")
 
 
-def own_extreme(value: Column) -> Column:
-    """Largest value of a horse before this row (``past.own_past``); null for an unknown horse."""
-    return F.when(F.col("horse_id").isNotNull(), F.max(value).over(Window.partitionBy("horse_id").orderBy("day", "race_id", "post_no").rowsBetween(START, -1)))
+def own_extreme(df: DataFrame, value: Column, name: str, many: list) -> DataFrame:
+    """Largest value of a horse before this row; null for an unknown horse. many: horses by the table of days (``past.own_past``)."""
+    before = F.max(value).over(Window.partitionBy("horse_id").orderBy("day", "race_id", "post_no").rowsBetween(START, -1))
+    return past.by_size(df, "horse_id", many, lambda x: x.withColumn(name, F.when(F.col("horse_id").isNotNull(), before)), lambda x: past_extreme(x, ["horse_id"], value, name))
 
 
 def slope(values: Column, least: int = 3) -> Column:
@@ -42,8 +43,9 @@ def level_features(df: DataFrame, level: str, relative_rank: str) -> DataFrame:
     three of them against all."""
     value = F.struct(F.col(level).cast("double").alias("l"), F.col(relative_rank).alias("r"))
     r = F.col(relative_rank)
-    out = past.own_past(df, ["horse_id"], {"_n": r.isNotNull().cast("int"), "_s": r}, ("_last", 5, value))
-    out = out.withColumn("level_highest", own_extreme(F.col(level)))
+    many = past.many_rows(df, "horse_id")
+    out = past.own_past(df, ["horse_id"], {"_n": r.isNotNull().cast("int"), "_s": r}, ("_last", 5, value), many=many)
+    out = own_extreme(out, F.col(level), "level_highest", many)
     levels, ranks = F.transform("_last", lambda x: x["l"]), F.transform("_last", lambda x: x["r"])
     return out.withColumns({
         "level_previous": F.get(levels, F.lit(0)).cast("long"),
@@ -58,6 +60,7 @@ def level_features(df: DataFrame, level: str, relative_rank: str) -> DataFrame:
 def time_index(df: DataFrame, keys: list[str], seconds: Column, min_count: int = 30, limit: float = 5.0) -> DataFrame:
     """A horse's earlier times against all of earlier days under the same conditions: the last, mean of five, best."""
     z = past.standardized(df, keys, -seconds, "_z", min_count).withColumn("_z", F.when(F.col("_z").isNotNull(), F.least(F.greatest("_z", F.lit(-limit)), F.lit(limit))))
-    out = past.own_past(z, ["horse_id"], {}, ("_last", 5, F.col("_z")))
-    out = out.withColumn("time_best", own_extreme(F.col("_z")))
+    many = past.many_rows(df, "horse_id")
+    out = past.own_past(z, ["horse_id"], {}, ("_last", 5, F.col("_z")), many=many)
+    out = own_extreme(out, F.col("_z"), "time_best", many)
     return out.withColumns({"time_previous": F.get("_last", F.lit(0)), "time_last5": past.mean_of(F.col("_last"))}).drop("_z", "_last")

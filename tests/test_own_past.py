@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from furlong.operators import features, past
+from furlong.operators import features, levels, pace, past
 
 SHAPE = "race_id long, post_no long, horse_id long, day long, finish_rank long, distance long, surface string, going string, venue long"
 
@@ -30,3 +30,25 @@ def test_features_of_a_horse_need_no_join(spark):
     df = _rows(spark)
     for f in (features.horse_features, features.condition_features):
         assert "Join" not in f(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_horse_with_a_large_share_is_spread_over_its_days(spark, monkeypatch):
+    df = _rows(spark).withColumns({"level": F.col("race_id") % 7, "rel": F.col("finish_rank") / 10, "win_odds": F.lit(2.0), "jockey_id": F.col("venue"), "grade": F.lit("1")})
+    shares = {r["horse_id"]: r["count"] for r in df.groupBy("horse_id").count().collect()}
+    found = {
+        "horse": lambda: features.horse_features(df),
+        "condition": lambda: features.condition_features(df),
+        "level": lambda: levels.level_features(df, "level", "rel"),
+        "time": lambda: levels.time_index(df, ["surface"], F.col("distance") / 16 + F.col("post_no"), 5),
+        "pace": lambda: pace.pace_features(df.withColumn("z", F.col("rel") - 0.4), "z"),
+        "form": lambda: features.form_table(df),
+    }
+    told = lambda x: sorted(str([round(v, 9) + 0.0 if isinstance(v, float) else v for v in r.asDict(True).values()]) for r in x.select("race_id", "post_no", *sorted(set(x.columns) - {"race_id", "post_no"})).collect())
+    want = {name: told(f()) for name, f in found.items()}
+    # half of the horses have too many rows for a task
+    monkeypatch.setattr(past, "TASK_ROWS", sorted(n for h, n in shares.items() if h)[4])
+    assert 0 < len(past.many_rows(df, "horse_id")) < 8
+    for name, f in found.items():
+        x = f()
+        assert told(x) == want[name], name
+        assert "Join" in x._jdf.queryExecution().optimizedPlan().toString(), name
