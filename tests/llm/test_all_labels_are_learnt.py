@@ -55,3 +55,20 @@ def test_pieces_of_a_text_give_the_same_windows(monkeypatch):
     for k, (top, best) in zip((1, 2, 3), whole, strict=True):
         again = toxicity.strongest(x, where, begin, rng.normal(size=(k, 8, 8)), config)
         assert np.allclose(top, again[0]) and np.array_equal(best, again[1])
+
+
+def test_a_threshold_is_the_middle_of_its_range():
+    config = toxicity.Config(least=2)
+    p, y, one = np.array([0.1, 0.2, 0.8, 0.9, 0.95]), np.array([0.0, 0, 1, 1, 1]), np.ones(5)
+    assert abs(toxicity.threshold(p, y, one, config) - 0.5) < 1e-12
+    # between scores that a grid of hundredths does not tell apart
+    p = np.array([0.4001, 0.4002, 0.4003, 0.4004, 0.4005])
+    assert 0.4002 < toxicity.threshold(p, y, one, config) < 0.4003
+    # each score for many rows
+    assert abs(toxicity.threshold(np.array([0.2, 0.8]), np.array([0.0, 1]), np.array([9.0, 3]), config, np.array([9.0, 3])) - 0.5) < 1e-12
+
+
+def test_a_language_with_few_marks_takes_the_threshold_of_all():
+    z, y = np.r_[np.linspace(-4, -2, 40), np.linspace(2, 4, 40)], np.r_[np.zeros(40), np.ones(40)]
+    model = toxicity.settled(toxicity.Model(toxicity.Config()), z, y, ["en"] * 78 + ["es"] * 2, np.ones(80))
+    assert model.thresholds["es"] == model.threshold != model.config.threshold
