@@ -1,12 +1,14 @@
 """What a task holds, and how often a step is made, as the input grows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from furlong import session
 from furlong.operators import features, past, ratings, rules
 from furlong.plans import registry
 from furlong.sources import records
+from furlong.sources.views import runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +90,21 @@ def test_all_features_deal_the_rows_of_a_horse_once(spark, monkeypatch):
     monkeypatch.setattr(past, "TASK_ROWS", 17)
     assert 0 < len(past.many_rows(df, "horse_id")) < 9
     assert told(features.all_features(df, 1)) == want
+
+
+def test_only_what_a_fit_reads_is_stored(spark, monkeypatch):
+    from furlong.plans import learning  # after the registry, which imports it
+
+    stored = []
+
+    def stop(_, df, name):
+        stored.append(df)
+        raise InterruptedError
+
+    monkeypatch.setattr(learning, "materialize", stop)
+    with pytest.raises(InterruptedError):
+        learning._oof(spark, SF)
+    assert len(stored[0].columns) == 14
+    whole = features.form_table(runs(spark, SF)).withColumn("placed", features.placed()).select(*stored[0].columns)
+    told = lambda x: sorted(map(str, x.collect()))
+    assert told(whole) == told(stored[0])
